@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bpe, decontam, minhash
+from . import bpe, decontam, linedup, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -78,5 +83,27 @@ JOIN (SELECT id, min(to_id) AS c FROM reach GROUP BY id) r ON r.id = w.doc_id
 """
 
 
+OP9_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, i, x, ('0x' || substr(md5(x), 1, 12))::BIGINT AS h, CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+),
+cuts AS (
+  SELECT *, w >= {linedup.LONG} OR lag(w) OVER d >= {linedup.LONG}
+    OR (31 * coalesce(lag(h, 2) OVER d, 0) + lag(h) OVER d) % 1021 % {linedup.DIVISOR} = 0 AS cut
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
+numbered AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM cuts),
+chunks AS (
+  SELECT doc_id, c, count(*) AS n, sum(w) AS w, string_agg(x, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, c
+),
+ranked AS (SELECT *, CASE WHEN {linedup.ELIGIBLE} THEN row_number() OVER (PARTITION BY t ORDER BY doc_id, c) ELSE 1 END AS r FROM chunks)
+SELECT d.doc_id, len(string_split(d.text, chr(10)))::INTEGER AS n_lines, coalesce(x.removed, 0)::INTEGER AS n_removed, coalesce(x.t, '') AS text
+FROM documents d JOIN (
+  SELECT doc_id, sum(CASE WHEN r > 1 THEN n ELSE 0 END) AS removed, string_agg(t, chr(10) ORDER BY c) FILTER (r = 1) AS t FROM ranked GROUP BY doc_id
+) x ON x.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}
