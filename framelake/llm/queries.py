@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bpe, decontam, linedup, minhash
+from . import bpe, decontam, linedup, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +22,39 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    spec = bpe.load_spec(spark, public_tokenizers.path(VOCABULARY))
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe.load_spec(spark, vocabulary())
     out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
     out = out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
     out = bpe.decode(out, spec)
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+#: A document is rejected below this score.
+ACCEPT = 0.3
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Learns from the labels of documents outside the held-out fold."""
+    labels = _table(spark, sf_dir, "labels").where(remainder(5) != 0)
+    return quality.fit(_table(spark, sf_dir, "documents"), labels)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
