@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bpe, decontam, linedup, minhash, quality
+from . import bpe, decontam, langid, linedup, lm, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,19 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    texts = langid.references(docs.where(remainder(4) != 2))
+    out = langid.identify(docs.select("doc_id", "text"), texts)
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe.load_spec(spark, vocabulary())
+    out = lm.score(_table(spark, sf_dir, "documents"), remainder(7) != 2, spec)
+    return out.withColumn("held_out", remainder(7) == 2)
+
+
 #: A document is rejected below this score.
 ACCEPT = 0.3
 
