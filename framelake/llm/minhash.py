@@ -2,10 +2,10 @@
 
 Texts with the same shingle set fold into one class first (an aggregate, so any number of copies is one row).
 Signatures of the class representatives are cut into bands; a band's value is a bucket. In each bucket every
-member is compared with the smallest and the largest member, which joins a group of near copies in linear work.
-Only buckets that still hold several components need more, and there only pairs across components: members are
-dealt into blocks and pairs of blocks are compared, so that no task holds a whole bucket and no pair is emitted
-before it survives. A pair survives while the posterior probability that its similarity reaches the threshold,
+member is compared with the smallest and the largest member, and where components still differ with one drawn by
+hash, which joins a group of near copies in linear work. Only buckets that still hold several components need
+more, and there only pairs across components: members are dealt into blocks and pairs of blocks are compared and
+verified where they meet, so that no task holds a whole bucket and only links that join components are emitted. A pair survives while the posterior probability that its similarity reaches the threshold,
 given the matches among the hashes compared so far (uniform prior), is at least ``miss``. Survivors are verified
 on their full shingle sets, and links become components by contraction.
 
@@ -31,7 +31,7 @@ HASHES = ROWS * BANDS
 #: Signature hashes compared before each pruning decision.
 BATCH = 20
 #: Members of a bucket that are compared as one block.
-BLOCK = 1024
+BLOCK = 512
 
 _mult = tn.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _A = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -149,13 +149,22 @@ def _prune(least: list[int]):
 
 
 def _compare(least: list[int], percent: int):
+    """Links across components between two blocks of a bucket's members: no more than join the components."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, comp, n = (group.column(c).to_numpy() for c in ("id", "comp", "n"))
-        blk = group.column("blk").to_numpy()
+        ids, comp, n, blk = (group.column(c).to_numpy() for c in ("id", "comp", "n", "blk"))
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         sig = _matrix(group.column("sig"))
+        sets = group.column("hashes")
         left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
         found = []
         for at in range(0, len(left), 64):
             part = left[at : at + 64]
@@ -167,26 +176,42 @@ def _compare(least: list[int], percent: int):
             a, b = np.nonzero(ok)
             a, b = part[a], right[b]
             keep = surviving(sig, sig, a, b, least)
-            found.append(np.stack([ids[a[keep]], ids[b[keep]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                p, q = find(int(comp[i])), find(int(comp[j]))
+                if p == q:
+                    continue
+                common = len(np.intersect1d(sets[i].values.to_numpy(), sets[j].values.to_numpy(), assume_unique=True))
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    root[p] = q
+                    found.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    pairs = scratch.table(pairs, f"{name}-pairs")
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>")
-    sets = scratch.table(sets, f"{name}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b"
-    )
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that survive pruning and whose full shingle sets are similar enough.
+
+    Joins are by sort and merge at any size: what they read grows with the corpus.
+    """
+    pairs = pairs.join(reps.toDF("a", "na", "sa").hint("merge"), "a").join(reps.toDF("b", "nb", "sb").hint("merge"), "b")
+    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+    pairs = pairs.mapInArrow(_prune(least), "a long, b long")
+    both = pairs.join(sets.toDF("a", "ha").hint("merge"), "a").join(sets.toDF("b", "hb").hint("merge"), "b")
     both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("i"))
-    out = scratch.table(both.where(f"100 * i >= {percent} * (n - i)").select("a", "b"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return out
+    return both.where(f"100 * i >= {percent} * (n - i)").select("a", "b")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` (id, component) after further ``links``; ids without a label are their own component."""
+    links = scratch.table(links, f"{name}-links")
+    if links.isEmpty():
+        return labels
+    renamed = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    again = connected_components(renamed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch, name)
+    ids = labels.union(again.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    out = ids.join(again.toDF("component", "least"), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    return scratch.table(out, f"{name}-all")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> DataFrame:
@@ -212,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
     classes = scratch.table(classes, "classes")
     folded = classes.where("copies > 1").select("n", "f1", "f2", "rep")
     reps = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = scratch.table(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "reps")
+    reps = scratch.table(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "reps").select("id", "n", "sig")
 
     # the number stands in the hash, so that values of different bands don't meet
     values = [F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)]
@@ -220,18 +245,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
     shared = bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("m > 1")
     members = scratch.table(bands.join(shared, "bucket"), "members")
 
+    used = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.hint("merge").join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>")
+    sets = scratch.table(sets, "sets")
+
     star = members.select("id", F.explode(F.array("lo", "hi")).alias("x")).where("id <> x")
     star = star.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    size = reps.select("id", "n", "sig")
-    star = star.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b")
-    star = star.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-    links = _verified(star.mapInArrow(_prune(least), "a long, b long"), docs, scratch, "star", percent)
-    labels = connected_components(links, scratch, "star")
+    links = scratch.table(_verified(star, reps, sets, least, percent), "star")
+    labels = connected_components(links, scratch, "star-cc")
 
     # buckets of up to three members are done: all their pairs have been compared
-    placed = members.where("m > 3").select("bucket", "id").join(labels.withColumnRenamed("component", "c"), "id", "left")
-    placed = placed.select("bucket", "id", F.coalesce("c", "id").alias("comp"))
-    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    large = members.where("m > 3").select("bucket", "id")
+    placed = lambda: large.join(labels.toDF("id", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("comp"))
+
+    # once more against another member, drawn by hash in each bucket, where components differ
+    drawn = F.min(F.struct(F.xxhash64("id", "bucket"), "id", "comp"))
+    again = placed().join(placed().groupBy("bucket").agg(drawn.alias("x")), "bucket").where("comp <> x.comp")
+    again = again.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+    labels = _relabelled(labels, _verified(again, reps, sets, least, percent), scratch, "again")
+
+    # what is left: pairs of blocks, but none within the component that has most of a bucket's members
+    parts = placed().groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     parts = parts.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"), F.count("*").alias("parts"))
     parts = parts.where("parts > 1").select(
         "bucket",
@@ -239,24 +273,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
         F.ceil((F.col("m") - F.col("main.k")) / BLOCK).alias("na"),
         F.ceil(F.col("main.k") / BLOCK).alias("np"),
     )
-    parts = scratch.table(parts, "parts")
-    if parts.isEmpty():
-        final = labels
-    else:
-        deal = F.xxhash64("id", F.lit(7))
-        dealt = placed.join(parts, "bucket")
-        dealt = dealt.withColumn("active", F.col("comp") != F.col("main"))
-        dealt = dealt.withColumn("blk", F.when(F.col("active"), F.pmod(deal, "na")).otherwise(F.col("na") + F.pmod(deal, "np")))
-        others = F.when(F.col("active"), F.sequence(F.lit(0), F.col("na") + F.col("np") - 1)).otherwise(F.sequence(F.lit(0), F.col("na") - 1))
-        dealt = dealt.join(size, "id").select("bucket", "id", "comp", "n", "sig", "blk", F.explode(others).alias("o"))
-        dealt = dealt.select("bucket", "id", "comp", "n", "sig", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
-        more = dealt.groupBy("bucket", "x", "y").applyInArrow(_compare(least, percent), "a long, b long").distinct()
-        more = _verified(more, docs, scratch, "more", percent)
-        renamed = more.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
-        again = connected_components(renamed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch, "more")
-        ids = labels.union(again.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-        final = ids.join(again.toDF("component", "least"), "component", "left")
-        final = scratch.table(final.select("id", F.coalesce("least", "component").alias("component")), "final")
+    deal = F.xxhash64("id", F.lit(7))
+    dealt = placed().join(scratch.table(parts, "parts"), "bucket").withColumn("active", F.col("comp") != F.col("main"))
+    dealt = dealt.withColumn("blk", F.when(F.col("active"), F.pmod(deal, "na")).otherwise(F.col("na") + F.pmod(deal, "np")))
+    others = F.when(F.col("active"), F.sequence(F.lit(0), F.col("na") + F.col("np") - 1)).otherwise(F.sequence(F.lit(0), F.col("na") - 1))
+    dealt = dealt.join(reps.hint("merge"), "id").join(sets.hint("merge"), "id")
+    dealt = dealt.select("bucket", "id", "comp", "n", "sig", "hashes", "blk", F.explode(others).alias("o"))
+    dealt = dealt.select("bucket", "id", "comp", "n", "sig", "hashes", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
+    more = dealt.groupBy("bucket", "x", "y").applyInArrow(_compare(least, percent), "a long, b long").distinct()
+    final = _relabelled(labels, more, scratch, "more")
+    scratch.drop("sets")
 
     out = signed.select("doc_id", "n", "f1", "f2").join(folded, ["n", "f1", "f2"], "left")
     out = out.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("id")).join(final, "id", "left")
