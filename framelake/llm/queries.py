@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bpe, decontam, langid, linedup, lm, minhash, quality
+from . import ann, bpe, decontam, langid, linedup, lm, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ann.nearest(vectors, vectors.where("id % 20 = 0"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.load_spec(spark, vocabulary())
     out = lm.score(_table(spark, sf_dir, "documents"), remainder(7) != 2, spec)
