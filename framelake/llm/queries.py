@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import ann, bpe, decontam, langid, linedup, lm, minhash, quality
+from . import ann, bpe, chat, decontam, langid, linedup, lm, minhash, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda which: F.expr(f"array_join(transform({which}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+    return found.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(joined("filter(spans, s -> s.kind <> 'entropy')").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -91,6 +102,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -146,5 +161,30 @@ FROM documents d JOIN (
 """
 
 
+#: Conversations as lists of turns, each prefix by its contents.
+OP10_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+),
+pre AS (
+  SELECT *, max(n) OVER (PARTITION BY conv_id) AS n_turns,
+    md5(list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY n)::VARCHAR) AS h
+  FROM turns
+),
+kept AS (
+  SELECT conv_id, n_turns FROM pre a WHERE n = n_turns
+    AND NOT EXISTS (SELECT 1 FROM pre b WHERE b.n = a.n AND b.h = a.h AND (b.n_turns > a.n_turns OR b.n_turns = a.n_turns AND b.conv_id < a.conv_id))
+)
+SELECT conv_id, n_turns, p AS part, s AS text FROM (
+  SELECT conv_id, n_turns, b, row_number() OVER (PARTITION BY conv_id ORDER BY b) AS p, s FROM (
+    SELECT t.conv_id, k.n_turns, coalesce(floor(t.turn / 256), -1e18) AS b,
+      string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY t.n) AS s
+    FROM turns t JOIN kept k USING (conv_id) GROUP BY 1, 2, 3
+  )
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
