@@ -127,11 +127,11 @@ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh
 links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
 ),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, to_id) AS (
   SELECT doc_id, doc_id FROM words
   UNION
-  SELECT r.id, e.b FROM reach r JOIN both e ON e.a = r.to_id
+  SELECT r.id, e.b FROM reach r JOIN sym e ON e.a = r.to_id
 )
 SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id, w.doc_id = r.c AS kept
 FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id
