@@ -1,0 +1,78 @@
+"""Rules as data: a rule is a few columns over a table with one row of facts by entity."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+RANK = {"fail": 0, "warn": 1, "info": 2, "pass": 3}
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    category: str
+    severity: str
+    level: Column  # pass, warn, fail, info; null emits nothing
+    value: Column
+
+
+def evaluate(facts: DataFrame, rules: Sequence[Rule], overlay: dict[str, str] | None = None) -> DataFrame:
+    """(entity, id, category, level, severity, value) of all rules in one pass over ``facts``.
+
+    The severity of a warning or failure is the overlay's, else critical when a critical rule fails, info for an
+    info rule, and warning for the rest.
+    """
+    over = overlay or {}
+
+    def row(r: Rule) -> Column:
+        own = F.lit(over[r.id]) if r.id in over else F.when((r.level == "fail") & F.lit(r.severity == "critical"), "critical").otherwise("info" if r.severity == "info" else "warning")
+        bad = r.level.isin("warn", "fail")
+        return F.struct(F.lit(r.id).alias("id"), F.lit(r.category).alias("category"), r.level.alias("level"), F.when(bad, own).alias("severity"), r.value.cast("string").alias("value"))
+
+    out = facts.select("entity", F.explode(F.array(*[row(r) for r in rules])).alias("c")).select("entity", "c.*")
+    return out.where("level is not null")
+
+
+def tally(checks: DataFrame, *by: str) -> DataFrame:
+    """Counts by level, and the share of passes among pass, warn and fail in thousandths (null without any)."""
+    n = {k: F.count(F.when(F.col("level") == k, 1)) for k in RANK}
+    out = checks.groupBy(*by).agg(*[c.alias(f"n_{k}") for k, c in n.items()])
+    judged = F.col("n_pass") + F.col("n_warn") + F.col("n_fail")
+    return out.withColumn("compliance", F.floor(F.try_divide(F.col("n_pass") * 1000, judged)))
+
+
+def matrix(checks: DataFrame, entities: Sequence) -> DataFrame:
+    """Levels by rule and entity, and the worst rank of a rule."""
+    rank = F.coalesce(*[F.when(F.col("level") == k, v) for k, v in RANK.items()])
+    wide = checks.groupBy("id").pivot("entity", list(entities)).agg(F.first("level"))
+    return wide.join(checks.groupBy("id").agg(F.min(rank).alias("worst")), "id")
+
+
+def within(column: Column, low: float, high: float, other: str = "fail") -> Column:
+    return F.when(column.isNull(), None).when(column.between(low, high), "pass").otherwise(other)
+
+
+def file_rules() -> list[Rule]:
+    """Rules over the facts of a media file; columns that a file lacks are null and emit nothing."""
+    c = F.col
+    yes = lambda ok, other="fail": F.when(ok.isNull(), None).when(ok, "pass").otherwise(other)
+    return [
+        Rule("fast-start", "Container", "critical", yes(c("moov_offset") < c("mdat_offset")), c("moov_offset")),
+        Rule("one-video-track", "Container", "critical", F.when(c("video_tracks") == 1, "pass").when(c("video_tracks") == 0, "fail").otherwise("warn"), c("video_tracks")),
+        Rule("track-durations", "Container", "warning", F.when(c("duration_gap") <= 0.1, "pass").when(c("duration_gap") <= 0.5, "warn").when(c("duration_gap").isNotNull(), "fail"), c("duration_gap")),
+        Rule("codec", "Video", "critical", yes(c("family").isin("avc", "hevc", "av1")), c("family")),
+        Rule("profile", "Video", "critical", F.when(c("profile").isNull(), None).when(c("profile") == 100, "pass").when(c("profile").isin(77, 66), "warn").otherwise("fail"), c("profile")),
+        Rule("level-cap", "Video", "critical", yes(c("level") <= 52), c("level")),
+        Rule("even-size", "Video", "critical", yes((c("width") % 2 == 0) & (c("height") % 2 == 0)), F.concat_ws("x", "width", "height")),
+        Rule("fps-constant", "Video", "warning", yes(~c("vfr"), "warn"), c("vfr")),
+        Rule("gop-max", "Video", "critical", yes(c("max_gop") <= c("gop_max") + 0.05), c("max_gop")),
+        Rule("closed-gop", "Video", "warning", yes(c("open_gops") == 0, "warn"), c("open_gops")),
+        Rule("depth", "Video", "critical", yes((c("family") != "avc") | (c("depth") <= 8)), c("depth")),
+        Rule("audio-rate", "Audio", "warning", yes(c("audio_rate").isin(44100, 48000), "warn"), c("audio_rate")),
+        Rule("av-sync", "Audio", "critical", F.when(F.abs("av_ms") <= 22, "pass").when((c("av_ms") > 185) | (c("av_ms") < -90), "fail").when(c("av_ms").isNotNull(), "warn"), c("av_ms")),
+        Rule("true-peak", "Audio", "warning", yes(c("true_peak") <= -1, "warn"), c("true_peak")),
+        Rule("decode-integrity", "Decoding", "critical", yes(c("decode_errors") == 0), c("decode_errors")),
+    ]
