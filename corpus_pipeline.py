@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the text that decoding them gives."""
     spec = bpe.load_spec(ship(spark), vocabulary())
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), spec), spec, text="text")
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), spec, decoded="text")
     return out.select("doc_id", "lang", "source", "text", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

@@ -30,13 +30,14 @@ POOL = 6 << 20
 def _classes() -> np.ndarray:
     """Classes of all code points as the tokenizers library has them, whichever Unicode version it follows."""
     kinds = np.full(0x110000, OTHER, np.uint8)
-    every = [*range(0xD800), *range(0xE000, 0x110000)]
-    text = "".join(map(chr, every))
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    for kind, name, like in ((LETTER, "L", "a"), (NUMBER, "N", "0")):
-        new = {ord(c) for c in regex.findall(rf"\p{{{name}}}", text)}
-        old = {c for c in every if unicodedata.category(chr(c))[0] == name}
-        kinds[[*(new & old), *(c for c in new ^ old if len(split(like + chr(c))) == 1)]] = kind
+    for lo in range(0, len(kinds), 0x1000):  # by parts, which keeps the lists of characters short
+        every = [c for c in range(lo, lo + 0x1000) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, every))
+        for kind, name, like in ((LETTER, "L", "a"), (NUMBER, "N", "0")):
+            new = {ord(c) for c in regex.findall(rf"\p{{{name}}}", text)}
+            old = {c for c in every if unicodedata.category(chr(c))[0] == name}
+            kinds[[*(new & old), *(c for c in new ^ old if len(split(like + chr(c))) == 1)]] = kind
     # the characters with the property White_Space
     kinds[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
     return kinds
@@ -308,6 +309,16 @@ def encode(df: DataFrame, spec, text: str = "text", ids: str = "ids") -> DataFra
     return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, schema)
 
 
+def _texts(vocab: Vocabulary, packed: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts of ids that stand as little-endian 32-bit integers in the bytes ``packed``."""
+    k = np.frombuffer(packed.tobytes(), "<u4").astype(np.int64)
+    n = vocab.length[k]
+    edge = np.concatenate([[0], np.cumsum(n)])
+    raw = vocab.flat[np.repeat(vocab.begin[k] - edge[:-1], n) + np.arange(edge[-1])].tobytes()
+    at = edge[offsets // 4].tolist()
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)], pa.string())
+
+
 def decode(df: DataFrame, spec, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with a column ``text`` decoded from ``ids`` as :func:`encode` makes them.
 
@@ -320,18 +331,33 @@ def decode(df: DataFrame, spec, ids: str = "ids", text: str = "decoded") -> Data
         vocab = _encoder(spec.value).vocab
         for batch in batches:
             for lo, hi, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
-                k = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-                n = vocab.length[k]
-                edge = np.concatenate([[0], np.cumsum(n)])
-                raw = vocab.flat[np.repeat(vocab.begin[k] - edge[:-1], n) + np.arange(edge[-1])].tobytes()
-                at = edge[offsets // 4].tolist()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(_columns(batch, lo, hi, [pa.array(texts, pa.string())]), names=[*kept, text])
+                yield pa.RecordBatch.from_arrays(_columns(batch, lo, hi, [_texts(vocab, data, offsets)]), names=[*kept, text])
 
     schema = df.schema.add(text, "string")
     return df.select(*[f"`{c}`" for c in kept], F.col(f"`{ids}`").alias("__source")).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, spec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` without ``text``, with the columns ``ids`` of :func:`encode` and ``decoded`` that :func:`decode` makes of them.
+
+    Both in one pass, so that a task holds one vocabulary in one Python worker. ``decoded`` may be called as ``text``
+    is; other columns of those names are replaced.
+    """
+    kept = [c for c in df.columns if c not in (text, ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(spec.value)
+        for batch in batches:
+            for lo, hi, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
+                out, at = encoder(data, offsets)
+                packed = np.ascontiguousarray(out.astype("<u4")).view(np.uint8)
+                both = [_packed(pa.binary(), at * 4, packed), _texts(encoder.vocab, packed, at * 4)]
+                yield pa.RecordBatch.from_arrays(_columns(batch, lo, hi, both), names=[*kept, ids, decoded])
+
+    own = df.select(*[f"`{c}`" for c in kept])
+    return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, own.schema.add(ids, "binary").add(decoded, "string"))
+
+
 def load_spec(spark, path: str):
     """The vocabulary file at ``path`` on the driver, broadcast (1.5 MB; it doesn't grow with the data)."""
     with open(path, encoding="utf-8") as f:

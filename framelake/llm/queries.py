@@ -30,10 +30,13 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.load_spec(spark, vocabulary())
-    out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
-    out = out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    out = bpe.decode(out, spec)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def remainder(n: int) -> Column:
