@@ -13,6 +13,9 @@ from framelake.llm.queries import ACCEPT, quality_model, vocabulary
 from framelake.llm.store import Scratch
 from framelake.session import ship
 
+#: Words beyond which a run of lines that stands verbatim in an earlier document goes.
+PASSAGE = 50
+
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -25,8 +28,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines removed; a document that lost lines and has no words left goes."""
-    out = linedup.dedup_lines(docs)
+    """Repeated chunks of lines and verbatim runs of over ``PASSAGE`` words removed; a document that lost lines and has
+    no words left goes."""
+    out = linedup.dedup_lines(docs, passage=PASSAGE)
     return _sized(out.where(~((F.col("n_removed") > 0) & (F.trim(F.col("text")) == ""))).drop("n_lines", "n_removed"))
 
 
