@@ -1,5 +1,10 @@
 """The whole job, where a cut would show: planted rows that the first version of an operator left in or out."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from framelake.llm import bpe, lm, queries as Q
+
 
 def _passage(width, n, tag):
     return [" ".join(f"{tag}{k}x{j}" for j in range(width)) for k in range(n)]
@@ -34,3 +39,14 @@ def test_pipeline_passages_of_any_width(spark, sf_dir):
     assert by[5000] == "\n".join(mixed) and by[5001] == "before this\nafter that"
     assert by[5002] == f"one\n{tabs}\n{han}" and by[5003] == "two"
     assert by[6000] == f"own\n{twice}\nmid" and {t for i, t in got if i == 6001} == {"fine", "x\ny\nz\nlast"}
+
+
+def test_op5_learns_beyond_the_first_sample(spark):
+    """A word order that the 300 documents with the least hash don't have is learned from the others."""
+    rng = np.random.default_rng(0)
+    ids = [r.doc_id for r in spark.range(2000).toDF("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    names = np.array("red green blue black white grey pink gold".split())
+    text = lambda k: " ".join(rng.choice(names, 100) if k < lm.SAMPLE else names[(np.arange(100) + k) % 8])
+    docs = spark.createDataFrame([(i, text(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    out = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs, F.lit(True), bpe.load_spec(spark, Q.vocabulary())).collect()}
+    assert np.mean([out[i] for i in ids[lm.SAMPLE :]]) > -0.7, np.mean([out[i] for i in ids[lm.SAMPLE :]])
