@@ -3,7 +3,8 @@
 A vector is coded as a sum of ``LEVELS`` full-dimensional codewords, found by a beam search over codebooks that
 were trained on the residuals of the level before. Its norm is stored and scales the sum. Queries are scored
 against codes through lookup tables of inner products with all codewords; the best of each block of the index are
-reranked exactly with the vectors themselves. Index and queries are dealt into blocks of bounded size, and each
+reranked exactly with the vectors themselves, and so is any other vector whose lookup score and the most that its
+quantisation error can add reach the last of these: nothing among a query's nearest is left out. Index and queries are dealt into blocks of bounded size, and each
 query block meets each index block once: that is the work of a stated query set against all rows.
 """
 
@@ -20,7 +21,7 @@ from .store import Scratch
 LEVELS, CODES, BEAM = 16, 256, 2
 #: Vectors that the codebooks are trained on, drawn by a hash of the id.
 SAMPLE = 6144
-#: Rows of an index block and of a query block, and candidates of a query in a block that are reranked.
+#: Rows of an index block and of a query block, and candidates of a query in a block that are reranked first.
 INDEX_BLOCK, QUERY_BLOCK, RERANK = 16384, 512, 512
 
 
@@ -86,7 +87,12 @@ def _pack_index(books):
         codes = encode(x, own)
         made = own[np.arange(len(own)), codes].sum(axis=1)
         scale = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(made, axis=1), 1e-30)
-        packed = {"block": [group.column("block")[0].as_py()], "ids": [ids.tobytes()], "nth": [nth.tobytes()], "codes": [codes.tobytes()], "scale": [scale.astype(np.float32).tobytes()], "x": [x.tobytes()]}
+        # how far the lookup score can be off for a query of length 1: the residual, and single precision
+        scale = scale.astype(np.float32)
+        long = np.linalg.norm(own.astype(np.float64), axis=2)[np.arange(len(own)), codes].sum(axis=1)
+        off = np.linalg.norm(x - scale[:, None].astype(np.float64) * own[np.arange(len(own)), codes].sum(axis=1, dtype=np.float64), axis=1)
+        off += np.finfo(np.float32).eps * (x.shape[1] + len(own) + 4) * scale * long
+        packed = {"block": [group.column("block")[0].as_py()], "ids": [ids.tobytes()], "nth": [nth.tobytes()], "codes": [codes.tobytes()], "scale": [scale.tobytes()], "off": [off.tobytes()], "x": [x.tobytes()]}
         return pa.table({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in packed.items()})
 
     return run
@@ -113,9 +119,11 @@ def _search(books, dims: int, k: int, rerank: int):
             for row in batch.to_pylist():
                 read = lambda name, kind: np.frombuffer(row[name], kind)
                 ids, nth, scale = read("ids", np.int64), read("nth", np.int64), read("scale", np.float32)
+                off = read("off", np.float64)
                 codes, x = read("codes", np.uint8).reshape(len(ids), -1), read("x", np.float64).reshape(-1, dims)
                 keep = nth <= k  # the query itself may be among the first
-                ids, scale, codes, x = ids[keep], scale[keep], codes[keep], x[keep]
+                ids, scale, off, codes, x = ids[keep], scale[keep], off[keep], codes[keep], x[keep]
+                slack = 4 * dims * np.finfo(np.float64).eps * np.linalg.norm(x, axis=1)
                 qids, q = read("qids", np.int64), read("q", np.float64).reshape(-1, dims)
                 for lo in range(0, len(q), 128):
                     part, part_ids = q[lo : lo + 128], qids[lo : lo + 128]
@@ -131,6 +139,19 @@ def _search(books, dims: int, k: int, rerank: int):
                     score[found == part_ids[:, None]] = -np.inf
                     order = np.lexsort((found, -score), axis=1)[:, :k]
                     score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+                    if r < len(ids):
+                        least = score[:, -1] if score.shape[1] == k else np.full(len(part), -np.inf)
+                        size = np.linalg.norm(part, axis=1)
+                        wide = np.full((len(part), k), -np.inf)
+                        wide_ids = np.zeros((len(part), k), np.int64)
+                        for j, one in enumerate(part):
+                            c = np.flatnonzero(~(near[j] + size[j] * off < least[j]))
+                            c = c[~(x[c] @ one + size[j] * slack[c] < least[j])]
+                            c = c[ids[c] != part_ids[j]]
+                            s = exact_products(one, x[c])
+                            top = np.lexsort((ids[c], -s))[:k]
+                            wide[j, : len(top)], wide_ids[j, : len(top)] = s[top], ids[c][top]
+                        score, found = wide, wide_ids
                     ok = np.isfinite(score)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids, ok.sum(axis=1))), pa.array(found[ok]), pa.array(score[ok])], names=["query_id", "vec_id", "score"])
 
@@ -161,11 +182,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
 
     blocks = max(1, -(-n // index_block))
     index = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    index = scratch.table(index.groupBy("block").applyInArrow(_pack_index(books), "block long, ids binary, nth binary, codes binary, scale binary, x binary"), "index")
+    index = scratch.table(index.groupBy("block").applyInArrow(_pack_index(books), "block long, ids binary, nth binary, codes binary, scale binary, off binary, x binary"), "index")
     asked = queries.count()
     packed = queries.withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, -(-asked // query_block)))))
     packed = packed.groupBy("qblock").applyInArrow(_pack_queries, "qblock long, qids binary, q binary")
     met = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(index, "block")
-    found = met.repartition("block", "qblock").select("ids", "nth", "codes", "scale", "x", "qids", "q").mapInArrow(_search(books, dims, k, rerank), "query_id long, vec_id long, score double")
+    found = met.repartition("block", "qblock").select("ids", "nth", "codes", "scale", "off", "x", "qids", "q").mapInArrow(_search(books, dims, k, rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, lm, queries as Q
+from framelake.llm import ann, bpe, lm, queries as Q
 
 
 def _passage(width, n, tag):
@@ -50,3 +50,22 @@ def test_op5_learns_beyond_the_first_sample(spark):
     docs = spark.createDataFrame([(i, text(k)) for k, i in enumerate(ids)], "doc_id long, text string")
     out = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs, F.lit(True), bpe.load_spec(spark, Q.vocabulary())).collect()}
     assert np.mean([out[i] for i in ids[lm.SAMPLE :]]) > -0.7, np.mean([out[i] for i in ids[lm.SAMPLE :]])
+
+
+def test_op4_near_copies_beyond_rerank(spark):
+    """Each query's nearest are exact in blocks much larger than RERANK, a third of them near copies."""
+    for noise in (0.1, 0.01, 0.001):
+        rng = np.random.default_rng(4)
+        x = rng.standard_normal((6000, 64))
+        x[::3] = x[0] + noise * rng.standard_normal((2000, 64))
+        v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+        got = {}
+        for r in ann.nearest(v, v.where("id % 50 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = {0: [], 1: []}
+        for q in range(0, 6000, 50):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits[q % 3 == 0].append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+        print("noise", noise, "recall@20: near copies", np.mean(hits[1]), "others", np.mean(hits[0]))
+        assert min(hits[0] + hits[1]) == 1
