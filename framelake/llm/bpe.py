@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Texts are cut into pretokens on their byte arrays (character classes and run edges, no regular expression).
-The distinct pretokens of a chunk that aren't known yet are merged together: an index maps each adjacent pair to
-all its positions, active ranks are applied in ascending order to all positions of their pair, and the lists of
-the pairs that a merge creates are updated. Ids of a bounded number of pretokens are kept by the worker.
+Texts are cut into pretokens on their byte arrays (character classes and run edges, no regular expression). The
+distinct pretokens of a partition are merged together: an index maps each adjacent pair to all its positions in
+them, active ranks are applied in ascending order to all positions of their pair, and the lists of the pairs that a
+merge creates are updated. A partition of more than ``SEGMENT`` bytes of text is taken in segments of that size,
+each with an index of its own, which bounds memory. Pretokens are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 from . import textnum as tn
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Slots of a worker's table of known pretokens, and ids that it keeps.
-SLOTS = 1 << 20
-POOL = 6 << 20
+#: Bytes of text whose pretokens are indexed together.
+SEGMENT = 16 << 20
 
 
 def _classes() -> np.ndarray:
@@ -63,7 +63,7 @@ class Vocabulary:
             self.bytes[k] = bytes(names[c] for c in token)
         for token, k in self.special.items():
             self.bytes[k] = token
-        self.of_byte = [0] * 256
+        self.of_byte = np.zeros(256, np.int64)
         for c, b in names.items():
             self.of_byte[b] = model["vocab"][c]
         self.rank, self.made = {}, []
@@ -71,82 +71,86 @@ class Vocabulary:
             a, b = model["vocab"][x], model["vocab"][y]
             self.rank.setdefault(a << 32 | b, r)
             self.made.append((a, b, model["vocab"][x + y]))
+        self.pairs = np.array(sorted(self.rank), np.int64)
+        self.pair_rank = np.array([self.rank[p] for p in self.pairs.tolist()], np.int64)
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.length)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of ids by word)."""
-        rank, made = self.rank, self.made
-        data = b"".join(words)
-        sym = [self.of_byte[b] for b in data]
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        firsts, at = [], 0
-        for w in words:
-            firsts.append(at)
-            if w:
-                before[at] = -1
-                at += len(w)
-                after[at - 1] = -1
-        places: dict[int, list[int]] = {}
-        for i in range(n):
-            if after[i] >= 0:
-                r = rank.get(sym[i] << 32 | sym[i + 1])
-                if r is not None:
-                    if r in places:
-                        places[r].append(i)
-                    else:
-                        places[r] = [i]
-        heap = list(places)
-        heapq.heapify(heap)
+    def merge(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids by word) of the words that lie in ``data`` between ``edges``."""
+        size, n = np.diff(edges), int(edges[-1])
+        first = self.of_byte[data]
+        inner = np.ones(n, bool)  # places with a neighbour to the right in their word
+        inner[edges[1:][size > 0] - 1] = False
+        after, before = np.where(inner, np.arange(1, n + 1), -1), np.full(n, -1)
+        before[1:][inner[:-1]] = np.flatnonzero(inner[:-1]) if n else []
+        at = np.flatnonzero(inner)
+        pair = first[at] << 32 | first[at + 1]
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        hit = self.pairs[k] == pair
+        at, ranks = at[hit], self.pair_rank[k[hit]]
+        sym = first
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+        self._note(places, heap, at, ranks)
         while heap:
             r = heapq.heappop(heap)
-            a, b, new = made[r]
-            for i in sorted(places.pop(r)):
-                if sym[i] != a:
-                    continue
-                j = after[i]
-                if j < 0 or sym[j] != b:
-                    continue
-                sym[i], sym[j] = new, -1
-                k, p = after[j], before[i]
-                after[i] = k
-                if k >= 0:
-                    before[k] = i
-                    s = rank.get(new << 32 | sym[k])
-                    if s is not None:
-                        if s in places:
-                            places[s].append(i)
-                        else:
-                            places[s] = [i]
-                            heapq.heappush(heap, s)
-                if p >= 0:
-                    s = rank.get(sym[p] << 32 | new)
-                    if s is not None:
-                        if s in places:
-                            places[s].append(p)
-                        else:
-                            places[s] = [p]
-                            heapq.heappush(heap, s)
-        ids = np.array(sym, np.int64)
-        kept = ids >= 0
-        edges = np.concatenate([[0], np.cumsum(kept)])[np.array([*firsts, n])]
-        return ids[kept], np.diff(edges)
+            a, b, new = self.made[r]
+            i = np.concatenate(places.pop(r))
+            i = i[sym[i] == a]
+            i.sort()
+            i = i[np.concatenate([[True], i[1:] != i[:-1]])] if len(i) else i
+            j = after[i]
+            ok = (j >= 0) & (sym[j] == b)
+            i, j = i[ok], j[ok]
+            if a == b and len(i) > 1:  # of places that overlap in a run, every second one from its start
+                new_run = np.ones(len(i), bool)
+                new_run[1:] = i[1:] != j[:-1]
+                head = np.flatnonzero(new_run)
+                even = (np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i))))) % 2 == 0
+                i, j = i[even], j[even]
+            if not len(i):
+                continue
+            sym[i], sym[j] = new, -1
+            k = after[j]
+            after[i] = k
+            has = k >= 0
+            before[k[has]] = i[has]
+            p = before[i]
+            left = np.concatenate([i[has], p[p >= 0]])
+            right = np.concatenate([k[has], i[p >= 0]])
+            pair = sym[left] << 32 | sym[right]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            hit = self.pairs[at] == pair
+            if hit.any():
+                self._note(places, heap, left[hit], self.pair_rank[at[hit]])
+        kept = sym >= 0
+        return sym[kept], np.diff(np.concatenate([[0], np.cumsum(kept)])[edges])
+
+    @staticmethod
+    def _note(places: dict[int, list[np.ndarray]], heap: list[int], at: np.ndarray, ranks: np.ndarray) -> None:
+        """Adds positions to the lists of their pairs' ranks; ranks that get a list become active."""
+        if not len(at):
+            return
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        begin = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+        for r, lo, hi in zip(ranks[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+            if r in places:
+                places[r].append(at[lo:hi])
+            else:
+                places[r] = [at[lo:hi]]
+                heapq.heappush(heap, r)
 
 
 class Encoder:
-    """Encodes chunks of texts; one by Python worker."""
+    """Cuts chunks of texts into pretokens and encodes them; one by Python worker."""
 
     def __init__(self, spec: dict):
         self.vocab = Vocabulary(spec)
         self.kinds = _classes()
         self.ascii = self.kinds[:128]
-        self.slot_hash = np.zeros(SLOTS, np.uint64)
-        self.slot_at = np.zeros(SLOTS, np.int64)
-        self.slot_n = np.zeros(SLOTS, np.int64)
-        self.pool = np.zeros(POOL, np.int32)
-        self.used = 0
 
     def byte_classes(self, data: np.ndarray) -> np.ndarray:
         """The class of the character that each byte belongs to."""
@@ -205,8 +209,8 @@ class Encoder:
             on[a] = True
         return np.flatnonzero(on)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of the texts' ids)."""
+    def pretokens(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pretokens of the texts begin."""
         edges, fixed = offsets, []
         raw = None
         for token in self.vocab.special:
@@ -222,51 +226,64 @@ class Encoder:
         if fixed:
             fixed.sort()
             edges = np.unique(np.concatenate([offsets, np.array(fixed).ravel()]))
-        start = self.starts(data, edges, fixed)
+        return self.starts(data, edges, fixed)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts' ids) of one chunk."""
+        segment = Segment(self)
+        segment.add(data, offsets, None)
+        return next(segment.encoded())[1:]
+
+
+def _ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of the ranges one after another, their edges)."""
+    edges = np.concatenate([[0], np.cumsum(end - start)])
+    return data[np.repeat(start - edges[:-1], end - start) + np.arange(edges[-1])], edges
+
+
+class Segment:
+    """Chunks of texts whose distinct pretokens are merged in one index."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.bytes = 0
+        self._chunks: list[tuple] = []
+        self._words: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, own) -> None:
+        """``own`` comes back beside the chunk's ids."""
+        start = self.encoder.pretokens(data, offsets)
         end = np.append(start[1:], len(data)) if len(start) else start
-        up, down = tn._power(len(data) + 1)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(tn._TABLE[data] * up[: len(data)], out=total[1:])
-        h = tn.mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-        at, count = self.known(h, data, start, end)
-        edge = np.concatenate([[0], np.cumsum(count)])
-        ids = self.pool[np.repeat(at - edge[:-1], count) + np.arange(edge[-1])]
-        return ids, edge[np.searchsorted(start, offsets)]
-
-    def known(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s1 = (h >> np.uint64(44)).astype(np.int64)
-        hit = self.slot_hash[s1] == h
-        miss = np.flatnonzero(~hit)
-        s2 = ((h[miss] >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)
-        s1[miss] = s2
-        at, count = self.slot_at[s1], self.slot_n[s1]
-        miss = miss[self.slot_hash[s2] != h[miss]]
-        if len(miss):
-            u, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
-            where = miss[first]
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
-            special = {k: self.vocab.special[w] for k, w in enumerate(words) if w in self.vocab.special}
-            ids, n = self.vocab.merge([b"" if k in special else w for k, w in enumerate(words)])
-            for k in sorted(special):
-                ids = np.insert(ids, n[:k].sum(), special[k])
-                n[k] = 1
-            room = len(self.pool) - self.used
-            if len(ids) > room:  # what doesn't fit is for this chunk alone
-                self.pool = np.concatenate([self.pool[: self.used], ids.astype(np.int32)])
-            else:
-                self.pool[self.used : self.used + len(ids)] = ids
-            begin = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
-            at[miss], count[miss] = begin[inverse], n[inverse]
-            if self.used + len(ids) <= POOL:
-                for slot in ((u >> np.uint64(44)).astype(np.int64), ((u >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)):
-                    free = np.flatnonzero(self.slot_hash[slot] == 0)
-                    _, one = np.unique(slot[free], return_index=True)
-                    free = free[one]
-                    self.slot_hash[slot[free]], self.slot_at[slot[free]], self.slot_n[slot[free]] = u[free], begin[free], n[free]
-                self.used += len(ids)
-        return at, count
+        first, which, _ = tn.numbered(data, start, end)
+        self._words.append(_ranges(data, start[first], end[first]))
+        self._chunks.append((own, which.astype(np.int32), np.searchsorted(start, offsets)))
+        self.bytes += len(data)
+
+    def encoded(self) -> Iterator[tuple]:
+        """(own, ids of all texts, offsets of the texts' ids) by chunk."""
+        vocab = self.encoder.vocab
+        data = np.concatenate([w for w, _ in self._words])
+        base = np.cumsum([0] + [len(w) for w, _ in self._words])
+        start = np.concatenate([e[:-1] + b for (_, e), b in zip(self._words, base, strict=False)])
+        end = np.concatenate([e[1:] + b for (_, e), b in zip(self._words, base, strict=False)])
+        first, number, _ = tn.numbered(data, start, end)
+        start, end = start[first], end[first]
+        special = np.full(len(first), -1)
+        for token, k in vocab.special.items():
+            like = np.flatnonzero(end - start == len(token))
+            t = np.frombuffer(token, np.uint8)
+            special[like[tn.same_bytes(data, start[like], end[like], t, np.zeros(len(like), np.int64), np.full(len(like), len(t)))]] = k
+        one = special >= 0
+        ids, n = vocab.merge(*_ranges(data, start, np.where(one, start, end)))
+        ids = np.insert(ids, (np.cumsum(n) - n)[one], special[one])
+        n[one] = 1
+        begin, at = np.cumsum(n) - n, 0
+        for (own, which, texts), (_, edges) in zip(self._chunks, self._words, strict=True):
+            which = number[at : at + len(edges) - 1][which]
+            at += len(edges) - 1
+            count = n[which]
+            edge = np.concatenate([[0], np.cumsum(count)])
+            yield own, ids[np.repeat(begin[which] - edge[:-1], count) + np.arange(edge[-1])], edge[texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -280,6 +297,19 @@ def _encoder(text: str) -> Encoder:
     return _encoders[key]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """(columns but the last, ids, offsets of the texts' ids) by chunk of the texts in the last column."""
+    segment = Segment(encoder)
+    for batch in batches:
+        for lo, hi, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
+            segment.add(data, offsets, _columns(batch, lo, hi, []))
+            if segment.bytes >= SEGMENT:
+                yield from segment.encoded()
+                segment = Segment(encoder)
+    if segment._chunks:
+        yield from segment.encoded()
+
+
 def _columns(batch: pa.RecordBatch, lo: int, hi: int, more: list[pa.Array]) -> list[pa.Array]:
     return [c.slice(lo, hi - lo) for c in batch.columns[:-1]] + more
 
@@ -299,11 +329,8 @@ def encode(df: DataFrame, spec, text: str = "text", ids: str = "ids") -> DataFra
     kept = [c for c in df.columns if c != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
-        for batch in batches:
-            for lo, hi, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
-                out, at = encoder(data, offsets)
-                yield pa.RecordBatch.from_arrays(_columns(batch, lo, hi, [_packed(pa.binary(), at * 4, out.astype("<u4"))]), names=[*kept, ids])
+        for own, out, at in encoded(batches, _encoder(spec.value)):
+            yield pa.RecordBatch.from_arrays([*own, _packed(pa.binary(), at * 4, out.astype("<u4"))], names=[*kept, ids])
 
     schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids, "binary")
     return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, schema)
@@ -314,7 +341,11 @@ def _texts(vocab: Vocabulary, packed: np.ndarray, offsets: np.ndarray) -> pa.Arr
     k = np.frombuffer(packed.tobytes(), "<u4").astype(np.int64)
     n = vocab.length[k]
     edge = np.concatenate([[0], np.cumsum(n)])
-    raw = vocab.flat[np.repeat(vocab.begin[k] - edge[:-1], n) + np.arange(edge[-1])].tobytes()
+    data = vocab.flat[np.repeat(vocab.begin[k] - edge[:-1], n) + np.arange(edge[-1])]
+    try:
+        return _packed(pa.binary(), edge[offsets // 4], data).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that aren't UTF-8
+        raw = data.tobytes()
     at = edge[offsets // 4].tolist()
     return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)], pa.string())
 
@@ -347,12 +378,9 @@ def round_trip(df: DataFrame, spec, text: str = "text", ids: str = "ids", decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
-        for batch in batches:
-            for lo, hi, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
-                out, at = encoder(data, offsets)
-                packed = np.ascontiguousarray(out.astype("<u4")).view(np.uint8)
-                both = [_packed(pa.binary(), at * 4, packed), _texts(encoder.vocab, packed, at * 4)]
-                yield pa.RecordBatch.from_arrays(_columns(batch, lo, hi, both), names=[*kept, ids, decoded])
+        for own, out, at in encoded(batches, encoder):
+            packed = np.ascontiguousarray(out.astype("<u4")).view(np.uint8)
+            yield pa.RecordBatch.from_arrays([*own, _packed(pa.binary(), at * 4, packed), _texts(encoder.vocab, packed, at * 4)], names=[*kept, ids, decoded])
 
     own = df.select(*[f"`{c}`" for c in kept])
     return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, own.schema.add(ids, "binary").add(decoded, "string"))

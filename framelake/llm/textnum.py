@@ -1,7 +1,8 @@
 """Words of whole texts as 64-bit hashes, computed over Arrow buffers with numpy.
 
-A text is never turned into Python strings: a chunk of texts is one byte array, words are found by a byte
-class, and a word's hash is the difference of two prefix sums of a polynomial over its bytes, then mixed.
+A text is never turned into Python strings: a chunk of texts is one byte array, words are found by a byte class,
+and a word is hashed in lanes of eight bytes, each of which goes through a bijection that isn't linear in what it
+takes. Equal hashes can be confirmed on the bytes, lane by lane (:func:`same_bytes`, :func:`numbered`).
 """
 
 from __future__ import annotations
@@ -9,15 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are handled at once (a longer text is a chunk of its own).
 CHUNK = 1 << 20
 
+#: Lanes of a word that are hashed with numpy; what is longer goes to xxhash.
+LANES = 16
+
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -36,17 +40,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INV)):
-            out = np.full(max(n, CHUNK + 1), base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.cumprod(out, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+#: By number of bytes that are left, the bytes of a lane that belong to a word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on, as one number (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end) of ``data``."""
+    size = (end - start).astype(np.int64)
+    h = mix(size.astype(np.uint64) * _STEP + _U(seed * 0xD1342543DE82EF95 & (1 << 64) - 1))
+    if not len(size):
+        return h
+    at = lanes(data)
+    left, row = size, None  # row: the words that have more lanes
+    for k in range(LANES):
+        if row is None:
+            lane = at[start] & _MASK[np.minimum(left, 8)]
+            h = mix((h ^ lane) + _STEP)
+        else:
+            lane = at[start[row] + 8 * k] & _MASK[np.minimum(left, 8)]
+            h[row] = mix((h[row] ^ lane) + _STEP)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        row, left = more if row is None else row[more], left[more] - 8
+    for i in row.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), int(h[i]))
+    return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which ranges of ``a`` have the same bytes as the ranges of ``b`` beside them."""
+    left = (a_end - a_start).astype(np.int64)
+    ok = left == b_end - b_start
+    x, y = lanes(a), lanes(b)
+    row = np.flatnonzero(ok & (left > 0))
+    k = 0
+    while len(row):
+        if k >= LANES:  # few and long
+            for i in row.tolist():
+                ok[i] = a[a_start[i] : a_end[i]].tobytes() == b[b_start[i] : b_end[i]].tobytes()
+            break
+        n = left[row] - 8 * k
+        diff = (x[a_start[row] + 8 * k] ^ y[b_start[row] + 8 * k]) & _MASK[np.minimum(n, 8)]
+        ok[row[diff != 0]] = False
+        row = row[(diff == 0) & (n > 8)]
+        k += 1
+    return ok
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first place of each distinct range, number of each range's distinct one, hash seed): distinct by bytes.
+
+    Distinct ranges come in the order of their hashes by that seed; where two of one hash differ, another is taken.
+    """
+    for seed in range(64):
+        which, u = pd.factorize(hashes(data, start, end, seed))
+        first = np.empty(len(u), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        order = np.argsort(u)
+        place = np.empty(len(u), np.int64)
+        place[order] = np.arange(len(u))
+        first, which = first[order], place[which]
+        again = np.ones(len(which), bool)
+        again[first] = False
+        again = np.flatnonzero(again)
+        of = first[which[again]]
+        if same_bytes(data, start[again], end[again], data, start[of], end[of]).all():
+            return first, which, seed
+    raise AssertionError("no hash tells the ranges apart")
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +166,8 @@ class Words:
         self.data, self.offsets = data, offsets
         self.start, self.end = spans(word[data], offsets)
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _power(len(data) + 1)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(np.uint64))
+        self.hash = hashes(data, self.start, self.end)
 
     @property
     def count(self) -> np.ndarray:
         return np.diff(self.first)
-
-
-def word_hash(word: str) -> int:
-    """The same hash of one word that is already lower-cased."""
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(Words(data, np.array([0, len(data)]), np.ones(256, bool), lower=False).hash[0])
