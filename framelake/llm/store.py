@@ -12,9 +12,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests) a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset and all runs in one process, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None)
         if at is None:
             at = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="framelake-")
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables of one operator run: they cut lineage and survive the loss of an executor.
 
-    Files go when the driver ends, or earlier by :meth:`drop` for those that the result doesn't read.
+    Files go when the driver ends, or earlier by :meth:`drop` for those that the result doesn't read, or by :func:`clean`.
     """
 
     def __init__(self, spark: SparkSession):
@@ -32,10 +34,12 @@ class Scratch:
         self.at = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}"
         _made.append((spark, self.at))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; with ``by``, in a folder for each value of that column."""
         path = f"{self.at}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -49,8 +53,10 @@ def _delete(spark: SparkSession, at: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, at in _made:
+def clean() -> None:
+    """Delete all intermediate tables: at the end of the driver, or when no result is going to be read again."""
+    while _made:
+        spark, at = _made.pop()
         try:
             _delete(spark, at)
         except Exception:  # the JVM may have gone first
