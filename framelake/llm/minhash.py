@@ -1,23 +1,26 @@
 """Near-duplicate detection: banded MinHash with sequential Bayesian verification.
 
-Texts with the same shingle set fold into one class first (an aggregate, so any number of copies is one row).
-Signatures of the class representatives are cut into bands; a band's value is a bucket. In each bucket every
+Texts with the same words in the same order fold into one class first (an aggregate, so any number of copies is one
+row). Signatures of the class representatives are cut into bands; a band's value is a bucket. In each bucket every
 member is compared with the smallest and the largest member, and where components still differ with one drawn by
-hash, which joins a group of near copies in linear work. Only buckets that still hold several components need
-more, and there only pairs across components: members are dealt into blocks and pairs of blocks are compared and
-verified where they meet, so that no task holds a whole bucket and only links that join components are emitted. A pair survives while the posterior probability that its similarity reaches the threshold,
-given the matches among the hashes compared so far (uniform prior), is at least ``miss``. Survivors are verified
-on their full shingle sets, and links become components by contraction.
+hash, which joins a group of near copies in linear work. Only buckets that still hold several components need more,
+and there only pairs across components: members are dealt into blocks, pairs of blocks compare signatures, and only
+texts that a surviving pair names are sent to be verified, so that no task holds a whole bucket and only links that
+join components are emitted. A pair survives while the posterior probability that its similarity reaches the
+threshold, given the matches among the hashes compared so far (uniform prior), is at least ``miss``. Survivors are
+verified on their full shingle sets, by the words themselves, and links become components by contraction.
 
 A pair at similarity exactly 0.75 shares no band with probability (1 - 0.75**5)**40 = 2e-5.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +35,10 @@ HASHES = ROWS * BANDS
 BATCH = 20
 #: Members of a bucket that are compared as one block.
 BLOCK = 512
+#: Tasks that the rows of one bucket are spread over when they meet what is known of the bucket.
+SPREAD = 16
+#: Pairs that are verified at once.
+PAIRS = 256
 
 _mult = tn.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _A = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -39,9 +46,8 @@ _B = (_mult & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _PLACE = tn.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(w: tn.Words, k: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes: k words, or all words of a text with fewer."""
-    w = tn.Words(data, offsets)
     n, total = w.count, len(w.hash)
     padded = np.concatenate([w.hash, np.zeros(k, np.uint64)])
     h = np.zeros(total, np.uint64)
@@ -49,7 +55,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[
         h += padded[j : j + total] * _PLACE[j]
     h = tn.mix(h)
     out = []
-    for i in range(len(offsets) - 1):
+    for i in range(len(n)):
         a, m = w.first[i], n[i]
         if m >= k:
             out.append(np.unique(h[a : a + m - k + 1]))
@@ -74,33 +80,86 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def digests(words: tn.Words) -> list[bytes]:
+    """By text a cryptographic digest of its words in order."""
+    keep = np.zeros(len(words.data) + 1, np.int32)
+    keep[words.start] += 1
+    np.add.at(keep, words.end, -1)
+    inside = np.cumsum(keep[:-1]) > 0
+    # the place behind each word stands for the blank between words
+    data = np.concatenate([words.data, np.zeros(1, np.uint8)])
+    data[words.end] = 0x20 if len(words.end) else 0
+    sep = np.zeros(len(data), bool)
+    sep[words.end] = True
+    sep[:-1] &= ~inside
+    shown = np.append(inside, False) | sep
+    edge = np.concatenate([[0], np.cumsum(shown)])
+    size = np.concatenate([[0], np.cumsum(words.count)])
+    raw = data[shown].tobytes()
+    begin = [int(edge[words.start[a]]) if a < b else 0 for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+    end = [int(edge[words.end[b - 1]]) if a < b else 0 for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in tn.chunks(batch.column(1)):
-            sets = shingle_sets(data, offsets)
+            words = tn.Words(data, offsets)
+            sets = shingle_sets(words)
             n = np.array([len(s) for s in sets], np.int64)
             sig = iter(signatures(sets))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array(n),
-                    pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
-                    pa.array([int(tn.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
-                    pa.array([next(sig).tobytes() if m else None for m in n], pa.binary()),
-                ],
-                names=["doc_id", "n", "f1", "f2", "sig"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digests(words), pa.binary()), pa.array([next(sig).tobytes() if m else None for m in n], pa.binary())],
+                names=["id", "n", "f", "sig"],
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in tn.chunks(batch.column(1)):
-            sets = shingle_sets(data, offsets)
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "hashes"]
-            )
+def overlaps(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For texts 0 and 1, 2 and 3, ... (sizes of the shingle sets by text, shingles in common by pair), by the words themselves."""
+    data, offsets = tn.buffers(column)
+    words = tn.Words(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+    n = words.count
+    _, word, _ = tn.numbered(words.data, words.start, words.end)
+    none = int(word.max()) + 1 if len(word) else 0  # stands where a short text has no word
+    text = np.repeat(np.arange(len(n)), n)
+    left = np.repeat(words.first[1:], n) - np.arange(len(word))  # words of the text from here on
+    head = np.arange(len(word)) == words.first[:-1][text]
+    at = np.flatnonzero((left >= k) | head)
+    short = n[text[at]] < k
+    padded = np.concatenate([word, np.full(k, none)])
+    shingle = padded[at]
+    for j in range(1, k):
+        follow = np.where(short & (j >= left[at]), none, padded[at + j])
+        shingle = pd.factorize(shingle * (none + 1) + follow)[0].astype(np.int64)
+    many = int(shingle.max()) + 1 if len(shingle) else 1
+    key = pd.unique(text[at] * many + shingle)
+    text, shingle = key // many, key % many
+    size = np.bincount(text, minlength=len(n)).astype(np.int64)
+    both = np.sort(text // 2 * many + shingle)
+    twice = both[1:][both[1:] == both[:-1]] // many
+    return size, np.bincount(twice, minlength=len(n) // 2).astype(np.int64)
+
+
+def _similar(texts: pa.Array, percent: int) -> np.ndarray:
+    """Of the texts 0 and 1, 2 and 3, ... which pairs are similar enough."""
+    size, common = overlaps(texts)
+    return (100 * common >= percent * (size[::2] + size[1::2] - common)) & (common > 0)
+
+
+def _interleaved(a: pa.Array, b: pa.Array) -> pa.Array:
+    n = len(a)
+    return pa.concat_arrays([a, b]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+
+
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(lo, PAIRS)
+                texts = [part.column(c).cast(pa.large_string()) for c in (2, 3)]
+                yield part.select([0, 1]).filter(pa.array(_similar(_interleaved(*texts), percent)))
+
+    return run
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -148,23 +207,18 @@ def _prune(least: list[int]):
     return run
 
 
-def _compare(least: list[int], percent: int):
-    """Links across components between two blocks of a bucket's members: no more than join the components."""
+PAIR = "bucket long, x long, y long, a long, b long, ca long, cb long"
+
+
+def _across(least: list[int], percent: int):
+    """Pairs across components between two blocks of a bucket's members that survive pruning."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, comp, n, blk = (group.column(c).to_numpy() for c in ("id", "comp", "n", "blk"))
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        bucket, x, y = (group.column(c)[0].as_py() for c in ("bucket", "x", "y"))
         sig = _matrix(group.column("sig"))
-        sets = group.column("hashes")
         left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
-        root = {c: c for c in comp.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
         found = []
         for at in range(0, len(left), 64):
             part = left[at : at + 64]
@@ -176,20 +230,46 @@ def _compare(least: list[int], percent: int):
             a, b = np.nonzero(ok)
             a, b = part[a], right[b]
             keep = surviving(sig, sig, a, b, least)
-            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                p, q = find(int(comp[i])), find(int(comp[j]))
-                if p == q:
-                    continue
-                common = len(np.intersect1d(sets[i].values.to_numpy(), sets[j].values.to_numpy(), assume_unique=True))
-                if 100 * common >= percent * (n[i] + n[j] - common):
+            found.append(np.stack([a[keep], b[keep]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        same = lambda v: pa.array(np.full(len(a), v, np.int64))
+        return pa.table([same(bucket), same(x), same(y), pa.array(ids[a]), pa.array(ids[b]), pa.array(comp[a]), pa.array(comp[b])], names=[c.split()[0] for c in PAIR.split(", ")])
+
+    return run
+
+
+def _joining(percent: int):
+    """Of the pairs of two blocks, links that join their components: no more than it takes."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        a, b, ca, cb = (pairs.column(c).to_numpy() for c in ("a", "b", "ca", "cb"))
+        ids = texts.column("id").to_numpy()
+        order = np.argsort(ids)
+        column = texts.column("text").combine_chunks().cast(pa.large_string())
+        row = lambda v: order[np.searchsorted(ids, v, sorter=order)]
+        root = {int(c): int(c) for c in {*ca.tolist(), *cb.tolist()}}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for lo in range(0, len(a), PAIRS):
+            part = [i for i in range(lo, min(lo + PAIRS, len(a))) if find(int(ca[i])) != find(int(cb[i]))]
+            if not part:
+                continue
+            both = np.stack([row(a[part]), row(b[part])], axis=1).ravel()
+            for i, ok in zip(part, _similar(column.take(pa.array(both)), percent).tolist(), strict=True):
+                if ok and (p := find(int(ca[i]))) != (q := find(int(cb[i]))):
                     root[p] = q
-                    found.append((int(ids[i]), int(ids[j])))
+                    found.append((int(a[i]), int(b[i])))
         return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least: list[int], percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, least: list[int], percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that survive pruning and whose full shingle sets are similar enough.
 
     Joins are by sort and merge at any size: what they read grows with the corpus.
@@ -197,9 +277,15 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least: list[in
     pairs = pairs.join(reps.toDF("a", "na", "sa").hint("merge"), "a").join(reps.toDF("b", "nb", "sb").hint("merge"), "b")
     pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
     pairs = pairs.mapInArrow(_prune(least), "a long, b long")
-    both = pairs.join(sets.toDF("a", "ha").hint("merge"), "a").join(sets.toDF("b", "hb").hint("merge"), "b")
-    both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("i"))
-    return both.where(f"100 * i >= {percent} * (n - i)").select("a", "b")
+    both = pairs.join(texts.toDF("a", "ta").hint("merge"), "a").join(texts.toDF("b", "tb").hint("merge"), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _spread(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """``rows`` (bucket, id, ...) with what ``about`` has of their bucket; a large bucket is dealt over SPREAD tasks."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(SPREAD)).cast("int"))
+    about = about.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.join(about.hint("merge"), ["bucket", "part"]).drop("part")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -214,44 +300,29 @@ def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str
     return scratch.table(out, f"{name}-all")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Words are maximal runs of non-space bytes after lower-casing A-Z; a text's set has its distinct shingles of
-    5 words, or the whole sequence as one where there are fewer. Documents are linked where
-    100 * intersection >= percent * union; ``component_id`` is the least doc_id reachable. Null, empty and blank
-    texts have no shingles and link with nothing. Rows without doc_id are left out; of rows that share a doc_id
-    the one with the least text counts. Other columns are ignored. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    schema = "doc_id long, n long, f1 long, f2 long, sig binary"
-    signed = scratch.table(docs.mapInArrow(_sign, schema), "signed")
-    if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        signed = scratch.table(docs.mapInArrow(_sign, schema), "signed-once")
+def _components(docs: DataFrame, scratch: Scratch, percent: int, miss: float) -> DataFrame:
+    """(id, n, component) of texts (id, text) whose ids are unique."""
+    signed = scratch.table(docs.mapInArrow(_sign, "id long, n long, f binary, sig binary"), "signed")
     least = least_matches(percent / 100, miss)
 
-    classes = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = signed.where("n > 0").groupBy("f").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.table(classes, "classes")
-    folded = classes.where("copies > 1").select("n", "f1", "f2", "rep")
-    reps = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = scratch.table(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "reps").select("id", "n", "sig")
+    folded = classes.where("copies > 1").select("f", "rep")
+    reps = signed.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = scratch.table(reps.select("id", "n", "sig"), "reps")
 
     # the number stands in the hash, so that values of different bands don't meet
     values = [F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)]
     bands = reps.select("id", F.explode(F.array(*values)).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("m > 1")
-    members = scratch.table(bands.join(shared, "bucket"), "members")
+    members = scratch.table(_spread(bands, shared), "members")
 
-    used = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.hint("merge").join(used, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>")
-    sets = scratch.table(sets, "sets")
+    used = members.select("id").distinct()
+    texts = scratch.table(docs.hint("merge").join(used, "id", "left_semi").select("id", "text"), "texts")
 
     star = members.select("id", F.explode(F.array("lo", "hi")).alias("x")).where("id <> x")
     star = star.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    links = scratch.table(_verified(star, reps, sets, least, percent), "star")
+    links = scratch.table(_verified(star, reps, texts, least, percent), "star")
     labels = connected_components(links, scratch, "star-cc")
 
     # buckets of up to three members are done: all their pairs have been compared
@@ -260,9 +331,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
 
     # once more against another member, drawn by hash in each bucket, where components differ
     drawn = F.min(F.struct(F.xxhash64("id", "bucket"), "id", "comp"))
-    again = placed().join(placed().groupBy("bucket").agg(drawn.alias("x")), "bucket").where("comp <> x.comp")
+    again = _spread(placed(), placed().groupBy("bucket").agg(drawn.alias("x"))).where("comp <> x.comp")
     again = again.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
-    labels = _relabelled(labels, _verified(again, reps, sets, least, percent), scratch, "again")
+    labels = _relabelled(labels, _verified(again, reps, texts, least, percent), scratch, "again")
 
     # what is left: pairs of blocks, but none within the component that has most of a bucket's members
     parts = placed().groupBy("bucket", "comp").agg(F.count("*").alias("k"))
@@ -274,17 +345,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
         F.ceil(F.col("main.k") / BLOCK).alias("np"),
     )
     deal = F.xxhash64("id", F.lit(7))
-    dealt = placed().join(scratch.table(parts, "parts"), "bucket").withColumn("active", F.col("comp") != F.col("main"))
+    dealt = _spread(placed(), scratch.table(parts, "parts")).withColumn("active", F.col("comp") != F.col("main"))
     dealt = dealt.withColumn("blk", F.when(F.col("active"), F.pmod(deal, "na")).otherwise(F.col("na") + F.pmod(deal, "np")))
     others = F.when(F.col("active"), F.sequence(F.lit(0), F.col("na") + F.col("np") - 1)).otherwise(F.sequence(F.lit(0), F.col("na") - 1))
-    dealt = dealt.join(reps.hint("merge"), "id").join(sets.hint("merge"), "id")
-    dealt = dealt.select("bucket", "id", "comp", "n", "sig", "hashes", "blk", F.explode(others).alias("o"))
-    dealt = dealt.select("bucket", "id", "comp", "n", "sig", "hashes", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
-    more = dealt.groupBy("bucket", "x", "y").applyInArrow(_compare(least, percent), "a long, b long").distinct()
+    dealt = dealt.join(reps.hint("merge"), "id").select("bucket", "id", "comp", "n", "sig", "blk", F.explode(others).alias("o"))
+    dealt = dealt.select("bucket", "id", "comp", "n", "sig", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
+    cell = ["bucket", "x", "y"]
+    pairs = scratch.table(dealt.groupBy(*cell).applyInArrow(_across(least, percent), PAIR), "pairs")
+    named = pairs.select(*[F.col(c).alias(f"{c}_") for c in cell], F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.hint("merge"), "id")
+    more = pairs.groupBy(*cell).cogroup(named.groupBy(*[f"{c}_" for c in cell])).applyInArrow(_joining(percent), "a long, b long").distinct()
     final = _relabelled(labels, more, scratch, "more")
-    scratch.drop("sets")
+    scratch.drop("texts")
+
+    out = signed.select("id", "n", "f").join(folded, "f", "left").select(F.col("id").alias("own"), "n", F.coalesce("rep", "id").alias("id"))
+    return out.join(final, "id", "left").select(F.col("own").alias("id"), "n", F.coalesce("component", "id").alias("component"))
 
-    out = signed.select("doc_id", "n", "f1", "f2").join(folded, ["n", "f1", "f2"], "left")
-    out = out.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("id")).join(final, "id", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> DataFrame:
+    """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Words are maximal runs of non-space bytes after lower-casing A-Z; a text's set has its distinct shingles of
+    5 words, or the whole sequence as one where there are fewer. Documents are linked where
+    100 * intersection >= percent * union; ``component_id`` is the least doc_id reachable. Null, empty and blank
+    texts have no shingles and link with nothing. Rows without doc_id are left out. Rows that share a doc_id are one
+    document: it is linked where any of its texts is, and n_shingles is that of the text with most. Other columns
+    are ignored. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = _components(docs.withColumnRenamed("doc_id", "id"), scratch, percent, miss)
+        out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+        return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+    texts = docs.dropDuplicates().select(F.monotonically_increasing_id().alias("id"), "doc_id", "text")
+    texts = scratch.table(texts, "rows")
+    found = scratch.table(_components(texts.select("id", "text"), scratch, percent, miss), "found")
+    first = texts.groupBy("doc_id").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    same = texts.select(F.col("id").alias("a"), "doc_id").join(first.hint("merge"), "doc_id").where("a <> b").select("a", "b")
+    labels = _relabelled(found.select("id", "component"), same, scratch, "rows-cc")
+    rows = texts.select("id", "doc_id").join(labels.hint("merge"), "id").join(found.select("id", "n").hint("merge"), "id")
+    own = rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component"))
+    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = own.join(least.hint("merge"), "component").select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelake.llm import ann, bpe, lm, queries as Q
+from framelake.llm import ann, bpe, decontam, lm, minhash, queries as Q
 
 
 def _passage(width, n, tag):
@@ -69,3 +69,56 @@ def test_op4_near_copies_beyond_rerank(spark):
             hits[q % 3 == 0].append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
         print("noise", noise, "recall@20: near copies", np.mean(hits[1]), "others", np.mean(hits[0]))
         assert min(hits[0] + hits[1]) == 1
+
+
+def doubled(n, a="ab", b="ba"):
+    """Two words of ``n`` letters that every polynomial modulo a power of two hashes alike."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    """Pairs of words that collide under any polynomial hash modulo 2**64 stay apart in op1, op2 and op8."""
+    from tokenizers import Tokenizer
+
+    pairs = [doubled(n) for n in (1024, 2048, 4096)]
+    rows = [(2 * k + j, f"{w} and then some more words {k}") for k, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {i for i, _ in rows}
+    tok = Tokenizer.from_file(Q.vocabulary())
+    spec = bpe.load_spec(spark, Q.vocabulary())
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe.round_trip(docs.coalesce(1), spec).collect()}
+    assert got == {i: (tok.encode(t, add_special_tokens=False).ids, t) for i, t in rows}
+    items = spark.createDataFrame([(f"i{k}", f"{a} {a} {a}") for k, (a, _) in enumerate(pairs)], "item_id string, text string")
+    other = spark.createDataFrame([(k, f"{b} {b} {b}") for k, (_, b) in enumerate(pairs)], "doc_id long, text string")
+    assert all(not r.item_ids and not r.spans for r in decontam.find_items(other, items).collect())
+
+
+def test_op1_texts_that_share_an_id(spark):
+    """Each text of a shared doc_id is compared; large buckets of unlike members keep all their links."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    x, y = word(60), word(60)
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (5, " ".join(y)), (9, " ".join(y[:-1])), (3, " ".join(x[1:])), (7, None), (7, "")]
+    out = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.component_id for i, r in out.items()} == {5: 3, 9: 3, 3: 3, 7: 7} and out[5].n_shingles == 56 and out[7].n_shingles == 0
+    common = word(40)  # each pair shares about half of its shingles, and some pairs most of them
+    rows = []
+    for k in range(700):
+        own = word(28)
+        rows += [(3 * k, " ".join(common + own)), (3 * k + 1, " ".join(common + own[:-2])), (3 * k + 2, " ".join(common + own[:-4]))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i - i % 3 for i, _ in rows}
+
+
+def test_op5_texts_without_known_words(spark):
+    """A task whose chunk has no broadcast word, a partition of null texts, and an empty fold."""
+    spec = bpe.load_spec(spark, Q.vocabulary())
+    rows = [(k, f"some words of number {k % 3}") for k in range(30)] + [(100 + k, None) for k in range(10)] + [(200, "never seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    out = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") < 200, spec, sample=10, steps=5, hot=2).collect()}
+    assert len(out) == 41 and out[100].n_tokens == 1 and out[200].n_known == 1 and all(np.isfinite(r.score) for r in out.values())
+    none = lm.score(docs, F.lit(False), spec, steps=5).collect()
+    assert len(none) == 41 and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in none)
+    assert lm.score(docs.limit(0), F.lit(True), spec, steps=5).count() == 0
