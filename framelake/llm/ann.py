@@ -2,10 +2,13 @@
 
 A vector is coded as a sum of ``LEVELS`` full-dimensional codewords, found by a beam search over codebooks that
 were trained on the residuals of the level before. Its norm is stored and scales the sum. Queries are scored
-against codes through lookup tables of inner products with all codewords; the best of each block of the index are
-reranked exactly with the vectors themselves, and so is any other vector whose lookup score and the most that its
-quantisation error can add reach the last of these: nothing among a query's nearest is left out. Index and queries are dealt into blocks of bounded size, and each
-query block meets each index block once: that is the work of a stated query set against all rows.
+against codes through lookup tables of inner products with all codewords. The best of a block are reranked exactly
+with the vectors themselves, and so is every other vector whose lookup score and the most that its quantisation
+error can add reach the worst of the nearest found so far: nothing among a query's nearest is left out.
+
+The index is written once in blocks of bounded size, codes beside vectors. Queries go to it in broadcasts of bounded
+size; a task takes its blocks one after another and keeps each query's nearest, so that neither codes nor vectors are
+shuffled for a search, and what later blocks are reranked for falls as the nearest come in.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ from .store import Scratch
 LEVELS, CODES, BEAM = 16, 256, 2
 #: Vectors that the codebooks are trained on, drawn by a hash of the id.
 SAMPLE = 6144
-#: Rows of an index block and of a query block, and candidates of a query in a block that are reranked first.
-INDEX_BLOCK, QUERY_BLOCK, RERANK = 16384, 512, 512
+#: Rows of an index block, and candidates of a query that are reranked first.
+INDEX_BLOCK, RERANK = 16384, 512
+#: Bytes of query vectors that are broadcast at once; more are searched in several passes over the index.
+QUERY_BYTES = 32 << 20
+#: Queries that are scored together.
+TOGETHER = 128
 
 
 def train(x: np.ndarray, levels: int = LEVELS, codes: int = CODES, rounds: int = 5) -> np.ndarray:
@@ -98,12 +105,6 @@ def _pack_index(books):
     return run
 
 
-def _pack_queries(group: pa.Table) -> pa.Table:
-    ids = group.column("id").to_numpy()
-    x = np.asarray(group.column("v").combine_chunks().flatten(), np.float64)
-    return pa.table({"qblock": pa.array([group.column("qblock")[0].as_py()], pa.int64()), "qids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([x.tobytes()], pa.binary())})
-
-
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products in double precision, added up in the order of the components."""
     out = np.zeros(np.broadcast_shapes(q.shape[:-1], x.shape[:-1]))
@@ -112,81 +113,115 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(books, dims: int, k: int, rerank: int):
+def _nearer(score: np.ndarray, ids: np.ndarray, new_score: np.ndarray, new_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best of both, as many as there were before."""
+    s, i = np.concatenate([score, new_score]), np.concatenate([ids, new_ids])
+    top = np.lexsort((i, -s))[: len(score)]
+    return s[top], i[top]
+
+
+class Block:
+    def __init__(self, row: dict, books: np.ndarray, dims: int, k: int):
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        nth = read("nth", np.int64)
+        keep = nth <= k  # the query itself may be among the first
+        self.ids, self.scale, self.off = (read(c, t)[keep] for c, t in (("ids", np.int64), ("scale", np.float32), ("off", np.float64)))
+        self.codes, self.x = read("codes", np.uint8).reshape(len(nth), -1)[keep], read("x", np.float64).reshape(-1, dims)[keep]
+        self.slack = 4 * dims * np.finfo(np.float64).eps * np.linalg.norm(self.x, axis=1)
+        self.books = books
+
+    def lookup(self, q: np.ndarray) -> np.ndarray:
+        """(queries, rows) scores from the codes alone."""
+        table = (self.books @ q.T.astype(np.float32)).astype(np.float32)  # levels, codes, queries
+        near = np.zeros((len(self.ids), len(q)), np.float32)
+        for m in range(len(self.books)):
+            near += table[m][self.codes[:, m]]
+        return np.ascontiguousarray((near * self.scale[:, None]).T)
+
+    def reach(self, near: np.ndarray, size: float, one: np.ndarray, least: float) -> np.ndarray:
+        """Rows whose exact score can be ``least`` or more."""
+        c = np.flatnonzero(~(near + size * self.off < least))
+        return c[~(self.x[c] @ one + size * self.slack[c] < least)]
+
+
+def _search(books, queries, dims: int, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = books.value
+        qids, q = queries.value
+        score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        size = np.linalg.norm(q, axis=1)
         for batch in batches:
-            for row in batch.to_pylist():
-                read = lambda name, kind: np.frombuffer(row[name], kind)
-                ids, nth, scale = read("ids", np.int64), read("nth", np.int64), read("scale", np.float32)
-                off = read("off", np.float64)
-                codes, x = read("codes", np.uint8).reshape(len(ids), -1), read("x", np.float64).reshape(-1, dims)
-                keep = nth <= k  # the query itself may be among the first
-                ids, scale, off, codes, x = ids[keep], scale[keep], off[keep], codes[keep], x[keep]
-                slack = 4 * dims * np.finfo(np.float64).eps * np.linalg.norm(x, axis=1)
-                qids, q = read("qids", np.int64), read("q", np.float64).reshape(-1, dims)
-                for lo in range(0, len(q), 128):
-                    part, part_ids = q[lo : lo + 128], qids[lo : lo + 128]
-                    table = (own @ part.T.astype(np.float32)).astype(np.float32)  # levels, codes, queries
-                    near = np.zeros((len(ids), len(part)), np.float32)
-                    for m in range(len(own)):
-                        near += table[m][codes[:, m]]
-                    near = np.ascontiguousarray((near * scale[:, None]).T)
-                    r = min(rerank, len(ids))
-                    best = np.argpartition(-near, r - 1, axis=1)[:, :r]
-                    score = exact_products(part[:, None, :], x[best])
-                    found = ids[best]
-                    score[found == part_ids[:, None]] = -np.inf
-                    order = np.lexsort((found, -score), axis=1)[:, :k]
-                    score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
-                    if r < len(ids):
-                        least = score[:, -1] if score.shape[1] == k else np.full(len(part), -np.inf)
-                        size = np.linalg.norm(part, axis=1)
-                        wide = np.full((len(part), k), -np.inf)
-                        wide_ids = np.zeros((len(part), k), np.int64)
-                        for j, one in enumerate(part):
-                            c = np.flatnonzero(~(near[j] + size[j] * off < least[j]))
-                            c = c[~(x[c] @ one + size[j] * slack[c] < least[j])]
-                            c = c[ids[c] != part_ids[j]]
-                            s = exact_products(one, x[c])
-                            top = np.lexsort((ids[c], -s))[:k]
-                            wide[j, : len(top)], wide_ids[j, : len(top)] = s[top], ids[c][top]
-                        score, found = wide, wide_ids
-                    ok = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids, ok.sum(axis=1))), pa.array(found[ok]), pa.array(score[ok])], names=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                block = Block({c: batch.column(c)[i].as_buffer() for c in batch.schema.names}, books.value, dims, k)
+                r = min(rerank, len(block.ids))
+                for lo in range(0, len(q), TOGETHER):
+                    part = q[lo : lo + TOGETHER]
+                    near = block.lookup(part)
+                    for j, one in enumerate(part, lo):
+                        if score[j, -1] == -np.inf:  # nothing to measure by yet
+                            c = np.argpartition(-near[j - lo], r - 1)[:r]
+                            c = c[block.ids[c] != qids[j]]
+                            top = np.sort(exact_products(one, block.x[c]))[::-1][:k]
+                            least = max(float(top[-1]) if len(top) == k else -np.inf, score[j, -1])
+                        else:
+                            least = score[j, -1]
+                        c = block.reach(near[j - lo], size[j], one, least)
+                        c = c[block.ids[c] != qids[j]]
+                        if len(c):
+                            score[j], found[j] = _nearer(score[j], found[j], exact_products(one, block.x[c]), block.ids[c])
+        ok = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ok.sum(axis=1))), pa.array(found[ok]), pa.array(score[ok])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK, rerank: int = RERANK) -> DataFrame:
+def _vectors(df: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of the rows, on the driver."""
+    table = df.select("id", "v").toArrow()
+    return table.column("id").to_numpy().astype(np.int64), np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(len(table), dims)
+
+
+def _of_length(vectors: DataFrame, n: int, queries: DataFrame, asked: int, dims: int, k: int, sample: int, index_block: int, query_bytes: int, rerank: int, scratch: Scratch) -> DataFrame:
+    spark = vectors.sparkSession
+    # by row, so that no row that is repeated often can be drawn as often
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40))
+    ids, some = _vectors(vectors.where(draw < int(min(1.0, sample / n) * (1 << 40))), dims)
+    if len(ids) == 0:
+        ids, some = _vectors(vectors.limit(1), dims)
+    some = some[np.lexsort((*some.T[::-1], ids))][:sample]
+    books = spark.sparkContext.broadcast(train(some))
+
+    blocks = max(1, -(-n // index_block))
+    index = vectors.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(3)), F.lit(blocks)))
+    index = index.repartition(blocks, "block").groupBy("block").applyInArrow(_pack_index(books), "block long, ids binary, nth binary, codes binary, scale binary, off binary, x binary")
+    index = scratch.table(index, f"index-{dims}").drop("block")
+    parts = max(1, -(-asked * dims * 8 // query_bytes))
+    found = None
+    for part in range(parts):
+        own = spark.sparkContext.broadcast(_vectors(queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(parts)) == part), dims))
+        more = scratch.table(index.mapInArrow(_search(books, own, dims, k, rerank), "query_id long, vec_id long, score double"), f"found-{dims}-{part}")
+        own.unpersist()
+        found = more if found is None else found.union(more)
+    return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, index_block: int = INDEX_BLOCK, query_bytes: int = QUERY_BYTES, rerank: int = RERANK) -> DataFrame:
     """For each row of ``queries`` (id, v) its ``k`` nearest of ``vectors`` (id, v): query_id, rank, vec_id, score.
 
     Nearness is the largest inner product in double precision; ties go to the smaller id; a query's own id doesn't
-    count. Rows without id and vectors that are null, empty, zero, hold null or non-finite components, or differ in
-    length from the most frequent length take no part. Ids should be unique; of repeated rows each counts. With
-    fewer than ``k`` candidates all are returned, and none for an empty table. Codebooks are trained on at most
-    ``sample`` vectors, those with the least hash of the id; all vectors are indexed.
+    count. Rows without id and vectors that are null, empty, zero or hold null or non-finite components take no part;
+    vectors of several lengths are searched among those of their own. Ids should be unique; of repeated rows each
+    counts, repeated queries count once. With fewer than ``k`` candidates all are returned, and none for an empty
+    table. Codebooks are trained on about ``sample`` vectors at most; all vectors are indexed.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null").where(_usable("v"))
-    vectors, queries = clean(vectors), clean(queries)
-    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dims, n = sizes[0].d, sizes[0].n
-    vectors, queries = vectors.where(F.size("v") == dims), queries.where(F.size("v") == dims)
-    some = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    books = spark.sparkContext.broadcast(train(np.asarray(some.flatten(), np.float64).reshape(len(some), dims)))
-
-    blocks = max(1, -(-n // index_block))
-    index = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    index = scratch.table(index.groupBy("block").applyInArrow(_pack_index(books), "block long, ids binary, nth binary, codes binary, scale binary, off binary, x binary"), "index")
-    asked = queries.count()
-    packed = queries.withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, -(-asked // query_block)))))
-    packed = packed.groupBy("qblock").applyInArrow(_pack_queries, "qblock long, qids binary, q binary")
-    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(index, "block")
-    found = met.repartition("block", "qblock").select("ids", "nth", "codes", "scale", "off", "x", "qids", "q").mapInArrow(_search(books, dims, k, rerank), "query_id long, vec_id long, score double")
+    vectors, queries = clean(vectors), scratch.table(clean(queries).dropDuplicates(), "queries")
+    count = lambda df: {r.d: r.n for r in df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    sizes, asked = count(vectors), count(queries)
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for d in sorted(set(sizes) & set(asked)):
+        of = F.size("v") == d
+        found = found.union(_of_length(vectors.where(of), sizes[d], queries.where(of), asked[d], d, k, sample, index_block, query_bytes, rerank, scratch))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
