@@ -22,7 +22,7 @@ FEATURES = 2048
 DIMENSIONS = 48
 #: Labelled documents that the space and the vote are built from, drawn by a hash of doc_id.
 SAMPLE = 6000
-NEIGHBOURS = 25
+NEIGHBOURS = 9
 BLOCK = 512
 #: Weight of the share of repeated words beside the byte pairs, which have length 1.
 REPEATS = 1.5
@@ -90,7 +90,7 @@ class Model:
         similar = self.project(raw) @ self.vectors.T
         k = min(self.neighbours, similar.shape[1])
         near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** 8
+        weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64)
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1)
         return np.where(total > 0, vote / np.where(total > 0, total, 1), self.prior)
@@ -99,7 +99,7 @@ class Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, x in blocks(batch.column(1)):
-            packed = [np.minimum(r, 65535).astype(np.uint16).tobytes() for r in x]
+            packed = [r.astype(np.float32).tobytes() for r in x]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "x"])
 
 
@@ -107,16 +107,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """A model from at most ``sample`` labelled documents, those with the least hash of doc_id.
 
     Rows of ``labels`` without doc_id or label are left out; of several labels of a document the mean counts,
-    rounded up at a half. Without any labelled document every score is 0.5.
+    rounded up at a half; of rows that share a doc_id the least text counts. Without any labelled document every score
+    is 0.5.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     labels = labels.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, x binary").limit(sample)
+    texts = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     by_id = {r.doc_id: r.y for r in chosen.collect()}
-    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
-    raw = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint16).reshape(len(rows), FEATURES + 2).astype(np.float32)
+    rows = sorted(texts.mapInArrow(_features, "doc_id long, x binary").collect(), key=lambda r: r.doc_id)
+    raw = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), FEATURES + 2)
     return Model(raw, np.array([by_id[r.doc_id] for r in rows], np.int64))
 
 
