@@ -104,6 +104,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", passag
     has an equal one that stays.
     """
     docs = docs.drop("n_lines", "n_removed")
+    names = docs.columns
+    text, key = f"c{names.index(text)}", f"c{names.index(key)}"
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # so that no name meets one of the columns made here
     texts = docs.where(f"`{key}` is not null").select(F.col(f"`{key}`").alias("__k"), F.col(f"`{text}`").alias("__t"))
     chunks = _chunked(texts, "__t")
     chunks = chunks.select("__k", F.explode("__c").alias("c")).select("__k", "c.n", "c.w", "c.t").where(ELIGIBLE)
@@ -138,4 +141,4 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", passag
     out = out.withColumn("n_lines", lines)
     out = out.withColumn("n_removed", F.coalesce(F.expr("size(__l) - aggregate(__r, 0, (a, c) -> a + c.n)"), F.lit(0)))
     out = out.withColumn(text, F.coalesce(F.expr("array_join(transform(__r, c -> c.t), '\n')"), F.col(f"`{text}`")))
-    return out.select(*[f"`{c}`" for c in docs.columns], "n_lines", "n_removed")
+    return out.select(*docs.columns, "n_lines", "n_removed").toDF(*names, "n_lines", "n_removed")
