@@ -1,17 +1,23 @@
 """Chat formatting: cumulative snapshots of one conversation are collapsed to the longest, then rendered.
 
 A turn is hashed together with its position, and the hash of a prefix is the running exclusive-or of its turns'
-hashes, so a prefix's hash follows from that of the prefix before it. A conversation whose whole hash is a prefix
-hash of a longer one, or that of an equal one with a smaller id, is removed by an anti-join. Two hashes of 64 bits
-each are kept. Runs of turns are blocks of ``BLOCK`` turn numbers, whose counts and hashes are summed up before they are
-carried on, so that a conversation of any length is spread over many tasks and rendered in parts of bounded size.
+hashes, so a prefix's hash follows from that of the prefix before it. Of conversations with one whole hash the least
+id stands for all; an anti-join then drops those whose whole hash is that of a shorter prefix of any conversation.
+Both sides of it have each hash once, so a first turn or a conversation that most logs share is no load. Two hashes
+of 64 bits each are kept. Runs of turns are blocks of ``BLOCK`` turn numbers, whose counts and hashes are summed up
+before they are carried on, so that a conversation of any length is spread over many tasks and rendered in parts of
+bounded size. Turns and their hashes are written once and read from there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import Scratch
+
 BLOCK = 256
+#: Tasks that the blocks of one conversation are dealt over when they meet what is known of it.
+SPREAD = 16
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -40,16 +46,21 @@ def prefixes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     return turns.drop("t1", "t2", "b1", "b2")
 
 
+def _of_conversation(turns: DataFrame, about: DataFrame) -> DataFrame:
+    """``turns`` with what ``about`` has of their conversation, which has a row there."""
+    turns = turns.withColumn("part", F.pmod(F.col("block"), F.lit(SPREAD)).cast("int"))
+    about = about.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return turns.join(about.hint("merge"), ["conv_id", "part"]).drop("part")
+
+
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns) of conversations that prefix no other; of equal ones the least conv_id stays."""
     length = turns.groupBy("conv_id").agg(F.max("n").alias("n_turns"))
-    marked = turns.select("conv_id", "n", "h1", "h2").join(length.hint("merge"), "conv_id")
-    whole = F.col("n") == F.col("n_turns")
-    shared = marked.groupBy("n", "h1", "h2").agg(F.max("n_turns").alias("longest"), F.min(F.when(whole, F.col("conv_id"))).alias("first"))
-    shared = shared.where("first is not null").select(F.col("n").alias("__n"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "longest", "first")
+    marked = _of_conversation(turns.select("conv_id", "block", "n", "h1", "h2"), length)
+    whole = marked.where("n = n_turns").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
+    shorter = marked.where("n < n_turns").select(F.col("n").alias("__n"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
     same = (F.col("n") == F.col("__n")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))
-    beaten = (F.col("longest") > F.col("n_turns")) | (F.col("first") < F.col("conv_id"))
-    return marked.where(whole).join(shared.hint("merge"), same & beaten, "left_anti").select("conv_id", "n_turns")
+    return whole.join(shorter.hint("merge"), same, "left_anti").select("conv_id", F.col("n").alias("n_turns"))
 
 
 def render(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -60,8 +71,8 @@ def render(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     other than conv_id, turn, role and text are ignored; an empty table gives no rows. ``part`` counts from 1; only
     conversations that span more than ``block`` turn numbers have several.
     """
-    turns = prefixes(conversations, block)
-    kept = turns.join(maximal(turns).hint("merge"), "conv_id")
+    turns = Scratch(conversations.sparkSession).table(prefixes(conversations, block), "turns")
+    kept = _of_conversation(turns, maximal(turns))
     said = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
     parts = kept.groupBy("conv_id", "n_turns", "block").agg(F.sort_array(F.collect_list(F.struct("n", said.alias("s")))).alias("said"))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")).cast("long")
