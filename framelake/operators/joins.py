@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _merged(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
-    """Probes (track, t) and rows (track, t) in one table; a row comes before a probe of the same time."""
+def _merged(left: DataFrame, right: DataFrame, value: Column, slack: int = 0) -> DataFrame:
+    """Probes (track, t) and rows (track, t) in one table; a row comes before a probe of the same time, or of one that
+    is up to ``slack`` earlier."""
     a = left.select("track", "t", F.lit(1).alias("side"), F.lit(None).cast("struct<t:bigint,v:bigint>").alias("r"))
-    b = right.select("track", "t", F.lit(0).alias("side"), F.struct(F.col("t").cast("long").alias("t"), value.cast("long").alias("v")).alias("r"))
+    b = right.select("track", (F.col("t") - slack).alias("t"), F.lit(0).alias("side"), F.struct(F.col("t").cast("long").alias("t"), value.cast("long").alias("v")).alias("r"))
     return a.unionByName(b)
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
-    """For each probe the last row at or before it; before the first row, the first one."""
+def as_of(left: DataFrame, right: DataFrame, value: str, slack: int = 0) -> DataFrame:
+    """For each probe the last row at or before it, where times within ``slack`` are the same; before the first row, the first one."""
     w = Window.partitionBy("track").orderBy("t", "side", "r.v")
     back = F.last("r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    m = _merged(left, right, F.col(value)).withColumn("hit", F.coalesce(back, ahead)).where("side = 1")
+    m = _merged(left, right, F.col(value), slack).withColumn("hit", F.coalesce(back, ahead)).where("side = 1")
     return m.select("track", "t", F.col("hit.v").alias(value), F.col("hit.t").alias("at"))
 
 
@@ -68,13 +69,34 @@ def key_alignment(keys: DataFrame, tolerance: int) -> DataFrame:
     return keys.select("version", "t").distinct().join(n, ["version", "t"], "left").na.fill(0, ["peers"])
 
 
-def segment_fit(keys: DataFrame, length: int, tolerance: int) -> DataFrame:
-    """By version the boundaries at multiples of ``length`` and those without a key within the band."""
+def aligned_everywhere(keys: DataFrame, tolerance: int, reference: str) -> DataFrame:
+    """By version its keys, those with one near in every other version, and the share of the reference's near one of its own, in thousandths."""
+    pairs = band_pairs(keys, keys, tolerance)
+    versions = keys.select("version").distinct().count()  # one number
+    n = pairs.groupBy("version", "t").agg(F.count("*").alias("peers"), F.max((F.col("peer") == reference).cast("int")).alias("ref"))
+    k = keys.select("version", "t").distinct().join(n, ["version", "t"], "left")
+    out = k.groupBy("version").agg(F.count("*").alias("keys"), F.count(F.when(F.coalesce("peers", F.lit(0)) >= versions - 1, 1)).alias("everywhere"), F.sum(F.coalesce("ref", F.lit(0))).alias("near"))
+    return out.select("version", "keys", "everywhere", F.when(F.col("version") == reference, 1000).otherwise(F.floor(F.col("near") * 1000 / F.col("keys"))).cast("long").alias("share"))
+
+
+def missing_anywhere(keys: DataFrame, length: int, tolerance: int) -> DataFrame:
+    """Boundaries at multiples of ``length`` at which some version that reaches them has no key within the band, with how many."""
+    fit = segment_grid(keys, length, tolerance)
+    return fit.groupBy("k").agg(F.count("*").alias("versions"), F.count(F.when(F.col("ok").isNull(), 1)).alias("missing")).where("missing > 0")
+
+
+def segment_grid(keys: DataFrame, length: int, tolerance: int) -> DataFrame:
+    """(version, k, ok): boundaries by version, ok null where no key is near."""
     ends = keys.groupBy("version").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    grid = ends.select("version", F.explode(F.sequence(F.ceil(F.col("lo") / length), F.floor(F.col("hi") / length))).alias("k")).withColumn("t", F.col("k") * length)
+    grid = ends.select("version", F.explode(F.sequence(F.ceil(F.col("lo") / length), F.floor(F.col("hi") / length))).alias("k"))
     near = keys.select("version", F.floor((F.col("t") + F.lit(length // 2)) / length).alias("k"), "t")
     near = near.where(F.abs(F.col("t") - F.col("k") * length) <= tolerance).select("version", "k").distinct().withColumn("ok", F.lit(1))
-    g = grid.join(near, ["version", "k"], "left")
+    return grid.join(near, ["version", "k"], "left")
+
+
+def segment_fit(keys: DataFrame, length: int, tolerance: int) -> DataFrame:
+    """By version the boundaries at multiples of ``length`` and those without a key within the band."""
+    g = segment_grid(keys, length, tolerance)
     return g.groupBy("version").agg(F.count("*").alias("bounds"), F.count(F.when(F.col("ok").isNull(), 1)).alias("missing"), F.min(F.when(F.col("ok").isNull(), F.col("k"))).alias("first_missing"))
 
 
@@ -84,9 +106,3 @@ def same_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("track").agg(F.count("x").alias("n_a"), F.count("y").alias("n_b"), F.min((F.col("x").eqNullSafe(F.col("y"))).cast("int")).alias("s")).select(
         "track", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("s") == 1).alias("copied")
     )
-
-
-def first_fit(rows: DataFrame, table: DataFrame, fits: Column, order: str, value: str) -> DataFrame:
-    """Each row (id) with the first entry of a small fixed ``table`` whose limits all hold, or null."""
-    j = rows.join(F.broadcast(table), fits, "left")
-    return j.groupBy("id").agg(F.min_by(value, order).alias(value))

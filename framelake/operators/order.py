@@ -27,19 +27,27 @@ def pts_gaps(samples: DataFrame, least: int = 100_000) -> DataFrame:
 
 
 def duration_gaps(samples: DataFrame, slack: int = 35_000, first: int = 20_000) -> DataFrame:
-    """Frames that start more than ``slack`` ticks after the frame before should end, among the first ones."""
-    end = F.lag(F.col("dts") + F.least(F.col("duration"), F.lit(3_600_000_000))).over(by_track("i"))
+    """Frames that start more than ``slack`` ticks after the frame before should end, among the first ones; for audio tracks."""
+    end = F.lag(F.col("dts") + F.col("duration")).over(by_track("i"))
     return samples.withColumn("gap", F.col("dts") - end).where((F.col("i") < first) & (F.col("gap") > slack)).select("track", "i", "gap")
 
 
-def anomalies(samples: DataFrame) -> DataFrame:
-    """All oddities: track, i, kind, ticks."""
-    kinds = {"backwards": dts_backwards(samples, "pts").withColumnRenamed("step", "ticks"), "gap": pts_gaps(samples).withColumnRenamed("gap", "ticks"), "late": duration_gaps(samples).withColumnRenamed("gap", "ticks")}
-    out = None
-    for kind, df in kinds.items():
-        df = df.withColumn("kind", F.lit(kind))
-        out = df if out is None else out.unionByName(df)
-    return out
+def anomalies(samples: DataFrame, least: int = 100_000, slack: int = 35_000, first: int = 20_000) -> DataFrame:
+    """All oddities (track, i, kind, ticks) in one pass over one shuffle; ``audio``, where the table has it, says which
+    tracks can be late."""
+    whole = Window.partitionBy("track")
+    audio = F.col("audio") if "audio" in samples.columns else F.lit(True)
+    s = samples.select(
+        "track", "i", "pts", F.lag("pts").over(by_track("i")).alias("before"), (F.col("dts") - F.lag(F.col("dts") + F.col("duration")).over(by_track("i"))).alias("late"),
+        F.count("*").over(whole).alias("n"), F.sum("duration").over(whole).alias("total"), audio.alias("audio"),
+    ).withColumn("gap", F.col("pts") - F.lag("pts").over(by_track("pts", "i")))
+    one = lambda kind, on, ticks: F.when(on, F.struct(F.lit(kind).alias("kind"), ticks.alias("ticks")))
+    found = F.array(
+        one("backwards", F.col("pts") < F.col("before"), F.col("pts") - F.col("before")),
+        one("gap", (F.col("n") > 2) & (F.col("gap") > least) & (F.col("gap") * 2 * F.col("n") > 5 * F.col("total")), F.col("gap")),
+        one("late", F.col("audio") & (F.col("i") < first) & (F.col("late") > slack), F.col("late")),
+    )
+    return s.select("track", "i", F.explode(F.array_compact(found)).alias("x")).select("track", "i", "x.kind", "x.ticks")
 
 
 def around(samples: DataFrame, at: int, n: int) -> DataFrame:
@@ -65,17 +73,6 @@ def derive_dts(samples: DataFrame) -> DataFrame:
     return s.withColumn("derived", F.col("sorted") - F.max(F.col("sorted") - F.col("pts")).over(Window.partitionBy("track"))).select("track", "i", "derived")
 
 
-def continuity(rows: DataFrame, modulus: int = 16) -> DataFrame:
-    """By track the counters (``counter`` in order of ``i``) that neither follow nor repeat the one before."""
-    before = F.lag("counter").over(by_track("i"))
-    r = rows.withColumn("b", before)
-    return r.groupBy("track").agg(
-        F.count("*").alias("packets"),
-        F.count(F.when(F.col("counter") == F.col("b"), 1)).alias("repeated"),
-        F.count(F.when((F.col("counter") != F.col("b")) & (F.col("counter") != F.pmod(F.col("b") + 1, F.lit(modulus))), 1)).alias("errors"),
-    )
-
-
 def coalesce_runs(samples: DataFrame, gap: int) -> DataFrame:
     """Byte runs of key frames, joined where at most ``gap`` bytes lie between."""
     end = F.lag(F.col("offset") + F.col("size")).over(by_track("i"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .samples import UP_TO, by_track
@@ -10,15 +12,20 @@ SECOND = 1_000_000
 
 
 def bitrate_series(samples: DataFrame, bin: int) -> DataFrame:
-    """Bits by track and slice of ``bin`` ticks from the first frame of all tracks; empty slices are 0."""
+    """Bits by track and slice of ``bin`` ticks from the first frame of all tracks; empty slices are 0.
+
+    The span of all tracks is one row, which is read first; then bits are summed by (track, slice) before rows move,
+    and a track's slices are filled in where they meet.
+    """
     ends = samples.groupBy("track").agg(F.min_by("dts", "i").alias("lo"), F.max_by(F.col("dts") + F.col("duration"), "i").alias("hi"))
-    span = ends.agg(F.min("lo").alias("start"), F.max("hi").alias("end"))  # one row
-    span = span.select("start", F.greatest(F.lit(1), F.ceil((F.col("end") - F.col("start")) / bin - 1e-9)).cast("long").alias("n"))
-    grid = ends.select("track").crossJoin(F.broadcast(span)).select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"))
-    at = F.floor((F.col("dts") - F.col("start")) / bin)
-    got = samples.crossJoin(F.broadcast(span)).withColumn("slice", F.greatest(F.lit(0), F.least(at, F.col("n") - 1)))
-    got = got.groupBy("track", "slice").agg((F.sum("size") * 8).alias("bits"))
-    return grid.join(got, ["track", "slice"], "left").select("track", "slice", F.coalesce("bits", F.lit(0)).alias("bits"))
+    span = ends.agg(F.min("lo").alias("start"), F.max("hi").alias("end")).first()
+    start, end = span.start or 0, span.end or 0
+    n = max(1, math.ceil((end - start) / bin - 1e-9))
+    at = F.greatest(F.lit(0), F.least(F.floor((F.col("dts") - start) / bin), F.lit(n - 1))).cast("long")
+    got = samples.groupBy("track", at.alias("slice")).agg((F.sum("size") * 8).alias("bits"))
+    by = got.groupBy("track").agg(F.map_from_entries(F.collect_list(F.struct("slice", "bits"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
+    return by.select("track", F.posexplode(every).alias("slice", "bits")).withColumn("slice", F.col("slice").cast("long"))
 
 
 def rate_stats(series: DataFrame) -> DataFrame:
@@ -35,8 +42,9 @@ def rate_stats(series: DataFrame) -> DataFrame:
 
 
 def rate_control(stats: DataFrame) -> DataFrame:
-    """Constant, capped or variable, by variation and peak."""
-    kind = F.when((F.col("cv") < 0.1) & (F.col("ratio") < 1.2), "cbr").when(F.col("ratio") < 1.6, "capped").otherwise("vbr")
+    """Constant, capped or variable, by variation and peak; too short to tell below six ``seconds``."""
+    seconds = F.col("seconds") if "seconds" in stats.columns else F.lit(None).cast("double")
+    kind = F.when(seconds < 6, "short").when((F.col("cv") < 0.1) & (F.col("ratio") < 1.2), "cbr").when(F.col("ratio") < 1.6, "capped").otherwise("vbr")
     return stats.select("track", kind.alias("guess"))
 
 
@@ -62,43 +70,85 @@ def buffer_needed(samples: DataFrame, rate: int) -> DataFrame:
     return s.groupBy("track").agg(F.max(F.col("sum") - F.col("t") - F.col("low")).alias("buffer"))
 
 
-def vbv(samples: DataFrame, rate: int, size: int, fill: float = 0.9, chunk: int = 512) -> DataFrame:
-    """Decoder buffer of ``size`` bits filled at ``rate`` bits a second: underflows, the first one, the least level.
+def _then(m, n):
+    """The map that does ``m``, then ``n``: each adds ``a``, then keeps to [lo, hi]."""
+    keep = lambda x: F.least(n["hi"], F.greatest(n["lo"], x + n["a"]))
+    return F.struct((m["a"] + n["a"]).alias("a"), keep(m["lo"]).alias("lo"), keep(m["hi"]).alias("hi"))
+
 
-    A frame maps the level by an addition between two limits, and such maps compose to one of their kind. Frames are
-    folded in chunks of bounded length, the maps of the chunks are composed by track, and every chunk is replayed
-    from the level it starts with. Levels are millionths of a bit.
+def _vbv_chunks(samples: DataFrame, rate: int, size: int, fill: float, chunk: int, fan: int) -> DataFrame:
+    """(track, chunk, f, level): frames of each chunk in order, and the level before the first of them.
+
+    Chunks are dealt by (track, chunk), so a track's chunks lie in many tasks. Their maps are composed by groups of
+    ``fan``, these by groups again, and the levels are carried down the same way; no list is longer than ``fan``
+    but for the uppermost, which has one entry in chunk * fan * fan frames.
     """
     cap = F.lit(size * SECOND).cast("long")
-    gap = F.coalesce(F.col("dts") - F.lag("dts").over(by_track("i")), F.lit(0)) * rate
-    s = samples.select("track", "i", F.floor(F.col("i") / chunk).alias("chunk"), gap.alias("g"), (F.col("size") * 8 * SECOND).alias("b"))
-    c = s.groupBy("track", "chunk").agg(F.sort_array(F.collect_list(F.struct("i", "g", "b"))).alias("f"))
-    clamp = lambda x, lo, hi: F.least(hi, F.greatest(lo, x))
     zero = F.lit(0).cast("long")
     whole = F.struct(zero.alias("a"), zero.alias("lo"), cap.alias("hi"))
+    c = samples.groupBy("track", F.floor(F.col("i") / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("i", "dts", (F.col("size") * 8 * SECOND).alias("b")))).alias("f"))
+    before = F.lag(F.element_at("f", -1)["dts"]).over(Window.partitionBy("track").orderBy("chunk"))
+    c = c.withColumn("before", F.coalesce(before, F.col("f")[0]["dts"]))
+    gap = lambda x, k: (x["dts"] - F.when(k == 0, F.col("before")).otherwise(F.col("f")[F.greatest(k - 1, F.lit(0))]["dts"])) * rate
+    c = c.withColumn("f", F.transform("f", lambda x, k: F.struct(x["i"].alias("i"), gap(x, k).alias("g"), x["b"].alias("b"))))
+    one = lambda x: F.struct((x["g"] - x["b"]).alias("a"), zero.alias("lo"), F.greatest(zero, cap - x["b"]).alias("hi"))
+    maps = c.select("track", "chunk", F.aggregate("f", whole, lambda m, x: _then(m, one(x))).alias("m"))
+    tables = [maps.withColumnRenamed("chunk", "k0")]
+    for level in (1, 2):
+        up = tables[-1].withColumn(f"k{level}", F.floor(F.col(f"k{level - 1}") / fan))
+        listed = F.sort_array(F.collect_list(F.struct(F.col(f"k{level - 1}").alias("k"), "m"))).alias("ms")
+        tables.append(up.groupBy("track", f"k{level}").agg(listed).withColumn("m", F.aggregate("ms", whole, lambda m, x: _then(m, x["m"]))))
+
+    def carried(start, listed):
+        """The level before each of ``listed``."""
+        step = lambda acc, x: F.concat(acc, F.array(F.least(x["m"]["hi"], F.greatest(x["m"]["lo"], F.element_at(acc, -1) + x["m"]["a"]))))
+        return F.aggregate(listed, F.array(start), step)
+
+    top = tables[2].groupBy("track").agg(F.sort_array(F.collect_list(F.struct(F.col("k2").alias("k"), "m", "ms"))).alias("tops"))
+    first = F.lit(int(size * SECOND * fill)).cast("long")
+    levels = top.select("track", F.explode(F.arrays_zip(F.col("tops"), carried(first, "tops").alias("level"))).alias("z")).where("z.tops is not null")
+    levels = levels.select("track", F.explode(F.arrays_zip(F.col("z.tops.ms").alias("of"), carried(F.col("z.level"), "z.tops.ms").alias("level"))).alias("y")).where("y.of is not null")
+    groups = levels.select("track", F.col("y.of.k").alias("k1"), F.col("y.level").alias("level"))
+    inner = tables[1].select("track", "k1", "ms").join(groups.hint("merge"), ["track", "k1"])
+    starts = inner.select("track", F.explode(F.arrays_zip(F.col("ms").alias("of"), carried(F.col("level"), "ms").alias("level"))).alias("y")).where("y.of is not null")
+    return c.drop("before").join(starts.select("track", F.col("y.of.k").alias("chunk"), F.col("y.level").alias("level")).hint("merge"), ["track", "chunk"])
+
+
+def vbv(samples: DataFrame, rate: int, size: int, fill: float = 0.9, chunk: int = 512, fan: int = 256) -> DataFrame:
+    """Decoder buffer of ``size`` bits filled at ``rate`` bits a second: underflows (more than half a bit short), the first
+    one, the least level, the ticks that it is full, and underflows by frame in :func:`vbv_underflow_frames`.
+
+    A frame maps the level by an addition between two limits, and such maps compose to one of their kind. Levels are
+    millionths of a bit.
+    """
+    cap, zero, none = F.lit(size * SECOND).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long")
+    state = F.struct(F.col("level").alias("x"), zero.alias("n"), none.alias("first"), cap.alias("least"), zero.alias("full"))
 
-    def then(m, f):
-        a, hi = f["g"] - f["b"], F.greatest(zero, cap - f["b"])
-        return F.struct((m["a"] + a).alias("a"), clamp(m["lo"] + a, zero, hi).alias("lo"), clamp(m["hi"] + a, zero, hi).alias("hi"))
+    def play(m, f):
+        filled = F.least(cap, m["x"] + f["g"])
+        after = filled - f["b"]
+        under = after < -SECOND // 2
+        return F.struct(
+            F.greatest(zero, after).alias("x"), (m["n"] + under.cast("long")).alias("n"), F.coalesce(m["first"], F.when(under, f["i"])).alias("first"), F.least(m["least"], after).alias("least"),
+            (m["full"] + F.greatest(zero, m["x"] + f["g"] - cap)).alias("full"),
+        )
+
+    out = _vbv_chunks(samples, rate, size, fill, chunk, fan).select("track", F.aggregate("f", state, play).alias("r"))
+    full = F.floor(F.sum("r.full") / rate)  # what didn't fit, as the time that it took to arrive
+    return out.groupBy("track").agg(F.sum("r.n").alias("underflows"), F.min("r.first").alias("first_i"), F.min("r.least").alias("least"), full.alias("full_ticks"))
 
-    maps = c.select("track", "chunk", F.aggregate("f", whole, then).alias("m"))
-    maps = maps.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
-    begin = F.array(F.lit(int(size * SECOND * fill)).cast("long"))
-    levels = F.aggregate("ms", begin, lambda acc, x: F.concat(acc, F.array(clamp(F.element_at(acc, -1) + x["m"]["a"], x["m"]["lo"], x["m"]["hi"]))))
-    starts = maps.select("track", F.explode(F.arrays_zip(F.col("ms.chunk").alias("chunk"), levels.alias("level"))).alias("z")).where("z.chunk is not null")
-    c = c.join(starts.select("track", F.col("z.chunk").alias("chunk"), F.col("z.level").alias("level")), ["track", "chunk"])
-    none = F.lit(None).cast("long")
-    state = F.struct(F.col("level").alias("x"), zero.alias("n"), none.alias("first"), cap.alias("least"))
+
+def vbv_underflow_frames(samples: DataFrame, rate: int, size: int, fill: float = 0.9, chunk: int = 512, fan: int = 256) -> DataFrame:
+    """(track, i) of the frames at which the buffer of :func:`vbv` runs dry."""
+    cap, zero = F.lit(size * SECOND).cast("long"), F.lit(0).cast("long")
+    state = F.struct(F.col("level").alias("x"), F.array().cast("array<bigint>").alias("at"))
 
     def play(m, f):
         after = F.least(cap, m["x"] + f["g"]) - f["b"]
-        under = after < 0
-        return F.struct(
-            F.greatest(zero, after).alias("x"), (m["n"] + under.cast("long")).alias("n"), F.coalesce(m["first"], F.when(under, f["i"])).alias("first"), F.least(m["least"], after).alias("least")
-        )
+        return F.struct(F.greatest(zero, after).alias("x"), F.when(after < -SECOND // 2, F.concat(m["at"], F.array(f["i"]))).otherwise(m["at"]).alias("at"))
 
-    out = c.select("track", F.aggregate("f", state, play).alias("r"))
-    return out.groupBy("track").agg(F.sum("r.n").alias("underflows"), F.min("r.first").alias("first_i"), F.min("r.least").alias("least"))
+    out = _vbv_chunks(samples, rate, size, fill, chunk, fan).select("track", F.aggregate("f", state, play).alias("r"))
+    return out.select("track", F.explode("r.at").alias("i"))
 
 
 def packager_cuts(samples: DataFrame, length: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text
-from ..operators import gops, joins, order, rates, rules
+from ..operators import delivery, gops, joins, order, rates, stats
 from ..operators.samples import micros, read, samples
 
 DAY = 86_400_000_000
@@ -85,19 +85,16 @@ def max_b_run(spark, sf_dir):
 
 @query(" SELECT track, letter, count(*) AS frames, sum(size)::BIGINT AS bytes, min(size) AS least, max(size) AS most FROM s GROUP BY 1, 2")
 def frame_types(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("track", "letter").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.min("size").alias("least"), F.max("size").alias("most"))
+    return stats.frame_types(samples(spark, sf_dir))
 
 
 @query(""", l AS (SELECT *, i < max(i) OVER (PARTITION BY track) AS inner_ FROM s)
 SELECT track, count(*) AS frames, sum(size)::BIGINT AS bytes, sum(duration)::BIGINT AS ticks, (count(*) FILTER (key))::BIGINT AS keys,
-  coalesce((max(duration) FILTER (inner_)) * 20 > (min(duration) FILTER (inner_)) * 21 + 20, false) AS vfr, bool_and(key) AS all_key FROM l GROUP BY track""")
+  coalesce((max(duration) FILTER (inner_)) * 20 > (min(duration) FILTER (inner_)) * 21 + 20, false) AS vfr, bool_and(key) AS all_key,
+  round(sum(size) * 8000000.0 / nullif(max(dts + duration) - min(dts), 0), 9)::DOUBLE AS bitrate, round(count(*) * 1000000.0 / nullif(max(dts + duration) - min(dts), 0), 9)::DOUBLE AS fps FROM l GROUP BY track""")
 def track_stats(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumn("inner", F.col("i") < F.max("i").over(Window.partitionBy("track")))
-    d = F.when(F.col("inner"), F.col("duration"))
-    return s.groupBy("track").agg(
-        F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.sum("duration").alias("ticks"), F.count(F.when(F.col("key"), 1)).alias("keys"),
-        F.coalesce(F.max(d) * 20 > F.min(d) * 21 + 20, F.lit(False)).alias("vfr"), F.bool_and("key").alias("all_key"),
-    )
+    out = stats.track_stats(samples(spark, sf_dir))
+    return out.withColumn("bitrate", F.round("bitrate", 9)).withColumn("fps", F.round("fps", 9))
 
 
 # order
@@ -115,7 +112,7 @@ def dts_backwards(spark, sf_dir):
 
 GAPS = """SELECT track, i, gap FROM (SELECT track, i, pts - lag(pts) OVER (PARTITION BY track ORDER BY pts, i) AS gap, count(*) OVER (PARTITION BY track) AS n,
   sum(duration) OVER (PARTITION BY track) AS total FROM s) WHERE n > 2 AND gap > 100000 AND gap * 2 * n > 5 * total"""
-LATE = """SELECT track, i, gap FROM (SELECT track, i, dts - lag(dts + least(duration, 3600000000)) OVER (PARTITION BY track ORDER BY i) AS gap FROM s) WHERE i < 20000 AND gap > 35000"""
+LATE = """SELECT track, i, gap FROM (SELECT track, i, dts - lag(dts + duration) OVER (PARTITION BY track ORDER BY i) AS gap FROM s) WHERE i < 20000 AND gap > 35000"""
 
 
 @query(" " + GAPS)
@@ -123,10 +120,19 @@ def pts_gaps(spark, sf_dir):
     return order.pts_gaps(samples(spark, sf_dir))
 
 
+#: Durations of an hour at most, so that frames can be late.
+SHORT = S.replace("s AS (", "s0 AS (", 1) + ", s AS (SELECT * REPLACE (least(duration, 3600000000) AS duration) FROM s0)"
+
+
 @query(f""" SELECT track, i, 'backwards' AS kind, step AS ticks FROM (SELECT track, i, pts - lag(pts) OVER (PARTITION BY track ORDER BY i) AS step FROM s) WHERE step < 0
-UNION ALL SELECT track, i, 'gap', gap FROM ({GAPS}) UNION ALL SELECT track, i, 'late', gap FROM ({LATE})""")
+UNION ALL SELECT track, i, 'gap', gap FROM ({GAPS}) UNION ALL SELECT track, i, 'late', gap FROM ({LATE})""", SHORT)
 def anomaly_timeline(spark, sf_dir):
-    return order.anomalies(samples(spark, sf_dir))
+    return order.anomalies(samples(spark, sf_dir).withColumn("duration", F.least("duration", F.lit(HOUR))))
+
+
+@query(" " + LATE, SHORT)
+def late_frames(spark, sf_dir):
+    return order.duration_gaps(samples(spark, sf_dir).withColumn("duration", F.least("duration", F.lit(HOUR))))
 
 
 @query(""" SELECT track, rank, i FROM (SELECT *, greatest(0, least(15, max(rank) OVER (PARTITION BY track) - 9)) AS lo FROM r) WHERE rank >= lo AND rank < lo + 10""", R)
@@ -134,12 +140,11 @@ def frames_around(spark, sf_dir):
     return order.around(samples(spark, sf_dir), 20, 10)
 
 
-@query(""" SELECT track, i, dts - (first_value(dts) OVER w - (first_value(dts) OVER w) % 1099511627776) AS unwrapped
-FROM s WHERE true WINDOW w AS (PARTITION BY track ORDER BY i) QUALIFY coalesce(max(duration) OVER (PARTITION BY track), 0) < 549755813888""")
+@query(""", w AS (SELECT track, i, dts % 1099511627776 AS w FROM s), u(track, i, u) AS (SELECT track, i, w FROM w WHERE i = 0
+  UNION ALL SELECT w.track, w.i, u.u + ((w.w - u.u) % 1099511627776 + 1099511627776 + 549755813888) % 1099511627776 - 549755813888 FROM u JOIN w ON w.track = u.track AND w.i = u.i + 1)
+SELECT track, i, u AS unwrapped FROM u""", recursive=True)
 def unwrap(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumn("w", F.col("dts") % (1 << 40))
-    calm = F.max("duration").over(Window.partitionBy("track")) < (1 << 39)
-    return order.unwrap(s, "w", 1 << 40).withColumn("calm", calm).where("calm").select("track", "i", "unwrapped")
+    return order.unwrap(samples(spark, sf_dir).withColumn("w", F.col("dts") % (1 << 40)), "w", 1 << 40).select("track", "i", "unwrapped")
 
 
 @query(""", a AS (SELECT track, i, pts, row_number() OVER (PARTITION BY track ORDER BY i) AS k FROM s), b AS (SELECT track, pts AS sorted, row_number() OVER (PARTITION BY track ORDER BY pts, i) AS k FROM s)
@@ -148,14 +153,6 @@ def derive_dts(spark, sf_dir):
     return order.derive_dts(samples(spark, sf_dir))
 
 
-@query("""SELECT track, count(*) AS packets, count(*) FILTER (c = b) AS repeated, count(*) FILTER (c <> b AND c <> (b + 1) % 16) AS errors FROM (
-  SELECT l_suppkey AS track, l_linenumber % 16 AS c, lag(l_linenumber % 16) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS b FROM lineitem) GROUP BY 1""", "")
-def continuity(spark, sf_dir):
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), F.row_number().over(w).alias("i"), (F.col("l_linenumber") % 16).alias("counter"))
-    return order.continuity(rows)
-
-
 @query(""", k AS (SELECT *, lag(offset_ + size) OVER (PARTITION BY track ORDER BY i) AS e FROM s WHERE key),
 n AS (SELECT *, sum(CASE WHEN e IS NULL OR offset_ - e > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY i) AS run FROM k)
 SELECT track, run::BIGINT AS run, min(offset_)::BIGINT AS lo, max(offset_ + size)::BIGINT AS hi, count(*) AS frames FROM n GROUP BY 1, 2""")
@@ -179,14 +176,21 @@ def bitrate_series(spark, sf_dir):
     return rates.bitrate_series(samples(spark, sf_dir), DAY)
 
 
+@query(SERIES + " SELECT slice, sum(bits)::BIGINT AS bits FROM series GROUP BY 1")
+def bitrate_total(spark, sf_dir):
+    return stats.totals(rates.bitrate_series(samples(spark, sf_dir), DAY))
+
+
 @query(SERIES + STATS + " SELECT track, total, mean, peak, peak_at, cv FROM stats")
 def rate_stats(spark, sf_dir):
     return rates.rate_stats(rates.bitrate_series(samples(spark, sf_dir), DAY)).drop("ratio")
 
 
-@query(SERIES + STATS + " SELECT track, CASE WHEN cv < 0.1 AND ratio < 1.2 THEN 'cbr' WHEN ratio < 1.6 THEN 'capped' ELSE 'vbr' END AS guess FROM stats")
+@query(SERIES + STATS + ", len AS (SELECT track, (max(dts + duration) - min(dts)) / 1000000.0 AS seconds FROM s GROUP BY 1) SELECT track, CASE WHEN seconds < 200000 THEN 'short' WHEN cv < 0.1 AND ratio < 1.2 THEN 'cbr' WHEN ratio < 1.6 THEN 'capped' ELSE 'vbr' END AS guess FROM stats JOIN len USING (track)")
 def rate_control_guess(spark, sf_dir):
-    return rates.rate_control(rates.rate_stats(rates.bitrate_series(samples(spark, sf_dir), DAY)))
+    s = samples(spark, sf_dir)
+    seconds = s.groupBy("track").agg(((F.max(F.col("dts") + F.col("duration")) - F.min("dts")) / 200_000 * 6 / 1_000_000).alias("seconds"))  # a day and more as six seconds
+    return rates.rate_control(rates.rate_stats(rates.bitrate_series(s, DAY)).join(seconds, "track"))
 
 
 @query(f""", b AS (SELECT *, sum(size * 8) OVER (PARTITION BY track ORDER BY dts RANGE BETWEEN CURRENT ROW AND {DAY - 1} FOLLOWING) AS b FROM s)
@@ -206,14 +210,21 @@ def buffer_needed(spark, sf_dir):
     return rates.buffer_needed(samples(spark, sf_dir), 1)
 
 
-@query(""", f AS (SELECT track, i, size * 8000000 AS b, coalesce(dts - lag(dts) OVER (PARTITION BY track ORDER BY i), 0) AS g FROM s),
-sim(track, i, level, after_) AS (
-  SELECT track, -1::BIGINT, 900000000000::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT track FROM s)
+SIM = """, f AS (SELECT track, i, size * 8000000 AS b, coalesce(dts - lag(dts) OVER (PARTITION BY track ORDER BY i), 0) AS g FROM s),
+sim(track, i, level, after_, over_) AS (
+  SELECT track, -1::BIGINT, 180000000000::BIGINT, NULL::BIGINT, 0::BIGINT FROM (SELECT DISTINCT track FROM s)
   UNION ALL
-  SELECT f.track, f.i, greatest(0, least(1000000000000, level + g) - b)::BIGINT, (least(1000000000000, level + g) - b)::BIGINT FROM sim JOIN f ON f.track = sim.track AND f.i = sim.i + 1)
-SELECT track, count(*) FILTER (after_ < 0) AS underflows, coalesce(min(i) FILTER (after_ < 0), -1) AS first_i, min(after_) AS least FROM sim GROUP BY 1""", recursive=True)
+  SELECT f.track, f.i, greatest(0, least(200000000000, level + g) - b)::BIGINT, (least(200000000000, level + g) - b)::BIGINT, greatest(0, level + g - 200000000000)::BIGINT FROM sim JOIN f ON f.track = sim.track AND f.i = sim.i + 1)"""
+
+
+@query(SIM + " SELECT track, count(*) FILTER (after_ < -500000) AS underflows, coalesce(min(i) FILTER (after_ < -500000), -1) AS first_i, least(min(after_), 200000000000) AS least, sum(over_)::BIGINT AS full_ticks FROM sim GROUP BY 1", recursive=True)
 def vbv_underflows(spark, sf_dir):
-    return rates.vbv(samples(spark, sf_dir), 1, 1_000_000, chunk=32).na.fill(-1, ["first_i"])
+    return rates.vbv(samples(spark, sf_dir), 1, 200_000, chunk=32, fan=4).na.fill(-1, ["first_i"])
+
+
+@query(SIM + " SELECT track, i FROM sim WHERE after_ < -500000", recursive=True)
+def vbv_underflow_frames(spark, sf_dir):
+    return rates.vbv_underflow_frames(samples(spark, sf_dir), 1, 200_000, chunk=32, fan=4)
 
 
 CUTS = f""", k AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY i) - 1 AS k, dts - t0 AS t FROM (SELECT *, min(dts) OVER (PARTITION BY track) AS t0 FROM s) WHERE key),
@@ -240,10 +251,10 @@ def _probes(spark, sf_dir):
 P = S + ", a AS (SELECT track, dts AS t FROM s WHERE letter = 'click'), b AS (SELECT track, dts AS t, i AS frame, size AS level FROM s WHERE letter = 'purchase')"
 
 
-@query(""" SELECT a.track, a.t, coalesce(b.frame, f.frame) AS frame, coalesce(b.t, f.t) AS at FROM a ASOF LEFT JOIN b ON a.track = b.track AND a.t >= b.t
+@query(""" SELECT a.track, a.t, coalesce(b.frame, f.frame) AS frame, coalesce(b.t, f.t) AS at FROM (SELECT *, t + 60000000 AS late FROM a) a ASOF LEFT JOIN b ON a.track = b.track AND a.late >= b.t
 LEFT JOIN (SELECT track, arg_min(frame, t) AS frame, min(t) AS t FROM b GROUP BY 1) f ON f.track = a.track""", P)
 def frame_at_time(spark, sf_dir):
-    return joins.as_of(*_probes(spark, sf_dir), "frame")
+    return joins.as_of(*_probes(spark, sf_dir), "frame", slack=60_000_000)
 
 
 @query(""" SELECT a.track, a.t, CASE WHEN n.t IS NOT NULL AND (p.t IS NULL OR n.t - a.t <= a.t - p.t) THEN n.frame ELSE p.frame END AS frame,
@@ -286,6 +297,18 @@ def segment_fit(spark, sf_dir):
     return joins.segment_fit(_keys(spark, sf_dir), HOUR, 600_000_000)
 
 
+@query(""", p AS (SELECT a.version, a.t, count(DISTINCT b.version) AS peers, coalesce(bool_or(b.version = 'click'), false) AS ref FROM keys a LEFT JOIN keys b ON b.version <> a.version AND b.t BETWEEN a.t - 900000000 AND a.t + 900000000 GROUP BY 1, 2), n AS (SELECT count(DISTINCT version) AS n FROM keys)
+SELECT version, count(*) AS keys, count(*) FILTER (peers >= n - 1) AS everywhere, CASE WHEN version = 'click' THEN 1000 ELSE count(*) FILTER (ref) * 1000 // count(*) END::BIGINT AS share FROM p, n GROUP BY version""", KEYS)
+def aligned_everywhere(spark, sf_dir):
+    return joins.aligned_everywhere(_keys(spark, sf_dir), 900_000_000, "click")
+
+
+@query(f""", e AS (SELECT version, min(t) AS lo, max(t) AS hi FROM keys GROUP BY 1), grid AS (SELECT version, unnest(range((lo + {HOUR - 1}) // {HOUR}, hi // {HOUR} + 1)) AS k FROM e),
+m AS (SELECT g.version, g.k, count(x.t) AS n FROM grid g LEFT JOIN keys x ON x.version = g.version AND x.t BETWEEN g.k * {HOUR} - 600000000 AND g.k * {HOUR} + 600000000 GROUP BY 1, 2) SELECT k, count(*) AS versions, count(*) FILTER (n = 0) AS missing FROM m GROUP BY 1 HAVING count(*) FILTER (n = 0) > 0""", KEYS)
+def missing_anywhere(spark, sf_dir):
+    return joins.missing_anywhere(_keys(spark, sf_dir), HOUR, 600_000_000)
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber AS i, l_quantity AS size FROM lineitem),
 a AS (SELECT l_orderkey // 2 AS track, i, size FROM l WHERE l_orderkey % 2 = 0), b AS (SELECT l_orderkey // 2 AS track, i, size FROM l WHERE l_orderkey % 2 = 1)
 SELECT coalesce(a.track, b.track) AS track, CASE WHEN count(a.size) > 0 AND count(b.size) > 0 THEN bool_and(a.size IS NOT DISTINCT FROM b.size) END AS copied
@@ -295,101 +318,34 @@ def copied_track(spark, sf_dir):
     return joins.same_frames(t.where("side = 0"), t.where("side = 1"))
 
 
-#: Levels of H.264 as level_idc, most macroblocks a frame and a second, most kbit/s.
-LEVELS = [(10, 99, 1485, 64), (11, 396, 3000, 192), (20, 396, 11880, 2000), (30, 1620, 40500, 10000), (31, 3600, 108000, 14000), (40, 8192, 245760, 20000), (42, 8704, 522240, 50000), (51, 36864, 983040, 240000)]
-
-
-@query(f"""WITH lv(level, fs, mbps, br) AS (VALUES {', '.join(map(str, LEVELS))})
-SELECT p_partkey AS id, min(level) AS level FROM part LEFT JOIN lv ON p_size * p_size <= fs AND p_size * p_size * 25 <= mbps AND p_retailprice * 10 <= br GROUP BY 1""", "")
-def level_lookup(spark, sf_dir):
-    table = spark.createDataFrame(LEVELS, "level int, fs int, mbps int, br int")
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * F.col("p_size")).alias("mb"), (F.col("p_retailprice") * 10).alias("kbps"))
-    fits = (F.col("mb") <= F.col("fs")) & (F.col("mb") * 25 <= F.col("mbps")) & (F.col("kbps") <= F.col("br"))
-    return joins.first_fit(p, table, fits, "level", "level")
-
-
-@query("""SELECT p_brand, p_partkey, steps, steps IS NOT NULL AND (steps < 1.4 OR steps > 2.6) AS odd FROM (
-  SELECT p_brand, p_partkey, round(lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) / p_retailprice, 6) AS steps FROM part)""", "")
-def bitrate_steps(spark, sf_dir):
-    before = F.lag("p_retailprice").over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey"))
-    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.round(before / F.col("p_retailprice"), 6).alias("steps"))
-    return p.withColumn("odd", F.col("steps").isNotNull() & ~F.col("steps").between(1.4, 2.6))
-
-
 @query("""SELECT l_suppkey, count(*) AS packets, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM lineitem GROUP BY 1""", "")
 def pid_share(spark, sf_dir):
-    n = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("packets"))
-    total = n.agg(F.sum("packets").alias("total"))  # one row
-    return n.crossJoin(F.broadcast(total)).select("l_suppkey", "packets", F.round(F.col("packets") * 100.0 / F.col("total"), 6).alias("share"))
+    return stats.shares(read(spark, sf_dir, "lineitem"), "l_suppkey").withColumn("share", F.round("share", 6))
 
 
-@query("""SELECT l_suppkey, count(d) AS n, max(d) AS longest, sum(d)::BIGINT AS total FROM (
-  SELECT l_suppkey, (epoch_us(l_shipdate) - epoch_us(lag(l_shipdate) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate))) // 1000000 AS d FROM lineitem) GROUP BY 1""", "")
-def stream_repetition(spark, sf_dir):
-    t = micros("l_shipdate")
-    l = read(spark, sf_dir, "lineitem").select("l_suppkey", F.floor((t - F.lag(t).over(Window.partitionBy("l_suppkey").orderBy("l_shipdate"))) / 1_000_000).alias("d"))
-    return l.groupBy("l_suppkey").agg(F.count("d").alias("n"), F.max("d").alias("longest"), F.sum("d").alias("total"))
-
-
-SEG = "seg AS (SELECT l_orderkey AS playlist, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx, l_quantity AS d, floor(l_extendedprice * 100 + 0.5)::BIGINT AS size FROM lineitem)"
+SEG = "seg AS (SELECT l_orderkey AS playlist, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx, l_quantity AS d, CASE WHEN l_partkey % 13 > 0 THEN floor(l_extendedprice * 100 + 0.5)::BIGINT END AS size FROM lineitem)"
 
 
 def _segments(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("playlist"), F.row_number().over(w).alias("idx"), F.col("l_quantity").cast("long").alias("d"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("size")
+        F.col("l_orderkey").alias("playlist"), F.row_number().over(w).alias("i"), F.col("l_quantity").cast("double").alias("duration"),
+        F.when(F.col("l_partkey") % 13 > 0, F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")).alias("size"),
     )
 
 
 @query(""" SELECT playlist, max(rate) AS peak FROM (
-  SELECT a.playlist, a.idx, b.idx AS j, round(sum(c.size) * 8 / sum(c.d), 4) AS rate, sum(c.d) AS d FROM seg a JOIN seg b ON a.playlist = b.playlist AND a.idx <= b.idx
-  JOIN seg c ON c.playlist = a.playlist AND c.idx BETWEEN a.idx AND b.idx GROUP BY 1, 2, 3) WHERE d BETWEEN 25 AND 75 GROUP BY 1""", SEG)
+  SELECT a.playlist, a.idx, b.idx AS j, round(sum(c.size) * 8 / sum(c.d), 4) AS rate, sum(c.d) AS d, count(*) = count(c.size) AS ok FROM seg a JOIN seg b ON a.playlist = b.playlist AND a.idx <= b.idx
+  JOIN seg c ON c.playlist = a.playlist AND c.idx BETWEEN a.idx AND b.idx GROUP BY 1, 2, 3) WHERE ok AND d BETWEEN 25 AND 75 GROUP BY 1""", SEG)
 def peak_segment_rate(spark, sf_dir):
-    """Highest rate over runs of consecutive segments that last 0.5 to 1.5 targets of 50; prefix sums by run ends."""
-    w = Window.partitionBy("playlist").orderBy("idx")
-    s = _segments(spark, sf_dir).withColumn("t1", F.sum("d").over(w)).withColumn("s1", F.sum("size").over(w)).withColumn("t0", F.col("t1") - F.col("d")).withColumn("s0", F.col("s1") - F.col("size"))
-    # runs that begin at a row end within 75 of it, so a range frame holds all of them
-    ends = F.collect_list(F.struct("t1", "s1")).over(Window.partitionBy("playlist").orderBy("t0").rangeBetween(Window.currentRow, 75))
-    s = s.withColumn("es", ends).withColumn("e", F.explode("es")).withColumn("len", F.col("e.t1") - F.col("t0")).where(F.col("len").between(25, 75) & (F.col("e.t1") >= F.col("t1")))
-    return s.groupBy("playlist").agg(F.max(F.round((F.col("e.s1") - F.col("s0")) * 8 / F.col("len"), 4)).alias("peak"))
+    s = _segments(spark, sf_dir)
+    targets = s.select("playlist", F.lit(50.0).alias("target")).distinct()
+    return delivery.peak_segment_rate(s, targets, ["playlist"]).select("playlist", F.round("peak", 4).alias("peak"))
 
 
-@query(" SELECT playlist, round(sum(size) * 8 / sum(d), 4) AS average FROM seg GROUP BY 1", SEG)
+@query(" SELECT playlist, round(sum(size) * 8 / sum(d) FILTER (size IS NOT NULL), 4) AS average FROM seg GROUP BY 1 HAVING count(size) > 0", SEG)
 def average_segment_rate(spark, sf_dir):
-    return _segments(spark, sf_dir).groupBy("playlist").agg(F.round(F.sum("size") * 8 / F.sum("d"), 4).alias("average"))
-
-
-# rules
-
-FACTS = """f AS (SELECT o_custkey AS entity, count(*) AS n, floor(sum(o_totalprice) * 100 + 0.5)::BIGINT // 100 AS total, count(DISTINCT o_orderpriority) AS kinds, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1),
-c AS (SELECT entity, 'many' AS id, 'Volume' AS category, CASE WHEN n > 10 THEN 'pass' WHEN n > 5 THEN 'warn' ELSE 'fail' END AS level, n::VARCHAR AS value FROM f
-UNION ALL SELECT entity, 'kinds', 'Mix', CASE WHEN kinds >= 4 THEN 'pass' ELSE 'info' END, kinds::VARCHAR FROM f
-UNION ALL SELECT entity, 'done', 'Mix', CASE WHEN done = 0 THEN NULL WHEN done * 2 >= n THEN 'pass' ELSE 'warn' END, done::VARCHAR FROM f),
-checks AS (SELECT *, CASE WHEN level IN ('warn', 'fail') THEN CASE WHEN id = 'done' THEN 'info' WHEN id = 'many' AND level = 'fail' THEN 'critical' ELSE 'warning' END END AS severity FROM c WHERE level IS NOT NULL)"""
-
-
-def _checks(spark, sf_dir):
-    facts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(
-        F.count("*").alias("n"), F.count_distinct("o_orderpriority").alias("kinds"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("done")
-    )
-    c = F.col
-    book = [
-        rules.Rule("many", "Volume", "critical", F.when(c("n") > 10, "pass").when(c("n") > 5, "warn").otherwise("fail"), c("n")),
-        rules.Rule("kinds", "Mix", "warning", F.when(c("kinds") >= 4, "pass").otherwise("info"), c("kinds")),
-        rules.Rule("done", "Mix", "warning", F.when(c("done") == 0, None).when(c("done") * 2 >= c("n"), "pass").otherwise("warn"), c("done")),
-    ]
-    return rules.evaluate(facts, book, {"done": "info"})
-
-
-@query(" SELECT entity, id, category, level, severity, value FROM checks", FACTS)
-def audit_rules(spark, sf_dir):
-    return _checks(spark, sf_dir)
-
-
-@query(""" SELECT id, count(*) FILTER (level = 'fail') AS n_fail, count(*) FILTER (level = 'warn') AS n_warn, count(*) FILTER (level = 'info') AS n_info, count(*) FILTER (level = 'pass') AS n_pass,
-  (count(*) FILTER (level = 'pass') * 1000 // nullif(count(*) FILTER (level IN ('pass', 'warn', 'fail')), 0))::BIGINT AS compliance FROM checks GROUP BY 1""", FACTS)
-def audit_tally(spark, sf_dir):
-    return rules.tally(_checks(spark, sf_dir), "id")
+    return delivery.average_segment_rate(_segments(spark, sf_dir), ["playlist"]).withColumn("average", F.round("average", 4))
 
 
 # text and bytes
@@ -408,21 +364,18 @@ def text_find(spark, sf_dir):
 @query("""SELECT sizes, count(*) AS n, min(conv_id) AS least FROM (
   SELECT conv_id, sha256(string_agg(length(text)::VARCHAR, ',' ORDER BY turn, role, length(text))) AS sizes FROM conversations GROUP BY 1) GROUP BY 1""", "")
 def audio_identity(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("a"))
-    c = c.select("conv_id", F.sha2(F.array_join(F.transform("a", lambda x: x["n"].cast("string")), ",").cast("binary"), 256).alias("sizes"))
-    return c.groupBy("sizes").agg(F.count("*").alias("n"), F.min("conv_id").alias("least"))
+    return stats.identities(read(spark, sf_dir, "conversations").withColumn("size", F.length("text")), "conv_id", ["turn", "role"], "size")
 
 
-@query("SELECT l_orderkey, unnest(range(l_quantity::BIGINT)) AS k, l_linenumber FROM lineitem", "")
+@query("SELECT l_orderkey, unnest(range(l_quantity::BIGINT - 25)) AS k, l_linenumber FROM lineitem", "")
 def rle_expand(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("l_quantity").cast("long") - 1)).alias("k"), "l_linenumber")
+    return stats.expand_runs(read(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("long") - 25).select("l_orderkey", "k", "l_linenumber")
 
 
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS key FROM orders", "")
 def sync_membership(spark, sf_dir):
-    hit = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")).distinct()
-    o = read(spark, sf_dir, "orders").select("o_orderkey")
-    return o.join(hit, o["o_orderkey"] == hit["k"], "left").select("o_orderkey", F.col("k").isNotNull().alias("key"))
+    listed = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return stats.sync_flags(read(spark, sf_dir, "orders").select("o_orderkey"), listed, "o_orderkey")
 
 
 @query("""WITH p AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b, lead(vec_id) OVER (ORDER BY vec_id) AS n FROM embeddings),
@@ -431,6 +384,40 @@ SELECT vec_id, round(mse, 6) AS mse, round(10 * log10(1 / nullif(mse, 0)), 4) AS
 def vector_mse_psnr(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    d = F.zip_with("embedding", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    m = e.join(b, "vec_id").select("vec_id", (F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / F.size("embedding")).alias("mse"))
+    m = e.join(b, "vec_id").select("vec_id", text.mse(F.col("embedding"), F.col("b")).alias("mse"))
     return m.select("vec_id", F.round("mse", 6).alias("mse"), F.round(text.psnr(F.col("mse"), 1.0), 4).alias("psnr"))
+
+
+@query(""", x AS (SELECT track, i, dts - lag(dts) OVER (PARTITION BY track ORDER BY i) AS d, dts, duration FROM s), y AS (SELECT track, count(*) FILTER (d > 86400000000) AS jumps, sum(duration)::BIGINT AS total, max(dts + duration) - min(dts) AS span FROM x GROUP BY 1) SELECT track, jumps, CASE WHEN jumps > 0 THEN total ELSE span END AS ticks FROM y""")
+def jumpy_ticks(spark, sf_dir):
+    return stats.jumpy_seconds(samples(spark, sf_dir), 0, DAY)
+
+
+@query(" SELECT track, median(size)::DOUBLE AS median FROM s GROUP BY 1")
+def median_size(spark, sf_dir):
+    return stats.median(samples(spark, sf_dir), "track", "size")
+
+
+@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 > 0)", "")
+def undescribed_streams(spark, sf_dir):
+    known = read(spark, sf_dir, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return stats.undescribed(read(spark, sf_dir, "lineitem"), known, "l_suppkey")
+
+
+@query("SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS open, count(*) FILTER (l_discount > l_tax) AS late FROM lineitem GROUP BY 1", "")
+def error_counts(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").withColumns({"returned": F.col("l_returnflag") == "R", "open": F.col("l_linestatus") == "O", "late": F.col("l_discount") > F.col("l_tax")})
+    return stats.error_counts(l, "l_suppkey", ["returned", "open", "late"])
+
+
+@query("""WITH p AS (SELECT l_suppkey AS bucket, l_returnflag AS category, l_orderkey * 10 + l_linenumber AS o, l_quantity::BIGINT AS bytes FROM lineitem), c AS (SELECT bucket, category, sum(bytes)::BIGINT AS b, min(o) AS o FROM p GROUP BY 1, 2)
+SELECT bucket, category, b AS bytes FROM c QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY b DESC, o) = 1""", "")
+def dominant_category(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bucket"), F.col("l_returnflag").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offset"), F.col("l_quantity").cast("long").alias("bytes"))
+    return stats.dominant(l, ["bucket"])
+
+
+@query(""", n AS (SELECT track, gop, letter, count(*) AS n, count(*) FILTER (size % 2 = 0) AS s FROM g GROUP BY 1, 2, 3) SELECT track, gop::BIGINT AS gop, string_agg(letter || '=' || n, ',' ORDER BY letter) AS letters, sum(s)::BIGINT AS skippable FROM n GROUP BY 1, 2""", G)
+def gop_letters(spark, sf_dir):
+    s = gops.gop_ids(samples(spark, sf_dir)).withColumn("skippable", F.col("size") % 2 == 0)
+    return stats.gop_letters(s).withColumn("letters", F.expr("array_join(transform(map_entries(letters), e -> concat(e.key, '=', e.value)), ',')"))

@@ -1,4 +1,4 @@
-"""Every timeline query against its SQL, and goldens of the operators."""
+"""Every query but the training-data ones against its SQL, and goldens of the operators."""
 
 from collections import Counter
 
@@ -6,9 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions import text
-from framelake.operators import gops, order, rates, rules
-from framelake.plans import timeline
+from framelake.functions import media, text
+from framelake.operators import audit, gops, joins, order, rates
+from framelake.plans import audit as audit_plans, media as media_plans, timeline, timing
 
 TABLES = "nation region customer supplier part orders lineitem events documents embeddings pages conversations".split()
 
@@ -21,13 +21,17 @@ def con(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(timeline.QUERIES))
-def test_sql(spark, con, sf_dir, name):
-    want = con.sql(timeline.SQL[name])
+PLANS = [(plan, name) for plan in (timeline, timing, audit_plans, media_plans) for name in sorted(plan.QUERIES)]
+
+
+@pytest.mark.parametrize("plan, name", PLANS, ids=[name for _, name in PLANS])
+def test_sql(spark, con, sf_dir, plan, name):
+    want = con.sql(plan.SQL[name])
     columns = sorted(want.columns)
-    got = timeline.QUERIES[name](spark, sf_dir)
+    got = plan.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == columns
-    assert Counter(map(tuple, got.select(*columns).collect())) == Counter(want.select(*columns).fetchall())
+    rows = Counter(map(tuple, got.select(*[f"`{c}`" for c in columns]).collect()))
+    assert rows and rows == Counter(want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
 def track(spark, sizes, step=40_000, keys=None):
@@ -69,15 +73,18 @@ def test_backwards_and_unwrap(spark):
     assert [r.unwrapped for r in order.unwrap(w, "w", 100).orderBy("i").collect()] == [90, 110, 105, 150, 199, 210]
 
 
+def one(spark, value, column):
+    return spark.createDataFrame([(value,)], "s string").select(column(F.col("s")).alias("x")).collect()[0].x
+
+
 def test_names(spark):
-    df = spark.createDataFrame([("movie_1080p.mp4",), ("movie-720p-high.mp4",), ("movie.480p.low.mp4",), ("movie_source.mov",)], "n string")
-    assert {r.s for r in df.select(text.stem(F.col("n")).alias("s")).collect()} == {"movie"}
-    assert [r.h for r in df.select(text.label_height(F.col("n")).alias("h")).collect()] == [1080, 720, 480, None]
-    line = 'BANDWIDTH=191049,CODECS="avc1.4d401e,mp4a.40.2",RESOLUTION=592x320,FRAME-RATE=32.000'
-    got = spark.createDataFrame([(line,)], "s string").select(text.attributes(F.col("s")).alias("a")).collect()[0].a
-    assert len(got) == 4 and got["CODECS"] == "avc1.4d401e,mp4a.40.2"
-    url = spark.createDataFrame([("https://node.example/a/chunk.m3u8?sig=SECRET",)], "u string")
-    assert url.select(text.redact(F.col("u")).alias("u")).collect()[0].u == "https://node.example/a/chunk.m3u8?…"
+    names = ["harbour_1440p.mkv", "Harbour-2160x1440-high.mp4", "harbour.final.v3.mp4", "harbour (master) 8000k.mov"]
+    assert {one(spark, n, text.stem) for n in names} == {"harbour"}
+    assert one(spark, "1080p.mp4", text.stem) == "1080p" and one(spark, "\u6e2f\u53e3.mov", text.stem) == "\u6e2f\u53e3"
+    assert [one(spark, n, text.label_height) for n in ("a-2160p-480P.mp4", "b_540p", "c-360px.mov", "d.240p")] == [480, 540, None, None]
+    line = 'BANDWIDTH=812000,CODECS="hvc1.2.4.L93,ec-3",NAME="a=b",RESOLUTION=960x540'
+    assert one(spark, line, text.attributes) == {"BANDWIDTH": "812000", "CODECS": "hvc1.2.4.L93,ec-3", "NAME": "a=b", "RESOLUTION": "960x540"}
+    assert one(spark, "http://cdn.invalid/v/list.m3u8?key=1&b=2", text.redact) == "http://cdn.invalid/v/list.m3u8?\u2026"
 
 
 def test_playlist(spark):
@@ -86,14 +93,88 @@ def test_playlist(spark):
     got = [(r.offset, r.length, r.duration, r["map"], r.discontinuity) for r in text.playlist_segments(p).orderBy("idx").collect()]
     assert got == [(0, 1000, 4.0, "init.mp4", False), (1000, 1200, 4.0, "init.mp4", False), (None, None, 2.5, "init.mp4", True)]
     assert p.select(text.playlist_version(F.col("text")).alias("v")).collect()[0].v == 6
-
-
-def test_file_rules(spark):
-    facts = {"entity": "a", "moov_offset": 10, "mdat_offset": 5, "video_tracks": 1, "duration_gap": 0.3, "family": "avc", "profile": 100, "level": 40, "width": 1920, "height": 1081, "vfr": False,
-             "max_gop": 2.0, "gop_max": 2.0, "open_gops": 0, "depth": 8, "audio_rate": 48000, "av_ms": -95.0, "true_peak": -2.0, "decode_errors": 0}
-    df = spark.createDataFrame([facts])
-    checks = rules.evaluate(df, rules.file_rules(), {"av-sync": "info"})
-    got = {r.id: (r.level, r.severity) for r in checks.collect()}
-    assert got["fast-start"] == ("fail", "critical") and got["even-size"] == ("fail", "critical") and got["av-sync"] == ("fail", "info")
-    assert got["track-durations"] == ("warn", "warning") and got["codec"] == ("pass", None)
-    assert rules.matrix(checks, ["a"]).count() == len(rules.file_rules())
+    for body, version in (("#EXTINF:4,", 1), ('#EXT-X-KEY:METHOD=AES-128,URI="k",IV=0x1', 2), ("#EXTINF:4.5,", 3), ("#EXT-X-BYTERANGE:5", 4), ('#EXT-X-KEY:METHOD=SAMPLE-AES,KEYFORMAT="x"', 5), ("#EXT-X-I-FRAMES-ONLY\n#EXT-X-MAP:URI=\"i\"", 5)):
+        assert one(spark, f"#EXTM3U\n{body}\n", text.playlist_version) == version, body
+
+
+def test_multivariant_playlist(spark):
+    body = '#EXTM3U\n#EXT-X-VERSION:4\n#EXT-X-STREAM-INF:BANDWIDTH=900000,RESOLUTION=640x360,CODECS="avc1.4d401e, mp4a.40.2",AUDIO="a"\nlow/x.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=3000000,AVERAGE-BANDWIDTH=2500000,FRAME-RATE=50\nv-1080p.m3u8?t=1\n#EXT-X-I-FRAME-STREAM-INF:BANDWIDTH=1,URI="i"\n'
+    p = spark.createDataFrame([("m", body)], "playlist string, text string")
+    got = [(r.variant, r.bandwidth, r.average_bandwidth, r.codecs, r.width, r.frame_rate, r.audio_group, r.label) for r in text.playlist_variants(p).orderBy("variant").collect()]
+    assert got == [(0, 900000.0, None, ["avc1.4d401e", "mp4a.40.2"], 640, None, "a", "360p"), (1, 3000000.0, 2500000.0, None, None, 50.0, None, "1080p")]
+    tags = text.playlist_tags(p).collect()[0]
+    assert (tags.kind, tags.version, tags.variants, tags.iframe_playlists, tags.end_list) == ("master", 4, 2, 1, False)
+
+
+def test_rules(spark):
+    assert len(audit.ALL_RULES) == 71 == len({r.id for r in audit.ALL_RULES})
+    assert [len(x) for x in (audit.FILE_RULES, audit.LADDER_RULES, audit.PLAYLIST_RULES)] == [48, 7, 16]
+    rules = [r for r in audit.FILE_RULES if r.id in ("even-size", "av-sync", "track-durations", "codec", "loudness", "level-holds")]
+    facts = spark.createDataFrame([("a", 1920, 1081, -95.0, 10.0, 10.25, 1, 1, "hevc", None, "4.1", False, False, 77)], "entity string, width int, height int, audio_late_ms double, video_seconds double, audio_seconds double, videos int, audios int, family string, loudness double, level_name string, unconstrained boolean, level_fits boolean, entry_offset long")
+    facts = audit.with_profile(facts, audit.merged_profile({"loudness": {"integrated": -16}}))
+    got = {r.id: (r.level, r.severity, r.spec, r.offset) for r in audit.evaluate(facts, rules, {"av-sync": "info"}).collect()}
+    assert got == {
+        "even-size": ("fail", "critical", "h264", None), "av-sync": ("fail", "info", "bt1359", None), "track-durations": ("warn", "warning", "hlsAuth", None), "codec": ("pass", None, "hlsAuth", None),
+        "loudness": ("skip", None, "r128", None), "level-holds": ("fail", "critical", "h265", 77),
+    }
+
+
+def test_profiles():
+    got = audit.merged_profile({"audio": {"codec": "AAC LC"}}, {"audio": {"channelsMax": 1}, "gop": 2})
+    assert got["audio"] == {"codec": "AAC LC", "channelsMax": 1} and got["gop"] == 2 and got["fpsMax"] == 60
+    for wrong in ({"gopp": 2}, {"audio": {"kodec": "x"}}, {"audio": 3}):
+        with pytest.raises(ValueError):
+            audit.merged_profile(wrong)
+    assert audit.DEFAULT_PROFILE == {"peakRatio": 2, "fpsMax": 60, "segments": [2, 4, 5, 6, 10]}
+
+
+def test_as_of_slack(spark):
+    rows = spark.createDataFrame([(1, 3_033_333, 90), (1, 3_066_688, 91)], "track long, t long, frame long")
+    probe = spark.createDataFrame([(1, 3_066_667), (1, 3_065_000), (1, 5)], "track long, t long")
+    got = {r.t: r.frame for r in joins.as_of(probe, rows, "frame", slack=1000).collect()}
+    assert got == {3_066_667: 91, 3_065_000: 90, 5: 90}
+
+
+def test_pictures(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (24, 32)).astype(np.uint8)
+    b = np.clip(a.astype(int) + rng.integers(-20, 21, a.shape), 0, 255).astype(np.uint8)
+    total, n = 0.0, 0
+    for y in range(0, 24 - 7, 4):
+        for x in range(0, 32 - 7, 4):
+            p, q = (v[y : y + 8, x : x + 8].astype(float) for v in (a, b))
+            c1, c2 = 416 / 64, 235963 / (64 * 63)
+            cov = ((p - p.mean()) * (q - q.mean())).sum() / 63
+            total += (2 * p.mean() * q.mean() + c1 / 64) * (2 * cov + c2) / ((p.mean() ** 2 + q.mean() ** 2 + c1 / 64) * (p.var(ddof=1) + q.var(ddof=1) + c2))
+            n += 1
+    assert abs(media.structural_similarity(a, b) - total / n) < 1e-9 and media.structural_similarity(a, a) == 1.0
+    df = spark.createDataFrame([(32, 24, bytearray(a.tobytes()), bytearray(b.tobytes())), (32, 24, None, bytearray(b.tobytes()))], "w int, h int, a binary, b binary")
+    got = df.select(media.compare_pictures("w", "h", "a", "b").alias("c")).select("c.*").collect()
+    d = np.abs(a.astype(int) - b)
+    assert abs(got[0].mse - (d**2).mean()) < 1e-9 and got[0].most == d.max() and abs(got[0].share - (d > 8).mean()) < 1e-12 and got[1].mse is None
+    assert (media.resized(np.full((6, 9), 50, np.uint8), 4, 20) == 50).all() and media.resized(np.array([[0, 100]], np.uint8), 1, 1)[0, 0] == 50
+    assert media.luma(np.array([[[255, 255, 255, 255], [0, 0, 0, 255]]], np.uint8)).tolist() == [[235, 16]]
+
+
+def test_bytes(spark):
+    df = spark.createDataFrame([(bytearray(b"123456789"),), (bytearray(b""),), (None,), (bytearray(range(256)),)], "b binary")
+    got = [r.x for r in df.select(media.crc32_mpeg("b").alias("x")).collect()]
+
+    def slow(data):
+        crc = 0xFFFFFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                crc = ((crc << 1) ^ (0x04C11DB7 if (crc >> 31 ^ byte >> k) & 1 else 0)) & 0xFFFFFFFF
+        return crc
+
+    assert got == [0x0376E6E7, 0xFFFFFFFF, None, slow(range(256))]
+    b = F.unhex(F.lit("000003010000030000030203"))
+    row = spark.range(1).select(
+        F.hex(media.unescaped(b)).alias("n"), media.read_bits(b, F.lit(20), 12).alias("bits"), media.uuid(F.unhex(F.lit("00112233445566778899AABBCCDDEEFF"))).alias("u"), media.guid(F.unhex(F.lit("00112233445566778899AABBCCDDEEFF"))).alias("g"),
+        F.date_format(media.date_mjd(F.unhex(F.lit("C079124500"))), "yyyy-MM-dd HH:mm:ss").alias("d"), media.timecode(F.lit(17982), 30, drop=True).alias("t"), media.text_of(F.unhex(F.lit("4142004344"))).alias("s"),
+        F.date_format(media.date_2001(F.lit(1_000_000_000)), "yyyy-MM-dd HH:mm:ss").alias("e"),
+    ).collect()[0]
+    assert tuple(row) == ("0000010000000002" + "03", 0x301, "00112233-4455-6677-8899-aabbccddeeff", "33221100-5544-7766-8899-AABBCCDDEEFF", "1993-10-13 12:45:00", "00:10:00;00", "AB", "2001-01-01 00:00:01")
+    assert media.search_pattern("0x0001") == b"\0\x01" and media.search_pattern("de ad") == b"\xde\xad" and media.search_pattern('"de"') == b"de" and media.search_pattern(" ") is None
