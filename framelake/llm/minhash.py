@@ -8,7 +8,7 @@ and there only pairs across components: members are dealt into blocks, pairs of
 texts that a surviving pair names are sent to be verified, so that no task holds a whole bucket and only links that
 join components are emitted. A pair survives while the posterior probability that its similarity reaches the
 threshold, given the matches among the hashes compared so far (uniform prior), is at least ``miss``. Survivors are
-verified on their full shingle sets, by the words themselves, and links become components by contraction.
+verified on their full shingle sets, links by the words themselves, and become components by contraction.
 
 A pair at similarity exactly 0.75 shares no band with probability (1 - 0.75**5)**40 = 2e-5.
 """
@@ -207,47 +207,55 @@ def _prune(least: list[int]):
     return run
 
 
-PAIR = "bucket long, x long, y long, a long, b long, ca long, cb long"
-
-
-def _across(least: list[int], percent: int):
-    """Pairs across components between two blocks of a bucket's members that survive pruning."""
+NAMED = "bucket long, x long, y long, id long"
+
+
+def _candidates(group: pa.Table, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a and b of two blocks of a bucket: pairs across components that survive pruning, each only in the first
+    bucket that both are in."""
+    comp, n, blk = (group.column(c).to_numpy() for c in ("comp", "n", "blk"))
+    x, y, band = (group.column(c)[0].as_py() for c in ("x", "y", "band"))
+    sig = _matrix(group.column("sig"))
+    left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
+    found = [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(left), 64):
+        part = left[at : at + 64]
+        ok = (comp[part][:, None] != comp[right][None, :]) & (
+            100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :])
+        )
+        if x == y:
+            ok &= part[:, None] < right[None, :]
+        a, b = np.nonzero(ok)
+        a, b = part[a], right[b]
+        keep = surviving(sig, sig, a, b, least)
+        a, b = a[keep], b[keep]
+        earlier = (sig[a, : ROWS * band] == sig[b, : ROWS * band]).reshape(len(a), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(a), bool)
+        found.append(np.stack([a[~earlier], b[~earlier]]))
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
+def _named(least: list[int], percent: int):
+    """The rows of two blocks of a bucket that some candidate names."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, comp, n, blk = (group.column(c).to_numpy() for c in ("id", "comp", "n", "blk"))
-        bucket, x, y = (group.column(c)[0].as_py() for c in ("bucket", "x", "y"))
-        sig = _matrix(group.column("sig"))
-        left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
-        found = []
-        for at in range(0, len(left), 64):
-            part = left[at : at + 64]
-            ok = (comp[part][:, None] != comp[right][None, :]) & (
-                100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :])
-            )
-            if x == y:
-                ok &= part[:, None] < right[None, :]
-            a, b = np.nonzero(ok)
-            a, b = part[a], right[b]
-            keep = surviving(sig, sig, a, b, least)
-            found.append(np.stack([a[keep], b[keep]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        same = lambda v: pa.array(np.full(len(a), v, np.int64))
-        return pa.table([same(bucket), same(x), same(y), pa.array(ids[a]), pa.array(ids[b]), pa.array(comp[a]), pa.array(comp[b])], names=[c.split()[0] for c in PAIR.split(", ")])
+        a, b = _candidates(group, least, percent)
+        return group.select(["bucket", "x", "y", "id"]).take(pa.array(np.unique(np.concatenate([a, b]))))
 
     return run
 
 
-def _joining(percent: int):
-    """Of the pairs of two blocks, links that join their components: no more than it takes."""
+def _joining(least: list[int], percent: int):
+    """Links across components between two blocks: no more than it takes to join the components."""
 
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        a, b, ca, cb = (pairs.column(c).to_numpy() for c in ("a", "b", "ca", "cb"))
-        ids = texts.column("id").to_numpy()
-        order = np.argsort(ids)
-        column = texts.column("text").combine_chunks().cast(pa.large_string())
-        row = lambda v: order[np.searchsorted(ids, v, sorter=order)]
-        root = {int(c): int(c) for c in {*ca.tolist(), *cb.tolist()}}
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        a, b = _candidates(group, least, percent)
+        ids, comp = group.column("id").to_numpy(), group.column("comp").to_numpy()
+        column = group.column("text").combine_chunks().cast(pa.large_string())
+        sets = [s for _, _, data, offsets in tn.chunks(column) for s in shingle_sets(tn.Words(data, offsets))]
+        root = {int(c): int(c) for c in comp.tolist()}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -255,15 +263,14 @@ def _joining(percent: int):
             return c
 
         found = []
-        for lo in range(0, len(a), PAIRS):
-            part = [i for i in range(lo, min(lo + PAIRS, len(a))) if find(int(ca[i])) != find(int(cb[i]))]
-            if not part:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p == q:
                 continue
-            both = np.stack([row(a[part]), row(b[part])], axis=1).ravel()
-            for i, ok in zip(part, _similar(column.take(pa.array(both)), percent).tolist(), strict=True):
-                if ok and (p := find(int(ca[i]))) != (q := find(int(cb[i]))):
-                    root[p] = q
-                    found.append((int(a[i]), int(b[i])))
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common) and _similar(column.take(pa.array([i, j])), percent)[0]:
+                root[p] = q
+                found.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     return run
@@ -313,9 +320,9 @@ def _components(docs: DataFrame, scratch: Scratch, percent: int, miss: float) ->
 
     # the number stands in the hash, so that values of different bands don't meet
     values = [F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)]
-    bands = reps.select("id", F.explode(F.array(*values)).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("m > 1")
-    members = scratch.table(_spread(bands, shared), "members")
+    bands = reps.select("id", F.posexplode(F.array(*values)).alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("band").alias("band"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("m > 1")
+    members = scratch.table(_spread(bands.drop("band"), shared), "members")
 
     used = members.select("id").distinct()
     texts = scratch.table(docs.hint("merge").join(used, "id", "left_semi").select("id", "text"), "texts")
@@ -326,8 +333,8 @@ def _components(docs: DataFrame, scratch: Scratch, percent: int, miss: float) ->
     labels = connected_components(links, scratch, "star-cc")
 
     # buckets of up to three members are done: all their pairs have been compared
-    large = members.where("m > 3").select("bucket", "id")
-    placed = lambda: large.join(labels.toDF("id", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("comp"))
+    large = members.where("m > 3").select("bucket", "band", "id")
+    placed = lambda: large.join(labels.toDF("id", "c"), "id", "left").select("bucket", "band", "id", F.coalesce("c", "id").alias("comp"))
 
     # once more against another member, drawn by hash in each bucket, where components differ
     drawn = F.min(F.struct(F.xxhash64("id", "bucket"), "id", "comp"))
@@ -348,12 +355,13 @@ def _components(docs: DataFrame, scratch: Scratch, percent: int, miss: float) ->
     dealt = _spread(placed(), scratch.table(parts, "parts")).withColumn("active", F.col("comp") != F.col("main"))
     dealt = dealt.withColumn("blk", F.when(F.col("active"), F.pmod(deal, "na")).otherwise(F.col("na") + F.pmod(deal, "np")))
     others = F.when(F.col("active"), F.sequence(F.lit(0), F.col("na") + F.col("np") - 1)).otherwise(F.sequence(F.lit(0), F.col("na") - 1))
-    dealt = dealt.join(reps.hint("merge"), "id").select("bucket", "id", "comp", "n", "sig", "blk", F.explode(others).alias("o"))
-    dealt = dealt.select("bucket", "id", "comp", "n", "sig", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
+    dealt = dealt.select("bucket", "band", "id", "comp", "blk", F.explode(others).alias("o"))
+    dealt = dealt.select("bucket", "band", "id", "comp", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
+    dealt = dealt.join(reps.hint("merge"), "id")
     cell = ["bucket", "x", "y"]
-    pairs = scratch.table(dealt.groupBy(*cell).applyInArrow(_across(least, percent), PAIR), "pairs")
-    named = pairs.select(*[F.col(c).alias(f"{c}_") for c in cell], F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.hint("merge"), "id")
-    more = pairs.groupBy(*cell).cogroup(named.groupBy(*[f"{c}_" for c in cell])).applyInArrow(_joining(percent), "a long, b long").distinct()
+    named = scratch.table(dealt.groupBy(*cell).applyInArrow(_named(least, percent), NAMED), "named")
+    held = dealt.join(named.hint("merge"), [*cell, "id"]).join(texts.hint("merge"), "id")
+    more = held.groupBy(*cell).applyInArrow(_joining(least, percent), "a long, b long").distinct()
     final = _relabelled(labels, more, scratch, "more")
     scratch.drop("texts")
 
