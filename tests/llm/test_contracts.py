@@ -200,6 +200,130 @@ def test_op8(spark, awkward, docs):
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == want
 
 
+def test_op8_passes(spark):
+    """Many passes give what one pass gives, repeated rows and texts that share an id included."""
+    rng = np.random.default_rng(5)
+    w = lambda n: " ".join(rng.choice(list("abcdefgh"), n))
+    items = [(f"i{k}", w(int(n))) for k, n in enumerate(rng.integers(0, 30, 40))] + [("i1", w(12)), (None, w(12)), ("e", None)]
+    docs = [(k, w(int(n))) for k, n in enumerate(rng.integers(0, 300, 30))] * 2 + [(3, f"{w(30)} {items[5][1]} {w(5)}"), (4, None), (None, w(20))]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda r: (r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r.item_ids), tuple(r.near_ids))
+    want = Counter(map(key, decontam.find_items(docs, items).collect()))
+    assert sum(want.values()) == 62 and any(k[2] for k in want)
+    assert Counter(map(key, decontam.find_items(docs, items, pass_bytes=40).collect())) == want
+
+
+def test_op3_parse():
+    """The parse of a text in blocks is that of one greedy parse from end to end."""
+    rng = np.random.default_rng(2)
+    han = [chr(0x4E00 + k) for k in range(3000)]
+    refs = {"a": "".join(rng.choice(list("abcde "), 3000)), "b": "".join(rng.choice(list("aaab"), 3000)), "zh": "".join(rng.choice(han, 3000))}
+
+    def naive(text, ref):
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and text[i:j] in ref:
+                j += 1
+            i, n = max(i + 1, j - 1), n + 1
+        return n
+
+    own = langid.Automata(refs)
+    texts = ["", "a", "abcd", "".join(rng.choice(list("abcde"), 3000)), "a" * 2000, "ab" * 700 + "xyz", refs["zh"][100:900] + "".join(rng.choice(han, 900))]
+    costs, letters = own.costs(texts)
+    assert letters.tolist() == [len(t) for t in texts]
+    for t, row in zip(texts, costs):
+        assert np.round(row * len(t) / own.bits).astype(int).tolist() == [naive(t, refs[n]) for n in own.languages]
+
+
+def test_op3_many_languages(spark):
+    """Languages beyond one pass are learned, and a script of thousands of letters fits."""
+    rng = np.random.default_rng(4)
+    rows, texts = [], {}
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        for j in range(3):
+            rows.append((3 * k + j, "".join(rng.choice(letters, 200)), f"l{k:02}"))
+    rows += [(900, None, "l00"), (901, "123", None), (902, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = langid.references(docs)
+    assert len(texts) == 70
+    for most in (langid.LANGUAGES, 100):
+        out = {r.doc_id: r for r in langid.identify(docs, texts, languages=most).collect()}
+        assert all(out[i].lang_pred == lang for i, _, lang in rows if i < 900) and all(0 < out[i].score <= 1 for i in range(210))
+        assert {out[i].lang_pred for i in (900, 901, 902)} == {"und"}
+    wide = {n: "".join(rng.choice([chr(0x4E00 + k) for k in range(3000)], 60000)) for n in ("x", "y")}
+    own = langid.Automata(wide)
+    assert own.cell.nbytes + own.base.nbytes < 64 << 20
+
+
+def test_op4_lengths_ties_and_blocks(spark):
+    """Vectors of several lengths, ties across blocks, repeated ids, and queries in several passes."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (900, 4)).astype(float)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5, x[5].tolist()), (2000, [1.0, 2.0]), (2001, [3.0, 1.0]), (2002, [0.0, 0.0]), (2020, [5.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    ids = np.append(np.arange(900), 5)
+    every, full = np.any(x[ids % 900] != 0, axis=1), x[ids % 900]
+    for size in (1 << 25, 64):
+        got = {}
+        for r in ann.nearest(v, v.where("id % 50 = 0"), index_block=128, query_bytes=size, rerank=16).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in range(0, 900, 50):
+            s = full @ x[q]
+            ok = every & (ids != q)
+            best = sorted(zip(-s[ok], ids[ok]))[:20]
+            assert sorted(got.get(q, [])) == ([(k + 1, i, -t) for k, (t, i) in enumerate(best)] if every[q] else [])
+        assert sorted(got[2000]) == [(1, 2001, 5.0)] and 2020 not in got
+
+
+def test_op4_recall_of_the_codes():
+    """Candidates by the codes alone, under 5 % of a block, hold nearly all of the nearest."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((200, 32))[rng.integers(0, 200, 12000)] + 0.5 * rng.standard_normal((12000, 32))
+    books = ann.train(x[:6000])
+    codes = ann.encode(x, books)
+    made = books[np.arange(len(books)), codes].sum(axis=1)
+    scale = np.linalg.norm(x, axis=1) / np.linalg.norm(made, axis=1)
+    hits, kept = [], []
+    for q in x[::200]:
+        near, s = (made @ q) * scale, x @ q
+        best = set(np.argsort(-s)[:20].tolist())
+        hits.append(len(best & set(np.argpartition(-near, 511)[:512].tolist())) / 20)
+        off = np.linalg.norm(x - scale[:, None] * made, axis=1)
+        kept.append(np.mean(near + np.linalg.norm(q) * off >= np.sort(s)[-20]))
+    print("recall@20 of 512 of 12000 by codes", np.mean(hits), "share that the bound leaves", np.mean(kept))
+    assert np.mean(hits) >= 0.9 and np.mean(kept) < 0.5
+
+
+def test_op6_votes(spark, sf_dir):
+    """Scores are exact cosine votes in the model's space, and better than the majority on both labels."""
+    import zlib as z
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet").collect()}
+    model = Q.quality_model(spark, f"{sf_dir}/../sf0.01")
+    learned = [i for i in sorted(docs) if i in labels and z.crc32(str(i).encode()) % 5]
+    assert len(model.labels) == len(learned) and model.labels.tolist() == [labels[i] for i in learned]
+    got = {r.doc_id: r for r in Q.op6_quality_classifier(spark, f"{sf_dir}/../sf0.01").collect()}
+
+    def raw(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return quality.counts(data, np.array([0, len(data)]))
+
+    for i in list(docs)[::25]:
+        z_ = model.project(raw(docs[i]))[0].astype(np.float64)
+        cosine = np.array([v @ z_ / max(np.linalg.norm(v) * np.linalg.norm(z_), 1e-12) for v in model.vectors.astype(np.float64)])
+        near = np.argsort(-cosine, kind="stable")[: model.neighbours]
+        edge = np.sort(cosine)[-model.neighbours - 1 :]
+        if len(docs[i]) > 1 and edge[1] - edge[0] > 1e-6:
+            assert abs((cosine[near] * model.labels[near]).sum() / cosine[near].sum() - got[i].score) < 1e-4
+    held = [r for r in got.values() if r.held_out and r.doc_id in labels]
+    share = lambda y: np.mean([r.predicted == y for r in held if labels[r.doc_id] == y])
+    assert (share(0) + share(1)) / 2 >= 0.9
+
+
 def test_op9_null_and_ties(spark):
     line = " ".join(f"w{k}" for k in range(35))
     rows = [(2, line + "\nown two", "a"), (1, line + "\nown one", "b"), (3, None, "c"), (None, line, "d"), (4, "", "e")]
@@ -208,6 +332,32 @@ def test_op9_null_and_ties(spark):
     assert out[3].text is None and out[3].n_lines == 0 and out[None].text == line and out[4].text == ""
 
 
+def test_op9_names(spark):
+    """Columns called as those that the operator makes itself, or oddly."""
+    line = " ".join(f"w{k}" for k in range(35))
+    names = ["__l", "__drop", "__k", "__work", "c0", "a.b", "__h", "__r", "__once"]
+    rows = [(k, line, *[f"{n}{k}" for n in names]) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for passage in (None, 50):
+        out = linedup.dedup_lines(docs, passage=passage)
+        assert out.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+        assert sorted(tuple(r) for r in out.collect()) == [(0, *rows[0][1:], 1, 0), (1, "", *rows[1][2:], 1, 1)]
+
+
+def test_op9_hot_and_long(spark):
+    """One passage in most documents, and a text of many lines."""
+    shared = "\n".join(" ".join(f"s{k}x{j}" for j in range(12)) for k in range(9))
+    rows = [(k, f"own line {k}\n{shared}") for k in range(400)] + [(1000, "\n".join(f"line {k} of a long text that goes on" for k in range(20000)))]
+    out = {r.doc_id: r for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage=50).collect()}
+    assert out[0].n_removed == 0 and all(out[k].text == f"own line {k}" for k in range(1, 400)) and out[1000].n_removed == 0
+
+
+def test_op10_first_turn_that_all_share(spark):
+    rows = [(c, k, "user", "hello" if k == 0 else f"{c}-{k}") for c in range(300) for k in range(3)] + [(1000 + c, 0, "user", "hello") for c in range(300)] + [(2000 + c, 0, "user", "alone") for c in range(300)]
+    out = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.conv_id for r in out} == {*range(300), 2000}
+
+
 def test_op10(spark):
     log = {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "b", 6: "a", 7: "bb" * 300, 8: "bb" * 300 + "c"}
     rows = [(c, k if c < 7 else 2 * k, "user", t) for c, s in log.items() for k, t in enumerate(s)]
@@ -240,7 +390,11 @@ def test_empty_tables(spark, sf_dir):
     assert decontam.find_items(docs, items).count() == 0
     assert linedup.dedup_lines(docs).count() == 0
     assert langid.identify(docs, langid.references(docs)).count() == 0
-    assert quality.fit and chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score(docs, none).count() == 0 and {r.score for r in quality.score(spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string"), none).collect()} == {0.5}
+    assert decontam.find_items(docs, items.limit(0)).count() == 0
+    assert decontam.find_items(spark.createDataFrame([(1, "x y"), (1, "x y")], "doc_id long, text string"), items.limit(0)).count() == 2
+    assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_pipeline(spark, sf_dir):
