@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textnum as tn
+from .store import with_source
 
 FEATURES = 2048
 DIMENSIONS = 48
@@ -138,4 +139,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
                 columns = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(own.score(x), pa.float64())], names=[*kept, to])
 
-    return docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, docs.schema.add(to, "double"))
+    return with_source(docs, kept, text).mapInArrow(run, docs.schema.add(to, "double"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import textnum as tn
+from .store import with_source
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -120,4 +121,4 @@ def find_secrets(docs: DataFrame, text: str = "text", to: str = "spans", allowed
                 found = [[dict(zip(("kind", "start", "end"), s)) for s in scan(bytes(data[a:b]).decode(), fine)] for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in columns[:-1]] + [pa.array(found, arrow)], names=[*kept, to])
 
-    return docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, schema)
+    return with_source(docs, kept, text).mapInArrow(run, schema)

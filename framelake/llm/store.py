@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def with_source(df: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """The columns ``kept`` and behind them ``text``, under a name that none of them has."""
+    name = "__source"
+    while name in kept:
+        name += "_"
+    return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias(name))
+
+
 class Scratch:
     """Parquet tables of one operator run: they cut lineage and survive the loss of an executor.
 

@@ -122,3 +122,126 @@ def test_op5_texts_without_known_words(spark):
     none = lm.score(docs, F.lit(False), spec, steps=5).collect()
     assert len(none) == 41 and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in none)
     assert lm.score(docs.limit(0), F.lit(True), spec, steps=5).count() == 0
+
+
+def _stage_tables(spark, at, docs, sf_dir):
+    docs.write.parquet(f"{at}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def _lines_brute(texts):
+    """What line dedup leaves of {id: text}: repeated chunks, and verbatim runs of over 50 words, by comparing texts."""
+    import hashlib
+
+    count = lambda x: 0 if x == "" else x.count(" ") + 1
+    words = lambda x: len(x.split())
+    chunks = {}
+    for i, text in texts.items():
+        lines, out, begin = text.split("\n"), [], 0
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:12], 16) for x in lines]
+        w = [count(x) for x in lines]
+        for k in range(len(lines)):
+            last = k + 1 == len(lines)
+            if last or w[k] >= 30 or w[k + 1] >= 30 or (31 * (h[k - 1] if k else 0) + h[k]) % 1021 % 2 == 0:
+                out.append((begin, k + 1))
+                begin = k + 1
+        chunks[i] = out
+    gone = {i: set() for i in texts}
+    seen = set()
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        for a, b in chunks[i]:
+            t, w = "\n".join(lines[a:b]), sum(count(x) for x in lines[a:b])
+            if (b - a > 1 and w >= 20) or w >= 30:
+                if t in seen:
+                    gone[i] |= set(range(a, b))
+                seen.add(t)
+    # every run of lines, from one with words to one with words, that stands in a smaller document or before in this one
+    places = {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        for a, x in enumerate(lines):
+            places.setdefault(x, []).append((i, a))
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        for a in range(len(lines)):
+            for j, b in places[lines[a]]:
+                if (j, b) >= (i, a) or (j == i and b == a):
+                    continue
+                other, n = texts[j].split("\n"), 0
+                while a + n < len(lines) and b + n < len(other) and lines[a + n] == other[b + n] and (j != i or b + n < a):
+                    n += 1
+                while n and not lines[a + n - 1].split():
+                    n -= 1
+                if n and lines[a].split() and sum(words(x) for x in lines[a : a + n]) > 50:
+                    gone[i] |= set(range(a, a + n))
+    return {i: ("\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone[i]), len(gone[i])) for i in texts}
+
+
+def test_pipeline_by_brute_force(spark, sf_dir, tmp_path):
+    """All five stages against versions that compare everything with everything."""
+    import re
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    out = {(r.doc_id, r.text): bytes(r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    scores = {r.doc_id: r.score for r in Q.op6_quality_classifier(spark, sf_dir).collect()}  # held against brute force in its own test
+    texts = _lines_brute({i: t for i, t in docs.items() if scores[i] >= Q.ACCEPT})
+    texts = {i: t for i, (t, n) in texts.items() if not (n and not t.strip(" "))}
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    texts = {i: t for i, t in texts.items() if find(i) == i}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = set()
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        w = split(r.text or "")
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    leaks = {i for i, t in texts.items() for n in sizes if any(tuple(w[k : k + n]) in windows for w in [split(t)] for k in range(len(w) - n + 1))}
+    tok = Tokenizer.from_file(Q.vocabulary())
+    want = {(i, t): np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in texts.items() if i not in leaks}
+    assert len(want) > 50 and out == want
+
+
+def test_pipeline_awkward(spark, sf_dir, tmp_path):
+    """Nulls, repeated rows, shared ids, clashing columns, a long text and an empty table."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = [(1, None), (2, ""), (3, "alone here with a few words"), (3, "alone here with a few words"), (4, "one text of an id"), (4, "another text of it that differs"), (None, "no id at all here"), (None, None), (5, "many " * 30000)]
+    rows = spark.createDataFrame([(i if i is None else 10**6 + i, t, None, None, None) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.select("doc_id", "text", "lang", "source", "n_chars").unionByName(rows)
+    for name in ("__score", "__id", "__nth", "n_lines", "n_removed", "__k", "__source"):
+        docs = docs.withColumn(name, F.lit("x"))
+    at = _stage_tables(spark, tmp_path / "a", docs, sf_dir)
+    current = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, at)
+        assert current.columns == docs.columns and current.where("__score <> 'x' or n_lines <> 'x' or __nth <> 'x'").count() == 0
+        current = corpus_pipeline.Scratch(spark).table(current, "t")
+    left = current.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    assert left.count() == 0
+    out = corpus_pipeline.tokenize(spark, current, at).collect()
+    ids = [r.doc_id for r in out if r.doc_id and r.doc_id > 10**6]
+    assert sorted(ids) == sorted({10**6 + k for k in (1, 2, 3, 4, 5)} & set(ids)) and {10**6 + 3, 10**6 + 4} <= set(ids)
+    none = _stage_tables(spark, tmp_path / "b", docs.limit(0), sf_dir)
+    assert corpus_pipeline.run(spark, none).count() == 0
