@@ -3,18 +3,38 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+_shipped: set[str] = set()
+
+
+def package_zip(path: str) -> str:
+    """The modules of this package as a zip that Python can import from."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(ROOT, "framelake")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, ROOT))
+    return path
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
+    """Let Python workers import this package: from where the driver has it, and on a cluster from a zip that Spark sends."""
+    sc = spark.sparkContext
+    env = sc.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    one_process = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if not one_process and sc.applicationId not in _shipped:
+        sc.addPyFile(package_zip(os.path.join(tempfile.mkdtemp(prefix="framelake-"), "framelake.zip")))
+        _shipped.add(sc.applicationId)
     return spark
 
 

@@ -178,3 +178,14 @@ def test_bytes(spark):
     ).collect()[0]
     assert tuple(row) == ("0000010000000002" + "03", 0x301, "00112233-4455-6677-8899-aabbccddeeff", "33221100-5544-7766-8899-AABBCCDDEEFF", "1993-10-13 12:45:00", "00:10:00;00", "AB", "2001-01-01 00:00:01")
     assert media.search_pattern("0x0001") == b"\0\x01" and media.search_pattern("de ad") == b"\xde\xad" and media.search_pattern('"de"') == b"de" and media.search_pattern(" ") is None
+
+
+def test_package_zip(tmp_path):
+    import subprocess
+    import sys
+
+    from framelake.session import package_zip
+
+    at = package_zip(str(tmp_path / "p.zip"))
+    code = f"import sys; sys.path = [p for p in sys.path if p and 'repo' not in p]; sys.path.insert(0, {at!r}); import framelake.sources.media as m; assert {at!r} in m.__file__"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
