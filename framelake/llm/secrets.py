@@ -3,7 +3,8 @@
 Assignments, access keys and long hex strings are found by pattern. Beyond them, every run of key-like characters
 is a candidate; a window slides over it, the Shannon entropy of the window is kept up to date by the counts of the
 character that enters and the one that leaves, and windows above the limit of the candidate's character class are
-joined into spans. Candidates that match the allow-list, and spans inside one found by shape, are not reported.
+joined into spans. Candidates that match the allow-list whole, words that mark an example, and spans inside one found
+by shape are not reported; what stands beside such a word is looked at like any candidate.
 """
 
 from __future__ import annotations
@@ -27,17 +28,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 LEAST_VALUE = 8
 
-WINDOW = 24
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: Least entropy of a window, in bits a character, by the class of the candidate's characters; digits alone never count.
-LIMITS = {"digits": math.inf, "hex": 3.0, "letters": 4.2, "mixed": 3.9}
-#: Candidates that are not secrets: identifiers of lower-case words, UUIDs, paths of words, and marked examples.
+#: Characters of a window, and of one in a candidate that is shorter than that.
+WINDOW, SHORT = 24, 16
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % SHORT)
+#: Least entropy of a window, in bits a character, by the class of the candidate's characters and the window; digits
+#: alone never count, and neither do short runs of hex digits or of letters of one case, which words can't be told from.
+LIMITS = {
+    WINDOW: {"digits": math.inf, "hex": 3.0, "letters": 3.6, "cases": 3.9, "mixed": 3.7},
+    SHORT: {"digits": math.inf, "hex": math.inf, "letters": math.inf, "cases": 3.6, "mixed": 3.3},
+}
+#: Candidates that are not secrets: identifiers and paths of words, and UUIDs.
 ALLOWED = (
-    r"[a-z]+(?:[-_/][a-z]+)+",
+    r"[a-z]{1,16}(?:[-_/][a-z]{1,16})+",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"/?(?:[A-Za-z]+/)+[A-Za-z]*",
-    r"(?i:.*(?:example|placeholder|changeme).*)",
+    r"/?(?:[A-Za-z][a-z]{0,15}/)+(?:[A-Za-z][a-z]{0,15})?",
 )
+#: Words that mark an example: they are no part of a secret, but what stands beside them may be one.
+MARKS = re.compile(r"(?i)example|placeholder|changeme")
 
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -47,7 +54,9 @@ def char_class(run: str) -> str:
         return "digits"
     if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
         return "hex"
-    return "letters" if run.isalpha() else "mixed"
+    if not run.isalpha():
+        return "mixed"
+    return "letters" if run[1:].islower() or run.isupper() else "cases"
 
 
 def entropy_spans(run: str, limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -90,12 +99,18 @@ def scan(text: str, allowed: re.Pattern) -> list[tuple[str, int, int]]:
     for m in CANDIDATE.finditer(text):
         if allowed.fullmatch(m[0]):
             continue
-        for lo, hi in entropy_spans(m[0], LIMITS[char_class(m[0])]):
-            lo, hi = lo + m.start(), hi + m.start()
-            while k < len(covers) and covers[k][1] < hi:
-                k += 1
-            if not (k < len(covers) and covers[k][0] <= lo):
-                more.append(("entropy", lo, hi))
+        edges = [0, *(x for mark in MARKS.finditer(m[0]) for x in mark.span()), len(m[0])]
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            run = m[0][a:b]
+            window = WINDOW if b - a >= WINDOW else SHORT
+            if b - a < window:
+                continue
+            for lo, hi in entropy_spans(run, LIMITS[window][char_class(run)], window):
+                lo, hi = lo + m.start() + a, hi + m.start() + a
+                while k < len(covers) and covers[k][1] < hi:
+                    k += 1
+                if not (k < len(covers) and covers[k][0] <= lo):
+                    more.append(("entropy", lo, hi))
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

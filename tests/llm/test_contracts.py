@@ -179,6 +179,24 @@ def test_op7_incremental_entropy():
         assert (got == hit).all()
 
 
+def test_op7_entropy_by_class():
+    """Misses on random keys and hits on words, by class; marks and paths hide words, not keys."""
+    import string
+
+    rng = np.random.default_rng(8)
+    fine = re.compile("|".join(f"(?:{p})" for p in secrets.ALLOWED))
+    found = lambda t: [s for s in secrets.scan(t, fine) if s[0] == "entropy"]
+    missed = {}
+    for name, letters, size in (("lower", string.ascii_lowercase, 24), ("cases", string.ascii_letters, 24), ("mixed", string.ascii_letters + string.digits, 24), ("mixed16", string.ascii_letters + string.digits, 16), ("hex", "0123456789abcdef", 31)):
+        missed[name] = np.mean([not found(f"x {''.join(rng.choice(list(letters), size))} y") for _ in range(400)])
+    print("missed", missed)
+    assert missed["lower"] < 0.15 and missed["cases"] < 0.1 and missed["mixed"] < 0.05 and missed["mixed16"] < 0.1 and missed["hex"] < 0.02
+    key = "kD9vQ2mXz7Lp4RtW8sYb3NfH"
+    assert found(f"changeme-{key}") and found(f"{key}example") and not found("changeme-example-placeholder")
+    assert not found("src/main/resources/templates/index") and not found("some-long-identifier-of-words") and found("aGhJkLq/ZxCvBnMqWeRtYuIoPaSdF")
+    assert not found("123e4567-e89b-12d3-a456-426614174000") and not found("9807915762804490980791576280")
+
+
 def test_op8(spark, awkward, docs):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{awkward}/benchmark.parquet").collect()}
