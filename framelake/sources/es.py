@@ -188,6 +188,108 @@ def mpeg2_frame(data: bytes) -> dict:
     return {"kind": "?", "ref": False, "rap": False}
 
 
+def mpeg4_frame(data: bytes) -> dict:
+    """MPEG-4 Part 2; a frame that isn't coded repeats the one before."""
+    closed = False
+    for at in start_codes(np.frombuffer(data, np.uint8)).tolist():
+        code = data[at] if at < len(data) else 0xFF
+        if code == 0xB3 and at + 3 < len(data):
+            closed = bool(data[at + 3] >> 5 & 1)
+        if code == 0xB6 and at + 1 < len(data):
+            kind = "IPBS"[data[at + 1] >> 6]
+            return {"kind": kind, "ref": kind != "B", "rap": kind == "I", "closed": kind == "I" and closed}
+    return {"kind": "?", "ref": False, "rap": False}
+
+
+def vp9_frame(data: bytes) -> dict:
+    """The first frame of a packet; one that only shows an earlier frame is a repeat."""
+    try:
+        r = Bits(data[:16])
+        r.data = data[:16]
+        if r.u(2) != 2:
+            return {"kind": "?", "ref": False, "rap": False}
+        profile = r.u(1) | r.u(1) << 1
+        if profile == 3:
+            r.u(1)
+        if r.u(1):
+            return {"kind": "=", "ref": False, "rap": False}
+        key, shown, robust = not r.u(1), bool(r.u(1)), bool(r.u(1))
+        intra = not key and not shown and bool(r.u(1))
+        return {"kind": "I" if key or intra else "P", "ref": True, "rap": key, "closed": key, "hidden": not shown, "robust": robust}
+    except EOFError:
+        return {"kind": "?", "ref": False, "rap": False}
+
+
+def av1_frame(data: bytes, state: dict | None = None) -> dict:
+    """The first frame of a temporal unit; ``state`` carries what the last sequence header says."""
+    state, at = ({} if state is None else state), 0
+    while at < len(data):
+        head = data[at]
+        at += 2 if head & 4 else 1
+        try:
+            size, at = leb128(data, at) if head & 2 else (len(data) - at, at)
+        except (IndexError, ValueError):
+            break
+        body = data[at : at + size]
+        kind = head >> 3 & 15
+        if kind == 1 and body:
+            state["reduced"] = bool(body[0] >> 3 & 1)
+        elif kind in (3, 6) and body:
+            if state.get("reduced"):
+                return {"kind": "I", "ref": True, "rap": True, "closed": True}
+            if body[0] >> 7:
+                return {"kind": "=", "ref": False, "rap": False}
+            frame, shown = body[0] >> 5 & 3, bool(body[0] >> 4 & 1)
+            return {"kind": "I" if frame in (0, 2) else "P", "ref": True, "rap": frame == 0 and shown, "closed": frame == 0, "hidden": not shown}
+        at += size
+    return {"kind": "?", "ref": False, "rap": False}
+
+
+def vp6_frame(data: bytes) -> dict:
+    key = bool(data) and not data[0] & 0x80
+    return {"kind": "?" if not data else "I" if key else "P", "ref": True, "rap": key, "closed": key}
+
+
+def sorenson_frame(data: bytes) -> dict:
+    try:
+        r = Bits(data[:16])
+        r.data = data[:16]
+        if r.u(17) != 1:
+            return {"kind": "?", "ref": False, "rap": False}
+        r.u(13)
+        size = r.u(3)
+        r.u(16 if size == 0 else 32 if size == 1 else 0)
+        kind = r.u(2)
+        return {"kind": "IPP?"[kind], "ref": kind < 2, "rap": kind == 0, "closed": kind == 0}
+    except EOFError:
+        return {"kind": "?", "ref": False, "rap": False}
+
+
+def classify(family: str, data: bytes, state: dict, width: int | None = None) -> dict:
+    """What kind of picture a frame of a codec family is, from its first bytes; ``width`` is that of the sizes before
+    NAL units, None where start codes part them. ``state`` is carried from frame to frame in decoding order."""
+    if family in ("avc", "hevc"):
+        units = [data[a : a + n] for a, n in (length_prefixed_cut(data, width) if width else annex_b(data))]
+        return avc_frame(units) if family == "avc" else hevc_frame(units)
+    if family == "av1":
+        return av1_frame(data, state)
+    own = {"vp9": vp9_frame, "vp8": vp8_frame, "mpeg2v": mpeg2_frame, "mpeg4v": mpeg4_frame, "h263s": sorenson_frame, "vp6": vp6_frame, "vp6a": lambda d: vp6_frame(d[3:])}.get(family)
+    return own(data) if own else {"kind": "?", "ref": False, "rap": False}
+
+
+def length_prefixed_cut(data: bytes, width: int = 4) -> list[tuple[int, int]]:
+    """As :func:`length_prefixed`, for the front of a frame: the last unit may be cut off."""
+    at, out = 0, []
+    while at + width < len(data):
+        n = int.from_bytes(data[at : at + width], "big")
+        at += width
+        if not n:
+            break
+        out.append((at, min(n, len(data) - at)))
+        at += n
+    return out
+
+
 def probe(head: bytes, size: int) -> int:
     return 35 if head[:4] in (b"\0\0\0\1", b"\0\0\1\xb3") or head[:3] == b"\0\0\1" and len(head) > 3 and head[3] & 0x80 == 0 else 0
 

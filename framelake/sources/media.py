@@ -129,6 +129,69 @@ def errors(files: DataFrame) -> DataFrame:
     return _read(files, "errors", ERRORS)
 
 
+#: Families by the names that containers give their codecs.
+FAMILIES = {
+    "avc1": "avc", "avc3": "avc", "V_MPEG4/ISO/AVC": "avc", "H264": "avc", "hvc1": "hevc", "hev1": "hevc", "V_MPEGH/ISO/HEVC": "hevc", "av01": "av1", "V_AV1": "av1", "vp09": "vp9", "V_VP9": "vp9",
+    "vp08": "vp8", "V_VP8": "vp8", "VP80": "vp8", "mp4v": "mpeg4v", "XVID": "mpeg4v", "V_MPEG4/ISO/ASP": "mpeg4v", "V_MPEG2": "mpeg2v",
+}
+TYPES = "file string, track long, i long, letter string, ref boolean, rap boolean, closed boolean, leading boolean, skippable boolean, hidden boolean"
+#: Bytes from the front of a frame that are read first, and at most where they don't tell.
+HEAD, FULL = 2 << 10, 8 << 20
+
+
+def _types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                name, _, found, frames = open_media(path)
+                source = open_range(path)
+            except Exception:  # what can't be opened has a row in errors()
+                continue
+            for t in found:
+                family = FAMILIES.get(t["codec"], t["codec"])
+                if t["kind"] != "video" or t["track"] not in frames:
+                    continue
+                sized = name in ("isobmff", "flv", "matroska") and family in ("avc", "hevc")
+                state: dict = {}
+                rows = []
+                for i, (offset, size) in enumerate(zip(frames[t["track"]]["offset"].tolist(), frames[t["track"]]["size"].tolist(), strict=True)):
+                    got = es.classify(family, source.read(offset, min(size, HEAD)), state, 4 if sized else None)
+                    if got["kind"] == "?" and size > HEAD:
+                        got = es.classify(family, source.read(offset, min(size, FULL)), state, 4 if sized else None)
+                    rows.append((path, t["track"], i, got["kind"], *(bool(got.get(f)) for f in ("ref", "rap", "closed", "leading", "skippable", "hidden"))))
+                yield pd.DataFrame(rows, columns=_columns(TYPES))
+            source.close()
+
+
+def frame_types(files: DataFrame) -> DataFrame:
+    """The kind of picture of each frame of the video tracks, from its first bytes, in decoding order."""
+    return files.select("path").mapInPandas(_types, TYPES)
+
+
+def extracted_audio(files: DataFrame, track: int, rate: int, channels: int) -> DataFrame:
+    """(file, data): the AAC frames of a track with a header before each, read in runs that lie side by side."""
+    from .audio import adts_header
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                frames = open_media(path)[3].get(track)
+                if frames is None:
+                    continue
+                source, out = open_range(path), []
+                offset, size = frames["offset"], frames["size"]
+                cut = np.flatnonzero(np.concatenate([[True], offset[1:] != offset[:-1] + size[:-1]]))
+                for a, b in zip(cut, [*cut[1:], len(size)], strict=True):
+                    data, at = source.read(int(offset[a]), int(size[a:b].sum())), 0
+                    for n in size[a:b].tolist():
+                        out.append(adts_header(n, rate, channels) + data[at : at + n])
+                        at += n
+                source.close()
+                yield pd.DataFrame([(path, b"".join(out))], columns=["file", "data"])
+
+    return files.select("path").mapInPandas(run, "file string, data binary")
+
+
 def _ts_rows(part: str, schema: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -233,6 +233,39 @@ def test_h264(spark, folder):
     assert [r.letter for r in s] == ["I", "P", "B", "I"] and [r.key for r in s] == [True, False, False, True] and [r.dts for r in s] == [0, 3600, 7200, 10800] and sum(r.size for r in s) == len(data)
 
 
+def test_frame_types(spark, folder):
+    cases = [
+        ("vp9", b"\x82\x49\x83\x42", "I", True), ("vp9", b"\x86\x00\x00", "P", False), ("vp9", b"\x88", "=", False), ("vp8", b"\x10\0\0", "I", True), ("vp8", b"\x11\0\0", "P", False),
+        ("av1", b"\x12\0\x0a\x01\0\x32\x02\x10\0", "I", True), ("av1", b"\x12\0\x32\x02\x30\0", "P", False), ("av1", b"\x1a\x01\x80", "=", False), ("mpeg2v", b"\0\0\1\xb3" + bytes(8) + b"\0\0\1\0\0\x08\0\0", "I", True), ("mpeg2v", b"\0\0\1\0\0\x18\0\0", "B", False),
+        ("mpeg4v", b"\0\0\1\xb6\x50", "P", False), ("mpeg4v", b"\0\0\1\xb6\x10", "I", True), ("vp6", b"\x00", "I", True), ("vp6a", b"\0\0\0\x80", "P", False), ("h263s", b"\0\0\x84\0\2\0\0", "I", True), ("hevc", b"\0\0\0\4\x26\1\xaa\xaa", "I", True), ("avc", b"\0\0\0\4\x65\x88\x80\x10", "I", True), ("xyz", b"a", "?", False),
+    ]
+    for family, data, kind, rap in cases:
+        got = es.classify(family, data, {}, 4 if family in ("avc", "hevc") else None)
+        assert (got["kind"], got["rap"]) == (kind, rap), (family, got)
+    f = rows(spark, folder, "types.h264", b"\0\0\0\1\x65" + bits(("ue", 0), ("ue", 7), (8, 1)) + bytes([9] * 9) + b"\0\0\0\1\x41" + bits(("ue", 0), ("ue", 5), (8, 1)) + bytes([9] * 9))
+    assert [(r.letter, r.rap, r.ref) for r in media.frame_types(f).orderBy("i").collect()] == [("I", True, True), ("P", False, True)]
+
+
+def test_audio(spark, folder):
+    from framelake.sources import audio
+
+    frame = lambda n: audio.adts_header(n, 44100, 2) + bytes([n % 251]) * n
+    data = b"junk" + b"".join(frame(n) for n in (100, 250, 180, 90))
+    framer, found, at = audio.Framer("aac"), [], 0
+    for size in (50, 7, 300, 1, 1000):
+        found += framer.feed(data[at : at + size], 5000 + at)
+        at += size
+    found += framer.finish()
+    assert [(x.offset, x.size, x.samples, x.rate, x.channels) for x in found] == [(5004, 107, 1024, 44100, 2), (5111, 257, 1024, 44100, 2), (5368, 187, 1024, 44100, 2), (5555, 97, 1024, 44100, 2)] and framer.lost == 4
+    assert audio.mpeg_audio(b"\xff\xfb\x90\x00", 0) == (417, 1152, 44100, 2) and audio.mpeg_audio(b"\xff\xf3\x40\xc0", 0) == (104, 576, 22050, 1) and audio.ac3(b"\x0b\x77\0\0\x14\x40\x43\0\0", 0) == (768, 1536, 48000, 2)
+    assert audio.audio_specific_config(b"\x12\x10") == {"object_type": 2, "sample_rate": 44100, "channels": 2} and audio.audio_specific_config(bytes.fromhex("2b8a0800"))["extension"] == 5
+    assert audio.opus_head(b"OpusHead\1\2\x38\1\x80\xbb\0\0\0\0\0") == {"channels": 2, "skip": 312, "sample_rate": 48000}
+    assert audio.flac_info(b"fLaC\0\0\0\x22" + bytes(10) + (44100 << 44 | 1 << 41 | 15 << 36 | 1000).to_bytes(8, "big") + bytes(16)) == {"sample_rate": 44100, "channels": 2, "bits": 16, "samples": 1000}
+    f = rows(spark, folder, "extract.flv", flv())
+    got = media.extracted_audio(f, 2, 44100, 2).collect()[0].data
+    assert bytes(got) == audio.adts_header(4, 44100, 2) + b"abcd"
+
+
 def test_damaged_files_give_rows(spark, folder):
     rng = random.Random(20)
     paths = []
