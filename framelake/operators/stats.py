@@ -114,9 +114,34 @@ def budgeted(gops: DataFrame, budget: int) -> DataFrame:
 
     The stride order of a GOP is that of its number's bits reversed, so the choice is a running sum, not a search.
     """
-    n = F.count("*").over(Window.partitionBy("track"))
-    g = gops.withColumn("k", F.row_number().over(by_track("gop")) - 1).withColumn("bits", F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int"))
+    g = gops.withColumn("k", F.row_number().over(by_track("gop")) - 1)
     turned = F.conv(F.reverse(F.lpad(F.bin("k"), 63, "0")), 2, 10).cast("decimal(20,0)")
     g = g.withColumn("turn", F.when(F.col("k") < 2, F.col("k").cast("decimal(20,0)") - 2).otherwise(turned))
     used = F.sum("bytes").over(by_track("turn").rowsBetween(*UP_TO))
     return g.withColumn("used", used).where((F.col("used") <= budget) | (F.col("k") == 0)).select("track", "gop")
+
+
+def segment_length(gop_seconds: Column, lengths: list[float]) -> Column:
+    """The shortest of the expected segment lengths that a GOP fits in, else the GOP itself; the longest without a GOP."""
+    fits = F.array_min(F.filter(F.array(*[F.lit(float(x)) for x in lengths]), lambda x: x >= gop_seconds - 0.05))
+    return F.when(gop_seconds.isNull() | (gop_seconds == 0), float(max(lengths, default=6))).otherwise(F.coalesce(fits, gop_seconds))
+
+
+def looked_up(rows: DataFrame, registry: DataFrame, code: str, category: str) -> DataFrame:
+    """``rows`` with ``name`` from ``registry`` (code, category, name): that of their category, else the first of any."""
+    own = registry.groupBy(code, category).agg(F.min("name").alias("__own"))
+    other = registry.groupBy(code).agg(F.min_by("name", category).alias("__any"))
+    out = rows.join(own, [code, category], "left").join(other, code, "left")
+    return out.withColumn("name", F.coalesce("__own", "__any")).drop("__own", "__any")
+
+
+def with_defaults(rows: DataFrame, defaults: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """``rows`` whose missing ``columns`` come from ``defaults``, and are 0 where those lack them too."""
+    d = defaults.select(by, *[F.col(c).alias(f"__{c}") for c in columns])
+    out = rows.join(d, by, "left")
+    return out.withColumns({c: F.coalesce(c, f"__{c}", F.lit(0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def referenced(tracks: DataFrame, references: DataFrame, by: str) -> DataFrame:
+    """Tracks that some reference names."""
+    return tracks.join(references.select(by).distinct(), by, "left_semi")

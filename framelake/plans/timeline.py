@@ -421,3 +421,47 @@ def dominant_category(spark, sf_dir):
 def gop_letters(spark, sf_dir):
     s = gops.gop_ids(samples(spark, sf_dir)).withColumn("skippable", F.col("size") % 2 == 0)
     return stats.gop_letters(s).withColumn("letters", F.expr("array_join(transform(map_entries(letters), e -> concat(e.key, '=', e.value)), ',')"))
+
+
+@query("""WITH g AS (SELECT l_partkey AS id, min(l_quantity)::DOUBLE / 6 AS gop FROM lineitem GROUP BY 1) SELECT id, CASE WHEN gop = 0 THEN 10 ELSE coalesce((SELECT min(x) FROM (SELECT unnest([2, 4, 5, 6, 10]) AS x) WHERE x >= gop - 0.05), gop) END::DOUBLE AS seconds FROM g""", "")
+def packager_lengths(spark, sf_dir):
+    g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg((F.min("l_quantity").cast("double") / 6).alias("gop"))
+    return g.select("id", stats.segment_length(F.col("gop"), [2, 4, 5, 6, 10]).alias("seconds"))
+
+
+@query("""WITH r AS (SELECT DISTINCT p_brand AS code, p_size % 3 AS category, p_brand || '/' || p_size % 3 AS name FROM part WHERE p_partkey % 4 > 0 AND p_size % 3 > 0), x AS (SELECT p_partkey AS id, p_brand AS code, p_size % 3 AS category FROM part)
+SELECT x.id, coalesce(r.name, (SELECT arg_min(o.name, o.category) FROM r o WHERE o.code = x.code)) AS name FROM x LEFT JOIN r ON r.code = x.code AND r.category = x.category""", "")
+def registry_lookup(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("code", F.col("p_brand")).withColumn("category", F.col("p_size") % 3)
+    registry = p.where("p_partkey % 4 > 0 and category > 0").select("code", "category", F.concat_ws("/", "code", "category").alias("name")).distinct()
+    return stats.looked_up(p.select(F.col("p_partkey").alias("id"), "code", "category"), registry, "code", "category").select("id", "name")
+
+
+@query("""SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END, c.d, 0)::BIGINT AS duration FROM orders LEFT JOIN (SELECT c_custkey, c_nationkey AS d FROM customer WHERE c_custkey % 2 = 0) c ON c.c_custkey = o_custkey""", "")
+def track_defaults(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("track"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey")).cast("long").alias("duration"))
+    c = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("track"), F.col("c_nationkey").cast("long").alias("duration"))
+    return stats.with_defaults(o, c, "track", ["duration"]).select("id", "duration")
+
+
+@query("SELECT c_custkey AS track FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0)", "")
+def referenced_tracks(spark, sf_dir):
+    refs = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("track"))
+    return stats.referenced(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track")), refs, "track")
+
+
+@query("""WITH n AS (SELECT n_regionkey AS file, n_nationkey + 1000 AS id, [n_regionkey, n_nationkey + 1000] AS path FROM nation UNION ALL SELECT r_regionkey, r_regionkey, [r_regionkey] FROM region UNION ALL SELECT n_regionkey, c_custkey + 2000, [n_regionkey, n_nationkey + 1000, c_custkey + 2000] FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT a.file, a.id, count(b.id) AS n FROM n a LEFT JOIN n b ON b.file = a.file AND b.id <> a.id AND list_contains(b.path, a.id) GROUP BY 1, 2""", "")
+def subtree_counts(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("file"), (F.col("n_nationkey") + 1000).cast("long").alias("nation"), F.col("n_nationkey"))
+    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("file"))
+    c = read(spark, sf_dir, "customer").select((F.col("c_custkey") + 2000).cast("long").alias("id"), F.col("c_nationkey").alias("n_nationkey")).join(n, "n_nationkey")
+    nodes = n.select("file", F.col("nation").alias("id"), F.array("file", "nation").alias("path")).union(r.select("file", F.col("file").alias("id"), F.array("file"))).union(c.select("file", "id", F.array("file", "nation", "id")))
+    return stats.subtree_counts(nodes)
+
+
+@query(""", b AS (SELECT track, gop, bytes, row_number() OVER (PARTITION BY track ORDER BY gop) - 1 AS k FROM gs WHERE NOT partial),
+t AS (SELECT *, CASE WHEN k < 2 THEN k - 2.0 ELSE list_sum(list_transform(range(0, 20), lambda i: CASE WHEN (k >> i) % 2 = 1 THEN pow(2.0, -1 - i) ELSE 0.0 END)) END AS turn FROM b), u AS (SELECT *, sum(bytes) OVER (PARTITION BY track ORDER BY turn) AS used FROM t)
+SELECT track, gop::BIGINT AS gop FROM u WHERE used <= 300000 OR k = 0""", GS)
+def budgeted_gops(spark, sf_dir):
+    return stats.budgeted(gops.gop_stats(samples(spark, sf_dir)).where("not partial"), 300_000)
