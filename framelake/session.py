@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+#: Bytes of a batch of rows for a Python worker, where the session doesn't say: rows of a scan can be long.
+BATCH_BYTES = 16 << 20
+
 _shipped: set[str] = set()
 
 
@@ -25,8 +28,13 @@ def package_zip(path: str) -> str:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package: from where the driver has it, and on a cluster from a zip that Spark sends."""
+    """Let Python workers import this package: from where the driver has it, and on a cluster from a zip that Spark sends.
+
+    Batches for Python workers are bounded in bytes where the session leaves them unbounded.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1), "2147483647b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = sc.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
