@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from . import textnum as tn
+from .store import with_source
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Bytes of text whose pretokens are indexed together.
-SEGMENT = 16 << 20
+SEGMENT = 8 << 20
 
 
 def _classes() -> np.ndarray:
@@ -333,7 +334,7 @@ def encode(df: DataFrame, spec, text: str = "text", ids: str = "ids") -> DataFra
             yield pa.RecordBatch.from_arrays([*own, _packed(pa.binary(), at * 4, out.astype("<u4"))], names=[*kept, ids])
 
     schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids, "binary")
-    return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, schema)
+    return with_source(df, kept, text).mapInArrow(run, schema)
 
 
 def _texts(vocab: Vocabulary, packed: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -365,7 +366,7 @@ def decode(df: DataFrame, spec, ids: str = "ids", text: str = "decoded") -> Data
                 yield pa.RecordBatch.from_arrays(_columns(batch, lo, hi, [_texts(vocab, data, offsets)]), names=[*kept, text])
 
     schema = df.schema.add(text, "string")
-    return df.select(*[f"`{c}`" for c in kept], F.col(f"`{ids}`").alias("__source")).mapInArrow(run, schema)
+    return with_source(df, kept, ids).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, spec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -383,7 +384,7 @@ def round_trip(df: DataFrame, spec, text: str = "text", ids: str = "ids", decode
             yield pa.RecordBatch.from_arrays([*own, _packed(pa.binary(), at * 4, packed), _texts(encoder.vocab, packed, at * 4)], names=[*kept, ids, decoded])
 
     own = df.select(*[f"`{c}`" for c in kept])
-    return df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__source")).mapInArrow(run, own.schema.add(ids, "binary").add(decoded, "string"))
+    return with_source(df, kept, text).mapInArrow(run, own.schema.add(ids, "binary").add(decoded, "string"))
 
 
 def load_spec(spark, path: str):
