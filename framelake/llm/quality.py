@@ -76,9 +76,13 @@ class Model:
         self.vectors = self.project(raw)
 
     def damped(self, raw: np.ndarray) -> np.ndarray:
-        x = np.log1p(raw[:, :FEATURES]) * self.weight
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return np.column_stack([x, REPEATS * raw[:, FEATURES] / np.maximum(raw[:, FEATURES + 1], 1)]).astype(np.float32)
+        out = np.empty((len(raw), FEATURES + 1), np.float32)
+        x = out[:, :FEATURES]
+        np.log1p(raw[:, :FEATURES], out=x)
+        x *= self.weight
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+        out[:, FEATURES] = REPEATS * raw[:, FEATURES] / np.maximum(raw[:, FEATURES + 1], 1)
+        return out
 
     def project(self, raw: np.ndarray) -> np.ndarray:
         z = self.damped(raw) @ self.basis
@@ -100,8 +104,10 @@ class Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, x in blocks(batch.column(1)):
-            packed = [r.astype(np.float32).tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "x"])
+            some = [np.flatnonzero(r) for r in x]
+            at = [a.astype("<u2").tobytes() for a in some]
+            value = [r[a].astype("<f4").tobytes() for r, a in zip(x, some, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "i", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -117,8 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     by_id = {r.doc_id: r.y for r in chosen.collect()}
-    rows = sorted(texts.mapInArrow(_features, "doc_id long, x binary").collect(), key=lambda r: r.doc_id)
-    raw = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), FEATURES + 2)
+    rows = sorted(texts.mapInArrow(_features, "doc_id long, i binary, x binary").collect(), key=lambda r: r.doc_id)
+    raw = np.zeros((len(rows), FEATURES + 2), np.float32)
+    for own, r in zip(raw, rows, strict=True):
+        own[np.frombuffer(r.i, "<u2")] = np.frombuffer(r.x, "<f4")
     return Model(raw, np.array([by_id[r.doc_id] for r in rows], np.int64))
 
 
