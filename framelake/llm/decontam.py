@@ -32,7 +32,7 @@ PLACES = 1 << 20
 #: Words by which the terms of a proximity match may lie further apart than in the test text.
 SLOP = 5
 
-INDEX = "doc_ids binary, first binary, n_words binary, seed int, terms binary, words binary, edges binary, offsets binary, positions binary"
+INDEX = "doc_ids binary, first binary, n_words binary, seed int, words binary, edges binary, offsets binary, positions binary"
 FOUND = "shard long, place int, spans array<struct<start:long,end:long>>, item_ids array<string>, near_ids array<string>"
 
 
@@ -80,9 +80,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64),
                 (words.first[:-1] + np.arange(hi - lo)).astype(np.int64),
                 n.astype(np.int64),
-                tn.hashes(words.data, start, end, seed),
                 words.data[np.repeat(start - edges[:-1], end - start) + np.arange(edges[-1])],
-                edges.astype(np.int64),
+                edges.astype(np.int32),
                 np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(first)))]).astype(np.int32),
                 pos[order].astype(np.int32),
             )
@@ -102,7 +101,8 @@ class _Shard:
     def __init__(self, row: dict, items: Items):
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.first, self.n_words = (read(c, np.int64) for c in ("first", "n_words"))
-        terms, edges, offsets = read("terms", np.uint64), read("edges", np.int64), read("offsets", np.int32)
+        words, edges, offsets = read("words", np.uint8), read("edges", np.int32).astype(np.int64), read("offsets", np.int32)
+        terms = tn.hashes(words, edges[:-1], edges[1:], row["seed"])
         hashes, number = items.by_hash(row["seed"])
         at = np.searchsorted(hashes, terms)
         at[at == len(hashes)] = 0
@@ -112,7 +112,7 @@ class _Shard:
         again, left = [], np.arange(len(own))
         step = 0
         while len(left):
-            ok = tn.same_bytes(read("words", np.uint8), edges[own[left]], edges[own[left] + 1], items.data, items.start[k[left]], items.end[k[left]])
+            ok = tn.same_bytes(words, edges[own[left]], edges[own[left] + 1], items.data, items.start[k[left]], items.end[k[left]])
             again.append(left[ok])
             step += 1
             left = left[~ok]
@@ -256,7 +256,7 @@ def search(index: DataFrame, items: DataFrame, scratch: Scratch, slop: int | Non
     found = None
     for k in range(parts):
         own = send(Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]))
-        part = scratch.table(index.mapInArrow(_search(own, slop), FOUND), f"found-{k}")
+        part = scratch.table(index.drop("doc_ids").mapInArrow(_search(own, slop), FOUND), f"found-{k}")
         own.unpersist()
         found = part if found is None else found.union(part)
     names = {c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("item_ids", "near_ids")}
