@@ -175,12 +175,22 @@ class _Shard:
                 row, start = row[ok], start[ok]
             if slop is None:
                 near_row = near_place = row[:0]
-            for j in range(1, length):
+            doc = np.searchsorted(self.first, near_place, "right") - 1
+            lo, hi = self.first[doc], self.first[doc] + self.n_words[doc] - 1  # a match keeps to its document
+            near = lambda k, at, within: self.holds(windows[near_row, k], np.maximum(at - within, lo), np.minimum(at + within, hi))  # noqa: E731, B023
+            for j in range(1, length):  # seen from the rarest term, the others are at most twice as far off
                 if not len(near_row):
                     break
-                shift = order[near_row, j] - order[near_row, 0]
-                ok = self.holds(windows[near_row, order[near_row, j]], near_place + shift - slop, near_place + shift + slop)
-                near_row, near_place = near_row[ok], near_place[ok]
+                ok = near(order[near_row, j], near_place + order[near_row, j] - order[near_row, 0], 2 * (slop or 0))
+                near_row, near_place, lo, hi = near_row[ok], near_place[ok], lo[ok], hi[ok]
+            fits = np.zeros(len(near_row), bool)
+            for shift in range(-(slop or 0), (slop or 0) + 1 if len(near_row) else -(slop or 0)):
+                begin = near_place - order[near_row, 0] + shift
+                every = np.ones(len(near_row), bool)
+                for k in range(length):
+                    every &= near(np.full(len(near_row), k), begin + k, slop)
+                fits |= every
+            near_row, near_place = near_row[fits], near_place[fits]
             yield row, start, near_row, near_place
 
 
@@ -275,8 +285,8 @@ def find_items(docs: DataFrame, items: DataFrame, slop: int | None = SLOP, pass_
     Words are maximal runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. A window is 10 consecutive words
     of an item of ``items`` (item_id, text), or the whole of a shorter one. ``spans`` are the merged ranges of words
     (from 0, end exclusive) inside an occurrence of a window; ``item_ids`` names, sorted as strings, the items with
-    one; ``near_ids`` those of which a window's terms all occur, each within ``slop`` words of its place as seen from
-    the rarest (None: not looked for). Null and empty texts have no words; rows without doc_id and items without id
+    one; ``near_ids`` those with a window that can be laid on the document so that each of its words occurs within
+    ``slop`` words of its place (None: not looked for). Null and empty texts have no words; rows without doc_id and items without id
     or words take no part; equal rows each give a row, and items that share an id count as one. Extra columns are
     ignored. Test sets of more than ``pass_bytes`` are broadcast in parts, which changes no result.
     """

@@ -142,6 +142,20 @@ JOIN (SELECT id, min(to_id) AS c FROM reach GROUP BY id) r ON r.id = w.doc_id
 """
 
 
+#: Exact inner products, added up in the order of the components.
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+
 OP9_SQL = f"""
 WITH lines AS (
   SELECT doc_id, i, x, ('0x' || substr(md5(x), 1, 12))::BIGINT AS h, CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END AS w
@@ -190,4 +204,4 @@ SELECT conv_id, n_turns, p AS part, s AS text FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op4_ann_search": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

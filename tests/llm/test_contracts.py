@@ -232,6 +232,29 @@ def test_op8_passes(spark):
     assert Counter(map(key, decontam.find_items(docs, items, pass_bytes=40).collect())) == want
 
 
+def test_op8_near(spark):
+    """Proximity by trying every place of every window; matches keep to their document, however documents are dealt."""
+    rng = np.random.default_rng(9)
+    w = lambda n, of="abcdefghijkl": [str(x) for x in rng.choice(list(of), n)]
+    items = {f"i{k}": w(int(n)) for k, n in enumerate(rng.integers(1, 14, 25))}
+    docs = {k: w(int(n)) for k, n in enumerate(rng.integers(0, 40, 60))}
+    want = {}
+    for d, text in docs.items():
+        found = set()
+        for i, item in items.items():
+            m = min(len(item), 10)
+            for a in range(len(item) - m + 1):
+                window = item[a : a + m]
+                if any(all(window[k] in text[max(0, s + k - 5) : max(0, s + k + 6)] for k in range(m)) for s in range(-15, len(text) + 5)):
+                    found.add(i)
+        want[d] = sorted(found)
+    rows = [(d, " ".join(t)) for d, t in docs.items()]
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id string, text string")
+    for parts in (1, 7):
+        got = {r.doc_id: r.near_ids for r in decontam.find_items(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), benchmark).collect()}
+        assert got == want
+
+
 def test_op3_parse():
     """The parse of a text in blocks is that of one greedy parse from end to end."""
     rng = np.random.default_rng(2)
@@ -389,7 +412,7 @@ def test_op10(spark):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = con.sql(Q.oracle_sql()[name])
     columns = sorted(want.columns)
