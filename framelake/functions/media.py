@@ -293,6 +293,10 @@ def offset_of(text: Column, size: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.greatest(size - 1, F.lit(0)), value))).cast("long")
 
 
+#: Whole seconds from 1970 that a timestamp's microseconds reach.
+LAST_SECOND = (1 << 63) // 1_000_000 - 1
+
+
 def _scaled(n: Column, units: list[str], base: int, digits: int) -> Column:
     out = F.lit(None).cast("string")
     for k, unit in reversed(list(enumerate(units, 1))):
@@ -301,9 +305,9 @@ def _scaled(n: Column, units: list[str], base: int, digits: int) -> Column:
     return out
 
 
-def human_size(n: Column) -> Column:
-    """32 B, 4.9 K, 106.6 M."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(_scaled(n, ["K", "M", "G", "T"], 1024, 1))
+def human_size(n: Column, units: str = "KMGT") -> Column:
+    """32 B, 4.9 K, 106.6 M; what is beyond the last of ``units`` is told in it."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(_scaled(n, list(units), 1024, 1))
 
 
 def human_bytes(n: Column) -> Column:
@@ -313,10 +317,15 @@ def human_bytes(n: Column) -> Column:
 
 def duration_text(s: Column) -> Column:
     """2:04:17.867, hours only where there are any."""
-    ms = F.floor(F.abs(s) * 1000 + 0.5).cast("long")
-    h, m = F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60
-    rest = F.format_string("%02d.%03d", (F.floor(ms / 1000) % 60).cast("long"), ms % 1000)
-    return F.concat(F.when(s < 0, "-").otherwise(""), F.when(h > 0, F.format_string("%d:%02d:", h, m)).otherwise(F.format_string("%d:", m)), rest)
+    return F.concat(F.when(s < 0, "-").otherwise(""), milliseconds_text(F.floor(F.abs(s) * 1000 + 0.5).cast("long")))
+
+
+def milliseconds_text(ms: Column) -> Column:
+    """The same of whole milliseconds, 0 or more, in whole numbers throughout: no double holds every one."""
+    by = lambda n: F.call_function("div", ms, F.lit(n).cast("long"))
+    h, m = by(3_600_000), by(60_000) % 60
+    rest = F.format_string("%02d.%03d", by(1000) % 60, ms % 1000)
+    return F.concat(F.when(h > 0, F.format_string("%d:%02d:", h, m)).otherwise(F.format_string("%d:", m)), rest)
 
 
 def bitrate_text(bps: Column) -> Column:
@@ -324,9 +333,15 @@ def bitrate_text(bps: Column) -> Column:
     return F.when(bps >= 1e6, F.format_string("%.2f Mb/s", bps / 1e6)).when(bps >= 1e3, F.format_string("%.1f kb/s", bps / 1e3)).when(bps > 0, F.format_string("%d b/s", F.floor(bps + 0.5).cast("long")))
 
 
+def unix_1904(s: Column) -> Column:
+    """Seconds since 1970 of whole seconds since 1904; 0 is no date."""
+    return F.when(s != 0, s.cast("long") - 2_082_844_800)
+
+
 def date_1904(s: Column) -> Column:
-    """Seconds since 1904; 0 is no date."""
-    return F.when(s != 0, F.timestamp_seconds(s - 2_082_844_800))
+    """Seconds since 1904; 0 is no date, nor is what no timestamp holds."""
+    at = s - 2_082_844_800
+    return F.when((s != 0) & (F.abs(at) <= LAST_SECOND), F.timestamp_seconds(at))
 
 
 def date_2001(ns: Column) -> Column:

@@ -124,7 +124,7 @@ def offset_input(spark, sf_dir):
 def number_texts(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * F.col("o_orderkey") * 37).cast("long").alias("n"))
     n = F.col("n")
-    return o.select("id", media.human_size(n).alias("size"), media.bitrate_text(n.cast("double")).alias("rate"), F.unix_seconds(media.date_1904(n)).alias("at"), media.duration_text(n / 1000).alias("length"))
+    return o.select("id", media.human_size(n, "KMG").alias("size"), media.bitrate_text(n.cast("double")).alias("rate"), media.unix_1904(n).alias("at"), media.milliseconds_text(n).alias("length"))
 
 
 HZ = ("44.1 kHz", "48,000 Hz", "48000 / s", "8 kHz mono", "", None)

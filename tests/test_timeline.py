@@ -189,3 +189,20 @@ def test_package_zip(tmp_path):
     at = package_zip(str(tmp_path / "p.zip"))
     code = f"import sys; sys.path = [p for p in sys.path if p and 'repo' not in p]; sys.path.insert(0, {at!r}); import framelake.sources.media as m; assert {at!r} in m.__file__"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_number_texts_of_large_keys(spark, con, tmp_path):
+    """Times beyond any timestamp, sizes beyond T and milliseconds that doubles only just tell apart."""
+    keys = [172_384, 500_000, 900_000, *range(8_990_000, 8_990_500), 15_000_001]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    own = duckdb.connect()
+    own.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = media_plans.number_texts(spark, str(tmp_path)).select("id", "size", "rate", "at", "length").collect()
+    assert Counter(map(tuple, got)) == Counter(own.sql(f"select id, size, rate, \"at\", length from ({media_plans.SQL['number_texts']})").fetchall())
+
+
+def test_date_1904(spark):
+    n = F.col("n")
+    rows = spark.createDataFrame([(0,), (2_082_844_801,), (37 * 900_000**2,), (1 << 62,)], "n long")
+    assert [tuple(r) for r in rows.select(F.unix_seconds(media.date_1904(n)), media.unix_1904(n)).collect()] == [(None, None), (1, 1), (None, 37 * 900_000**2 - 2_082_844_800), (None, (1 << 62) - 2_082_844_800)]
+    assert [r[0] for r in spark.createDataFrame([(7457.867,), (-1.5,), (59.9996,)], "s double").select(media.duration_text(F.col("s"))).collect()] == ["2:04:17.867", "-0:01.500", "1:00.000"]
