@@ -1,5 +1,6 @@
 """Every query but the training-data ones against its SQL, and goldens of the operators."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import media, text
-from framelake.operators import audit, gops, joins, order, rates
+from framelake.operators import audit, gops, joins, ladder, order, rates
 from framelake.plans import audit as audit_plans, media as media_plans, timeline, timing
 
 TABLES = "nation region customer supplier part orders lineitem events documents embeddings pages conversations".split()
@@ -206,3 +207,51 @@ def test_date_1904(spark):
     rows = spark.createDataFrame([(0,), (2_082_844_801,), (37 * 900_000**2,), (1 << 62,)], "n long")
     assert [tuple(r) for r in rows.select(F.unix_seconds(media.date_1904(n)), media.unix_1904(n)).collect()] == [(None, None), (1, 1), (None, 37 * 900_000**2 - 2_082_844_800), (None, (1 << 62) - 2_082_844_800)]
     assert [r[0] for r in spark.createDataFrame([(7457.867,), (-1.5,), (59.9996,)], "s double").select(media.duration_text(F.col("s"))).collect()] == ["2:04:17.867", "-0:01.500", "1:00.000"]
+
+
+def shuffled(spark):
+    """Rows that this session's stages have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_ladder_rules_move_each_rendition_once(spark, sf_dir):
+    before = shuffled(spark)
+    audit_plans.audit_ladder_rules(spark, sf_dir).collect()
+    assert shuffled(spark) - before < 6 * spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 18])
+def test_ladders_compared_as_their_rows_say(spark, monkeypatch, chunk):
+    """The counts by ladder against the operators that give key frames and plans as rows: shuffled, repeated, missing and crowded keys."""
+    rng = random.Random(chunk)
+    rend, keys = [], []
+    for n in range(40):
+        for f in range(rng.randint(1, 5)):
+            rend.append((f"l{n}", f"{n}-{f}", rng.choice([25.0, 50.0, 12.5, 0.0, None]) if n % 3 else 25.0, rng.choice([30_000_000, None]) if n % 4 == 0 else 30_000_000))
+            if n % 9 == 8 and f == n % 2:
+                continue
+            step, near = rng.choice([2_000_000, 1_000_000, 30_000]) if n % 5 == 4 else 2_000_000, n % 2 * 42_000
+            times = [k * step + rng.choice([0, 0, 0, near]) for k in range(15) if n % 3 or rng.random() < 0.95]
+            times += rng.choices(times, k=2) if times and n % 6 == 1 else []
+            rng.shuffle(times)
+            keys += [(f"l{n}", f"{n}-{f}", t) for t in times]
+    keys += [("l0", "other", 5), ("none", "x", 0)]
+    rend = spark.createDataFrame(rend, "ladder string, file string, fps double, fin long")
+    keys = spark.createDataFrame(keys, "ladder string, file string, t long")
+    tolerance = rend.groupBy("ladder").agg(ladder.key_tolerance(F.col("fps")).alias("tol"), F.count("*").alias("renditions"))
+    lengths = [4_000_000, 2_000_000, 15_000, 5_000_000]
+    odd = dict(ladder.unmatched_keys(keys, tolerance).groupBy("ladder").count().collect())
+    plans = ladder.segment_plans(rend, keys, tolerance, lengths).collect()
+    bare = dict(rend.join(keys, ["ladder", "file"], "left_anti").groupBy("ladder").count().collect())
+    monkeypatch.setattr(ladder, "CHUNK", chunk)
+    got = {r.ladder: r for r in ladder.compared(rend, keys, lengths).collect()}
+    assert set(got) == {f"l{n}" for n in range(40)}
+    for name, r in got.items():
+        mine = [p for p in plans if p.ladder == name]
+        assert (r.unmatched, r.bare) == (odd.get(name, 0), bare.get(name, 0)), name
+        assert (r.fitting, r.aligned_lengths) == (sorted(p.len / 1e6 for p in mine if p.aligned and p.long == 0), sum(p.aligned for p in mine)), name
+    assert {bool(r.unmatched) for r in got.values()} == {len(r.fitting) > 0 for r in got.values()} == {True, False}
+    assert ladder.compared(rend, keys.limit(0), lengths).where("unmatched + aligned_lengths = 0").count() == 40
