@@ -7,9 +7,9 @@ others of each document meet their counts in a join, so no count table of the co
 
 The model predicts the class of the next subword by one head of causal attention over a window; frequent subwords
 are classes of their own, the others share classes of like frequency, within which the counts of the whole fold
-decide. Its weights are first trained with numpy on a small sample, then in parallel on a share of the fold that
-grows with it: that share is dealt by hash into shards, each shard's task trains once over all its windows from the
-same weights, and the changes are averaged by their windows. A text is scored in windows of ``WINDOW`` inputs
+decide. Its weights start from some steps on a small sample, and are then trained in parallel on the whole fold: it is
+dealt by hash into shards, each shard's task trains once over all its windows from the same weights, and the changes
+are averaged by their windows. A text is scored in windows of ``WINDOW`` inputs
 that overlap by ``OVERLAP``, so each subword and the end are scored once; windows are batched, and masks keep later
 subwords and other texts out. As inputs are embeddings of a small table, queries, keys and values are looked up.
 """
@@ -37,10 +37,10 @@ STRIDE = WINDOW - OVERLAP
 WIDTH = 16
 #: Classes: subwords of their own, and shared ones; inputs: subwords with an embedding of their own.
 SINGLE, SHARED, INPUTS = 48, 16, 2048
-#: Documents that the weights are trained on, steps, windows a step.
+#: Documents that the weights start from, steps, windows a step.
 SAMPLE, STEPS, BATCH = 300, 500, 96
-#: One in so many of the fold's documents (and so many at least) trains the weights further, in shards of about so many.
-SHARE, DRAWN, SHARD = 32, 2048, 512
+#: All of the fold trains the weights then, in shards of about so many subwords, by about so many steps of ``BATCH`` windows to so many.
+SHARD, FOLD_STEPS, FOLD_BATCH = 1 << 21, 256, 384
 #: Parts that the weights' changes are summed in.
 SLICES = 16
 #: Windows that are scored at once; their logits fit a core's cache.
@@ -167,6 +167,12 @@ class Shape:
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(OVERLAP, WINDOW)[:, None]).astype(np.float32)
 
 
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the one of ``to`` that ``at`` says; of flat arrays, numpy adds fastest."""
+    width = to.shape[1]
+    np.add.at(to.reshape(-1), (at[:, None] * width + np.arange(width)).ravel(), rows.reshape(-1))
+
+
 class Attention:
     def __init__(self, shape: Shape, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -176,76 +182,110 @@ class Attention:
         self.p = {"E": draw(shape.inputs, WIDTH), "P": draw(WINDOW, WIDTH), "Q": draw(WIDTH, WIDTH), "K": draw(WIDTH, WIDTH), "V": draw(WIDTH, WIDTH), "U": draw(WIDTH, c), "B": np.zeros((shape.inputs, c), np.float32)}
         self.p["b"] = shape.prior.copy()
 
-    def windows(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs with -1 where there is none, target ids, whether a place is scored, text) by window."""
-        n = np.diff(at) + 1
-        blocks = -(-n // STRIDE)
-        text = np.repeat(np.arange(len(n)), blocks)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    def blocks(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number within it) of each window."""
+        blocks = -(-(np.diff(at) + 1) // STRIDE)
+        text = np.repeat(np.arange(len(blocks)), blocks)
+        return text, np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+
+    def windows(self, padded: np.ndarray, at: np.ndarray, text: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs with -1 where there is none, target ids, whether a place is scored) by window; one id more follows the texts'."""
+        n = (np.diff(at) + 1)[text][:, None]
         place = (k * STRIDE - OVERLAP)[:, None] + np.arange(WINDOW)
-        inside = (place >= 0) & (place < n[text][:, None])
+        inside = (place >= 0) & (place < n)
         begin = self.shape.inputs - 1
-        padded = np.concatenate([ids, [0]])
-        prev = np.clip(at[text][:, None] + place - 1, 0, len(ids))
+        own = at[text][:, None] + place
+        prev = np.clip(own - 1, 0, len(padded) - 1)
         inputs = np.where(inside, np.where(place == 0, begin, self.shape.input[padded[prev]]), -1)
-        own = place[:, OVERLAP:]
-        target = np.where(own == n[text][:, None] - 1, len(self.shape.of) - 1, padded[np.clip(at[text][:, None] + own, 0, len(ids))])
-        return inputs, target, inside[:, OVERLAP:], text
-
-    def forward(self, inputs: np.ndarray) -> dict:
-        p = self.p
-        x = p["E"][inputs] + p["P"]
-        q, k, v = x[:, OVERLAP:] @ p["Q"], x @ p["K"], x @ p["V"]
-        s = np.clip(q @ k.transpose(0, 2, 1) / np.sqrt(WIDTH), -30, 30)
-        e = np.exp(s) * _CAUSAL * (inputs >= 0)[:, None, :]
-        a = e / np.maximum(e.sum(axis=2, keepdims=True), 1e-30)
-        h = a @ v + x[:, OVERLAP:]
-        z = h @ p["U"] + p["B"][inputs[:, OVERLAP:]] + p["b"]
-        z -= z.max(axis=2, keepdims=True)
-        y = np.exp(z)
-        total = y.sum(axis=2, keepdims=True)
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "h": h, "logp": z - np.log(total), "y": y / total}
-
-    def train(self, ids: np.ndarray, at: np.ndarray, steps: int | None = STEPS, rate: float = 0.02, seed: int = 1) -> int:
-        """Adam over windows drawn from the sample, or with no ``steps`` once over all; gives the number of windows."""
-        inputs, target, scored, _ = self.windows(ids, at)
-        if not len(inputs):
+        target = np.where(place[:, OVERLAP:] == n - 1, len(self.shape.of) - 1, padded[np.clip(own[:, OVERLAP:], 0, len(padded) - 1)])
+        return inputs, target, inside[:, OVERLAP:]
+
+    def gradient(self, inputs: np.ndarray, classes: np.ndarray, scored: np.ndarray, weight: float, g: dict[str, np.ndarray]) -> None:
+        """Adds to ``g`` the gradient of ``weight`` times the loss, summed over all scored places."""
+        p, size, scale = self.p, len(inputs), np.float32(1 / np.sqrt(WIDTH))
+        flat = lambda x: x.reshape(-1, x.shape[-1])
+        x = p["E"].take(inputs, axis=0, mode="wrap")
+        x += p["P"]
+        x_own = np.ascontiguousarray(x[:, OVERLAP:])
+        kv_weights = np.hstack([p["K"], p["V"]])
+        kv = (flat(x) @ kv_weights).reshape(size, WINDOW, -1)
+        k, v = np.ascontiguousarray(kv[:, :, :WIDTH]), np.ascontiguousarray(kv[:, :, WIDTH:])
+        q = (flat(x_own) @ p["Q"] * scale).reshape(x_own.shape)
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -30, 30, out=a)
+        np.exp(a, out=a)
+        a *= _CAUSAL
+        missing = inputs < 0
+        if missing.any():
+            a *= ~missing[:, None, :]
+        a /= np.maximum(a @ np.ones((WINDOW, 1), np.float32), 1e-30)
+        attended = a @ v
+        h = flat(attended + x_own)
+        own = inputs[:, OVERLAP:].ravel()
+        z = h @ p["U"]
+        z += p["B"].take(own, axis=0, mode="wrap")
+        z += p["b"]
+        if max(z.max(), -z.min()) > 60:  # else no exponential overflows, nor do all vanish
+            z -= z.max(axis=1, keepdims=True)
+        dz = np.exp(z, out=z)
+        on = scored.ravel()
+        dz *= np.where(on, np.float32(weight) / (dz @ np.ones(dz.shape[1], np.float32)), np.float32(0))[:, None]
+        dz[np.arange(len(dz)), classes.ravel()] -= on * np.float32(weight)
+        g["b"] += np.ones(len(dz), np.float32) @ dz
+        _add_rows(g["B"], own % len(g["B"]), dz)
+        g["U"] += h.T @ dz
+        dh = (dz @ p["U"].T).reshape(x_own.shape)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= (dh * attended).sum(axis=2, keepdims=True)
+        ds *= a
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2)
+        dq = flat(ds @ k) * scale
+        g["Q"] += flat(x_own).T @ dq
+        both = flat(x).T @ flat(dkv)
+        g["K"] += both[:, :WIDTH]
+        g["V"] += both[:, WIDTH:]
+        dx = (flat(dkv) @ kv_weights.T).reshape(x.shape)
+        dx[:, OVERLAP:] += (dq @ p["Q"].T).reshape(dh.shape) + dh
+        g["P"] += np.where(missing[:, :, None], 0, dx).sum(axis=0) if missing.any() else dx.sum(axis=0)
+        if missing.any():
+            there = ~missing.ravel()
+            _add_rows(g["E"], inputs.ravel()[there], flat(dx)[there])
+        else:
+            _add_rows(g["E"], inputs.ravel(), dx)
+
+    def train(self, ids: np.ndarray, at: np.ndarray, steps: int | None = STEPS, rate: float = 0.02, seed: int = 1, batch: int = BATCH) -> int:
+        """Adam over windows drawn from the texts, or with no ``steps`` once over all; gives the number of windows."""
+        text, k = self.blocks(at)
+        if not len(text):
             return 0
+        padded = np.append(ids, 0)
         rng = np.random.default_rng(seed)
-        classes = self.shape.of[target]
-        m = {n: np.zeros_like(w) for n, w in self.p.items()}
-        s2 = {n: np.zeros_like(w) for n, w in self.p.items()}
-        order = rng.permutation(len(inputs)) if steps is None else None
-        steps = -(-len(inputs) // BATCH) if steps is None else steps
+        m, s2, g = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(3))
+        order = rng.permutation(len(text)) if steps is None else None
+        steps = -(-len(text) // batch) if steps is None else steps
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(inputs), BATCH) if order is None else order[(step - 1) * BATCH : step * BATCH]
-            x_in, y_in, on = inputs[pick], classes[pick], scored[pick]
-            f, p = self.forward(x_in), self.p
-            dz = f["y"].copy()
-            np.put_along_axis(dz, y_in[..., None], np.take_along_axis(dz, y_in[..., None], 2) - 1, 2)
-            dz *= on[..., None] / max(1, on.sum())
-            g = {n: np.zeros_like(w) for n, w in p.items()}
-            g["b"] = dz.sum(axis=(0, 1))
-            np.add.at(g["B"], x_in[:, OVERLAP:][on], dz[on])
-            g["U"] = np.einsum("bid,bic->dc", f["h"], dz)
-            dh = dz @ p["U"].T
-            da = dh @ f["v"].transpose(0, 2, 1)
-            dv = f["a"].transpose(0, 2, 1) @ dh
-            ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) / np.sqrt(WIDTH)
-            dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-            own = f["x"][:, OVERLAP:]
-            g["Q"], g["K"], g["V"] = (np.einsum("bid,bie->de", a, b) for a, b in ((own, dq), (f["x"], dk), (f["x"], dv)))
-            dx = dk @ p["K"].T + dv @ p["V"].T
-            dx[:, OVERLAP:] += dq @ p["Q"].T + dh
-            g["P"] = dx.sum(axis=0)
-            there = x_in >= 0
-            np.add.at(g["E"], x_in[there], dx[there])
+            pick = rng.integers(0, len(text), batch) if order is None else order[(step - 1) * batch : step * batch]
+            inputs, target, scored = self.windows(padded, at, text[pick], k[pick])
+            classes, weight = self.shape.of[target], 1 / max(1, scored.sum())
+            for lo in range(0, len(pick), BATCH):
+                self.gradient(inputs[lo : lo + BATCH], classes[lo : lo + BATCH], scored[lo : lo + BATCH], weight, g)
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for n, w in p.items():
-                m[n] += 0.1 * (g[n] - m[n])
-                s2[n] += 0.01 * (g[n] ** 2 - s2[n])
-                w -= (lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(s2[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        return len(inputs)
+            by_m, by_s = np.float32(lr / (1 - 0.9**step)), np.float32(1 / np.sqrt(1 - 0.99**step))
+            for n, w in self.p.items():
+                m[n] *= np.float32(0.9)
+                m[n] += np.float32(0.1) * g[n]
+                s2[n] *= np.float32(0.99)
+                np.square(g[n], out=g[n])
+                g[n] *= np.float32(0.01)
+                s2[n] += g[n]
+                np.sqrt(s2[n], out=g[n])
+                g[n] *= by_s
+                g[n] += np.float32(1e-6)
+                np.divide(m[n], g[n], out=g[n])
+                g[n] *= by_m
+                w -= g[n]
+                g[n].fill(0)
+        return len(text)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.p.values()]).astype(np.float64)
@@ -276,7 +316,8 @@ class Attention:
     def score(self, ids: np.ndarray, at: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
         """log10 probability of each text: its subwords, then the end."""
         out = np.zeros(len(at) - 1)
-        all_inputs, all_target, all_scored, all_text = self.windows(ids, at)
+        all_text, k = self.blocks(at)
+        all_inputs, all_target, all_scored = self.windows(np.append(ids, 0), at, all_text, k)
         t, (attended, logit) = tables, self.bounds(tables)
         ones = np.ones(SINGLE + SHARED, np.float32)
         for lo in range(0, len(all_inputs), BLOCK):
@@ -363,7 +404,9 @@ def _change(start, rate: float):
         model: Attention = copy.deepcopy(start.value)
         before = model.flat()
         # in the order of the texts, so that the result doesn't depend on how rows came here
-        n = model.train(*_joined(sorted(group.column("ids").to_pylist()), len(model.shape.of)), steps=None, rate=rate)
+        ids, at = _joined(sorted(group.column("ids").to_pylist()), len(model.shape.of))
+        batch = min(FOLD_BATCH, max(BATCH, len(ids) // (STRIDE * FOLD_STEPS)))
+        n = model.train(ids, at, steps=None, rate=rate, batch=batch)
         parts = np.array_split((model.flat() - before) * n, SLICES)
         shard = group.column("shard")[0].as_py()
         return pa.table({"shard": [shard] * SLICES, "slice": list(range(SLICES)), "n": [n] * SLICES, "change": [x.tobytes() for x in parts]})
@@ -379,17 +422,19 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({"slice": [group.column("slice")[0].as_py()], "n": [sum(group.column("n").to_pylist())], "change": [total.tobytes()]})
 
 
-def _train_on_share(model: Attention, fold: DataFrame, size: int, rate: float = 0.02) -> None:
-    """Training on a share of the ``size`` documents of ``fold`` (doc_id, ids), by shards in parallel; the changes are averaged."""
-    part = max(1 / SHARE, min(1.0, DRAWN / max(1, size)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30))
-    shards = max(1, round(part * size / SHARD))
-    drawn = fold.where(draw).select(F.pmod(F.xxhash64("doc_id", "ids", F.lit(13)), F.lit(shards)).alias("shard"), "ids")
+def _train_on_fold(model: Attention, fold: DataFrame, subwords: int, rate: float = 0.02) -> None:
+    """Training on all documents of ``fold`` (doc_id, ids), by shards in parallel; the changes are averaged.
+
+    Shards hold about as many of the fold's ``subwords`` each, at any size.
+    """
+    shards = max(1, round(subwords / SHARD))
+    dealt = fold.select(F.pmod(F.xxhash64("doc_id", "ids", F.lit(13)), F.lit(shards)).alias("shard"), "ids")
     start = fold.sparkSession.sparkContext.broadcast(model)
-    changes = drawn.groupBy("shard").applyInArrow(_change(start, rate), "shard long, slice long, n long, change binary")
+    changes = dealt.groupBy("shard").applyInArrow(_change(start, rate), "shard long, slice long, n long, change binary")
     rows = changes.groupBy("slice").applyInArrow(_summed, "slice long, n long, change binary").collect()
-    if rows and rows[0].n:
-        model.move(np.concatenate([np.frombuffer(r.change, np.float64) for r in sorted(rows, key=lambda r: r.slice)]) / rows[0].n)
+    total = max((r.n for r in rows), default=0)
+    if total:
+        model.move(np.concatenate([np.frombuffer(r.change, np.float64) for r in sorted(rows, key=lambda r: r.slice)]) / total)
 
 
 def _least_hot(words: DataFrame, hot: int) -> int:
@@ -440,7 +485,7 @@ def score(docs: DataFrame, training: Column, spec, sample: int = SAMPLE, steps:
     first = [r.key for r in fold.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids"), "key").limit(sample).select("key").collect()]
     some = {r.key: bytes(r.ids) for r in fold.where(F.col("key").isin(first)).select("key", "ids").collect()}
     model.train(*_joined([some[k] for k in first], size), steps)
-    _train_on_share(model, fold.select("doc_id", "ids"), ends)
+    _train_on_fold(model, fold.select("doc_id", "ids"), int(by_id.sum()))
 
     top = words.where(F.col("n") >= _least_hot(words, hot)).collect()  # at most ``hot`` rows
     keys = np.array([r.key for r in top], np.int64).view(np.uint64)

@@ -245,3 +245,42 @@ def test_pipeline_awkward(spark, sf_dir, tmp_path):
     assert sorted(ids) == sorted({10**6 + k for k in (1, 2, 3, 4, 5)} & set(ids)) and {10**6 + 3, 10**6 + 4} <= set(ids)
     none = _stage_tables(spark, tmp_path / "b", docs.limit(0), sf_dir)
     assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_op5_learns_from_the_whole_fold(spark):
+    """A word order that only documents outside any 2,048 (drawn by hash) have is learned, and each window trains once."""
+    rng = np.random.default_rng(0)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(2048 / 3000 * (1 << 30))
+    first = {r.doc_id for r in spark.range(3000).toDF("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(lm.SAMPLE).collect()}
+    plain = {r.doc_id for r in spark.range(3000).toDF("doc_id").where(drawn).collect()} | first
+    names = np.array("red green blue black white grey pink gold".split())
+    text = lambda i: " ".join(rng.choice(names, 100) if i in plain else names[(np.arange(100) + i) % 8])
+    docs = spark.createDataFrame([(i, text(i)) for i in range(3000)], "doc_id long, text string")
+    out = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs, F.lit(True), bpe.load_spec(spark, Q.vocabulary())).collect()}
+    rest = [out[i] for i in range(3000) if i not in plain]
+    assert len(rest) > 500 and np.mean(rest) > np.mean([out[i] for i in plain]) + 0.2, (np.mean(rest), np.mean([out[i] for i in plain]))
+
+
+def test_op5_gradient():
+    """The gradient of the weights against differences of the loss, masks and repeated inputs included."""
+    rng = np.random.default_rng(1)
+    model = lm.Attention(lm.Shape(rng.integers(0, 50, 200).astype(float)))
+    for n, w in model.p.items():
+        model.p[n] = (w + rng.standard_normal(w.shape) * 0.1).astype(np.float64)
+    ids = rng.integers(0, 199, 70)
+    at = np.array([0, 3, 3, 45, 70])
+    text, k = model.blocks(at)
+    inputs, target, scored = model.windows(np.append(ids, 0), at, text, k)
+    classes = model.shape.of[target]
+    g = {n: np.zeros_like(w) for n, w in model.p.items()}
+    model.gradient(inputs, classes, scored, 1.0, g)
+    loss = lambda: -np.log(10) * model.score(ids, at, model.tables()).sum()
+    for n, w in model.p.items():
+        place = tuple(x[0] for x in np.nonzero(np.abs(g[n]) == np.abs(g[n]).max()))
+        old = w[place]
+        w[place] = old + 5e-3
+        up = loss()
+        w[place] = old - 5e-3
+        down = loss()
+        w[place] = old
+        assert abs((up - down) / 1e-2 - g[n][place]) < 0.02 * max(1, abs(g[n][place])), n
