@@ -40,7 +40,9 @@ SINGLE, SHARED, INPUTS = 48, 16, 2048
 #: Documents that the weights start from, steps, windows a step.
 SAMPLE, STEPS, BATCH = 300, 500, 96
 #: All of the fold trains the weights then, in shards of about so many subwords, by about so many steps of ``BATCH`` windows to so many.
-SHARD, FOLD_STEPS, FOLD_BATCH = 1 << 21, 256, 384
+SHARD, FOLD_STEPS, FOLD_BATCH = 1 << 22, 256, 384
+#: Windows whose gradient is taken at once, which fits a core's cache, and shards whose changes are summed at once.
+PART, FAN = 32, 64
 #: Parts that the weights' changes are summed in.
 SLICES = 16
 #: Windows that are scored at once; their logits fit a core's cache.
@@ -267,8 +269,8 @@ class Attention:
             pick = rng.integers(0, len(text), batch) if order is None else order[(step - 1) * batch : step * batch]
             inputs, target, scored = self.windows(padded, at, text[pick], k[pick])
             classes, weight = self.shape.of[target], 1 / max(1, scored.sum())
-            for lo in range(0, len(pick), BATCH):
-                self.gradient(inputs[lo : lo + BATCH], classes[lo : lo + BATCH], scored[lo : lo + BATCH], weight, g)
+            for lo in range(0, len(pick), PART):
+                self.gradient(inputs[lo : lo + PART], classes[lo : lo + PART], scored[lo : lo + PART], weight, g)
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             by_m, by_s = np.float32(lr / (1 - 0.9**step)), np.float32(1 / np.sqrt(1 - 0.99**step))
             for n, w in self.p.items():
@@ -407,7 +409,7 @@ def _change(start, rate: float):
         ids, at = _joined(sorted(group.column("ids").to_pylist()), len(model.shape.of))
         batch = min(FOLD_BATCH, max(BATCH, len(ids) // (STRIDE * FOLD_STEPS)))
         n = model.train(ids, at, steps=None, rate=rate, batch=batch)
-        parts = np.array_split((model.flat() - before) * n, SLICES)
+        parts = np.array_split(((model.flat() - before) * n).astype("<f4"), SLICES)
         shard = group.column("shard")[0].as_py()
         return pa.table({"shard": [shard] * SLICES, "slice": list(range(SLICES)), "n": [n] * SLICES, "change": [x.tobytes() for x in parts]})
 
@@ -415,11 +417,13 @@ def _change(start, rate: float):
 
 
 def _summed(group: pa.Table) -> pa.Table:
+    """The changes of one slice in sum, those of ``FAN`` neighbouring shards as one."""
     group = group.sort_by("shard")
     total = 0
     for x in group.column("change"):
-        total = total + np.frombuffer(x.as_buffer(), np.float64)
-    return pa.table({"slice": [group.column("slice")[0].as_py()], "n": [sum(group.column("n").to_pylist())], "change": [total.tobytes()]})
+        total = total + np.frombuffer(x.as_buffer(), "<f4").astype(np.float64)
+    shard = group.column("shard")[0].as_py() // FAN
+    return pa.table({"shard": [shard], "slice": [group.column("slice")[0].as_py()], "n": [sum(group.column("n").to_pylist())], "change": [total.astype("<f4").tobytes()]})
 
 
 def _train_on_fold(model: Attention, fold: DataFrame, subwords: int, rate: float = 0.02) -> None:
@@ -430,11 +434,15 @@ def _train_on_fold(model: Attention, fold: DataFrame, subwords: int, rate: float
     shards = max(1, round(subwords / SHARD))
     dealt = fold.select(F.pmod(F.xxhash64("doc_id", "ids", F.lit(13)), F.lit(shards)).alias("shard"), "ids")
     start = fold.sparkSession.sparkContext.broadcast(model)
-    changes = dealt.groupBy("shard").applyInArrow(_change(start, rate), "shard long, slice long, n long, change binary")
-    rows = changes.groupBy("slice").applyInArrow(_summed, "slice long, n long, change binary").collect()
+    schema = "shard long, slice long, n long, change binary"
+    changes = dealt.groupBy("shard").applyInArrow(_change(start, rate), schema)
+    while shards > 1:  # no task sums more than FAN changes
+        changes = changes.groupBy("slice", F.floor(F.col("shard") / FAN)).applyInArrow(lambda _, group: _summed(group), schema)
+        shards = -(-shards // FAN)
+    rows = changes.collect()
     total = max((r.n for r in rows), default=0)
     if total:
-        model.move(np.concatenate([np.frombuffer(r.change, np.float64) for r in sorted(rows, key=lambda r: r.slice)]) / total)
+        model.move(np.concatenate([np.frombuffer(r.change, "<f4") for r in sorted(rows, key=lambda r: r.slice)]) / total)
 
 
 def _least_hot(words: DataFrame, hot: int) -> int:
@@ -468,7 +476,7 @@ def score(docs: DataFrame, training: Column, spec, sample: int = SAMPLE, steps:
     scratch = Scratch(spark)
     docs = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(training & F.col("doc_id").isNotNull(), F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
-    read = scratch.table(docs.mapInArrow(_read(spec), READ), "read", by="kind")
+    read = scratch.table(docs.mapInArrow(_read(spec), READ), "read", by="kind", codec="zstd")
     counts = read.where(f"kind < {DOCUMENT}").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = scratch.table(counts, "counts")
     words = counts.where(f"kind = {WORD}").select("key", "n")

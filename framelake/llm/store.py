@@ -42,11 +42,13 @@ class Scratch:
         self.at = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}"
         _made.append((spark, self.at))
 
-    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """``df`` written and read again; with ``by``, in a folder for each value of that column."""
+    def table(self, df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
+        """``df`` written and read again; with ``by``, in a folder for each value of that column, with ``codec``, compressed by it."""
         path = f"{self.at}/{name}"
         schema = df.schema
         writer = df.write.mode("overwrite")
+        if codec:
+            writer = writer.option("compression", codec)
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
