@@ -170,9 +170,14 @@ _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(OVERLAP, WINDOW)[:, None]).as
 
 
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the one of ``to`` that ``at`` says; of flat arrays, numpy adds fastest."""
-    width = to.shape[1]
-    np.add.at(to.reshape(-1), (at[:, None] * width + np.arange(width)).ravel(), rows.reshape(-1))
+    """Adds each row to the one of ``to`` that ``at`` says.
+
+    numpy adds many times faster by index where arrays are flat and of its own types, not of the equal ones that
+    pickled arrays (and what is computed from them) bring along: hence the views.
+    """
+    width, own = to.shape[1], to.dtype.type
+    index = (at[:, None] * width + np.arange(width)).reshape(-1).view(np.intp)
+    np.add.at(to.reshape(-1).view(own), index, rows.reshape(-1).view(own))
 
 
 class Attention:
