@@ -42,13 +42,19 @@ class Scratch:
         self.at = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}"
         _made.append((spark, self.at))
 
-    def table(self, df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
-        """``df`` written and read again; with ``by``, in a folder for each value of that column, with ``codec``, compressed by it."""
+    def table(self, df: DataFrame, name: str, by: str | None = None, codec: str | None = None, block: int | None = None) -> DataFrame:
+        """``df`` written and read again; with ``by``, in a folder for each value of that column, with ``codec``, compressed by it.
+
+        ``block`` bounds the bytes that are held at once, in writing as in reading, where single rows take megabytes
+        (Parquet looks at the size of pages and row groups after 100 rows otherwise).
+        """
         path = f"{self.at}/{name}"
         schema = df.schema
         writer = df.write.mode("overwrite")
         if codec:
             writer = writer.option("compression", codec)
+        if block:
+            writer = writer.options(**{"parquet.block.size": block, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 

@@ -3,9 +3,11 @@
 import copy
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from framelake.llm import ann, bpe, decontam, lm, minhash, queries as Q
+from framelake.llm.store import Scratch
 
 
 def _passage(width, n, tag):
@@ -310,3 +312,19 @@ def test_op5_changes_of_many_shards(spark, monkeypatch):
     lm._train_on_fold(model, fold, subwords)
     assert windows == sum(-(-(len(d) // 2 + 1) // lm.STRIDE) for _, d in docs)
     assert np.abs(want).max() > 0 and np.allclose(model.flat() - before, want / windows, atol=1e-5)
+
+
+def test_op8_index_in_bounded_blocks(spark):
+    """A task's shards are written and read one at a time, not as one block of all; the rows are those of small shards."""
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{k}" for k in range(5000)])
+    docs = [(i, " ".join(rng.choice(names, 20000))) for i in range(100)]
+    items = spark.createDataFrame([("a", " ".join(docs[70][1].split()[500:515])), ("b", "w1 w2 nowhere")], "item_id string, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    scratch = Scratch(spark)
+    index = decontam.build_index(table, scratch)
+    groups = [g for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert len(groups) >= 3 and max(g.total_byte_size for g in groups) < 2 * decontam.SHARD, [g.total_byte_size for g in groups]
+    found = {r.doc_id: r for r in decontam.search(index, items, scratch).collect()}
+    assert len(found) == 100 and [tuple(s) for s in found[70].spans] == [(500, 515)] and found[70].item_ids == ["a"]
+    assert all(not r.item_ids for i, r in found.items() if i != 70)
