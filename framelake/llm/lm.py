@@ -7,7 +7,9 @@ others of each document meet their counts in a join, so no count table of the co
 
 The model predicts the class of the next subword by one head of causal attention over a window; frequent subwords
 are classes of their own, the others share classes of like frequency, within which the counts of the whole fold
-decide. Its weights start from some steps on a small sample, and are then trained in parallel on the whole fold: it is
+decide. What the subword before says by itself is counted: how often each input is followed by each class in the whole
+fold gives the table ``B`` of logits, which stays as it is. The other weights start from some steps on a small sample,
+and are then trained in parallel on the whole fold: it is
 dealt by hash into shards, each shard's task trains once over all its windows from the same weights, and the changes
 are averaged by their windows. A text is scored in windows of ``WINDOW`` inputs
 that overlap by ``OVERLAP``, so each subword and the end are scored once; windows are batched, and masks keep later
@@ -37,16 +39,18 @@ STRIDE = WINDOW - OVERLAP
 WIDTH = 16
 #: Classes: subwords of their own, and shared ones; inputs: subwords with an embedding of their own.
 SINGLE, SHARED, INPUTS = 48, 16, 2048
+#: Weight of the classes' own frequencies in what is counted of an input.
+PRIOR = 4.0
 #: Documents that the weights start from, steps, windows a step.
 SAMPLE, STEPS, BATCH = 300, 500, 96
 #: All of the fold trains the weights then, in shards of about so many subwords, by about so many steps of ``BATCH`` windows to so many.
 SHARD, FOLD_STEPS, FOLD_BATCH = 1 << 22, 256, 384
 #: Windows whose gradient is taken at once, which fits a core's cache, and shards whose changes are summed at once.
-PART, FAN = 32, 64
+PART, FAN = 64, 64
 #: Parts that the weights' changes are summed in.
 SLICES = 16
 #: Windows that are scored at once; their logits fit a core's cache.
-BLOCK = 256
+BLOCK = 128
 
 
 #: What :func:`_read` gives: counts of words by hash, counts of subwords by id, and documents.
@@ -71,16 +75,19 @@ def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return u, np.bincount(which, np.concatenate(counts), len(u)).astype(np.int64)
 
 
-def _own_words(words: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of each text's distinct words, their numbers, where each text's begin)."""
+def _own_words(words: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of each text's distinct words, their numbers, where each text's begin; all distinct hashes, and which of them each is)."""
     owner = np.repeat(np.arange(len(words.first) - 1), words.count)
-    order = np.lexsort((words.hash, owner))
-    h, owner = words.hash[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    at = np.flatnonzero(nth % 0xFFFF == 0)  # a new entry where the number of one is as large as it can be
-    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(owner[at], np.arange(len(words.first)))
+    which, every = pd.factorize(words.hash)
+    pair, u = pd.factorize(owner * len(every) + which)  # texts come one after another, and so do their pairs
+    n = np.bincount(pair, minlength=len(u))
+    owner, which = (u // len(every), u % len(every)) if len(every) else (u, u)
+    entries = -(-n // 0xFFFF)  # where the number of one is as large as it can be, more entries follow
+    if len(n) and entries.max() > 1:
+        nth = np.arange(entries.sum()) - np.repeat(np.cumsum(entries) - entries, entries)
+        n = np.minimum(np.repeat(n, entries) - nth * 0xFFFF, 0xFFFF)
+        owner, which = np.repeat(owner, entries), np.repeat(which, entries)
+    return every[which], n, np.searchsorted(owner, np.arange(len(words.first))), every, which
 
 
 def _read(spec):
@@ -114,11 +121,12 @@ def _read(spec):
             for lo, hi, data, offsets in tn.chunks(batch.column(3)):
                 data = tn.LOWER[data]
                 words = tn.Words(data, offsets, lower=False)
-                h, times, at = _own_words(words)
+                h, times, at, every, which = _own_words(words)
                 fold = train[lo:hi]
                 inside = np.repeat(fold, np.diff(at))
                 if inside.any():
-                    u, n = _merged([h[inside]], [times[inside]])
+                    n = np.bincount(which[inside], times[inside], len(every)).astype(np.int64)
+                    u, n = every[n > 0], n[n > 0]
                     hashes.append(u)
                     numbers.append(n)
                     held += len(u)
@@ -165,6 +173,22 @@ class Shape:
         self.input = np.where(rank < INPUTS, rank, INPUTS + self.of)
         self.inputs = INPUTS + SINGLE + SHARED + 1
 
+    def pairs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each input is followed by each class in the texts, the begin and the end included; by input, then class."""
+        c = SINGLE + SHARED
+        follows = np.append(self.of[ids], 0)
+        some = at[1:] > at[:-1]
+        first = np.where(some, follows[at[:-1]], self.of[-1])
+        follows = follows[1:]
+        follows[at[1:][some] - 1] = self.of[-1]
+        return np.bincount(self.input[ids] * c + follows, minlength=self.inputs * c) + np.bincount((self.inputs - 1) * c + first, minlength=self.inputs * c)
+
+    def logits(self, pairs: np.ndarray) -> np.ndarray:
+        """By input and class, how much likelier than by its own frequency the class is behind the input."""
+        n = pairs.reshape(self.inputs, -1)
+        prior = np.exp(self.prior.astype(np.float64))
+        return np.log((n / prior + PRIOR) / (n.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
+
 
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(OVERLAP, WINDOW)[:, None]).astype(np.float32)
 
@@ -175,9 +199,10 @@ def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     numpy adds many times faster by index where arrays are flat and of its own types, not of the equal ones that
     pickled arrays (and what is computed from them) bring along: hence the views.
     """
-    width, own = to.shape[1], to.dtype.type
+    # two by two, as complex numbers
+    width, own = to.shape[1] // 2, np.result_type(to.dtype, np.complex64).type
     index = (at[:, None] * width + np.arange(width)).reshape(-1).view(np.intp)
-    np.add.at(to.reshape(-1).view(own), index, rows.reshape(-1).view(own))
+    np.add.at(to.reshape(-1).view(own), index, np.ascontiguousarray(rows).reshape(-1).view(own))
 
 
 class Attention:
@@ -195,6 +220,11 @@ class Attention:
         text = np.repeat(np.arange(len(blocks)), blocks)
         return text, np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
 
+    def full_first(self, at: np.ndarray, text: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The order that puts windows without missing inputs first, so that few batches need masks for them."""
+        last = k * STRIDE - OVERLAP + WINDOW
+        return np.argsort((k == 0) | (last > (np.diff(at) + 1)[text]), kind="stable")
+
     def windows(self, padded: np.ndarray, at: np.ndarray, text: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inputs with -1 where there is none, target ids, whether a place is scored) by window; one id more follows the texts'."""
         n = (np.diff(at) + 1)[text][:, None]
@@ -209,23 +239,22 @@ class Attention:
 
     def gradient(self, inputs: np.ndarray, classes: np.ndarray, scored: np.ndarray, weight: float, g: dict[str, np.ndarray]) -> None:
         """Adds to ``g`` the gradient of ``weight`` times the loss, summed over all scored places."""
-        p, size, scale = self.p, len(inputs), np.float32(1 / np.sqrt(WIDTH))
+        p, scale, ones = self.p, np.float32(1 / np.sqrt(WIDTH)), np.ones(SINGLE + SHARED, np.float32)
         flat = lambda x: x.reshape(-1, x.shape[-1])
         x = p["E"].take(inputs, axis=0, mode="wrap")
         x += p["P"]
         x_own = np.ascontiguousarray(x[:, OVERLAP:])
-        kv_weights = np.hstack([p["K"], p["V"]])
-        kv = (flat(x) @ kv_weights).reshape(size, WINDOW, -1)
-        k, v = np.ascontiguousarray(kv[:, :, :WIDTH]), np.ascontiguousarray(kv[:, :, WIDTH:])
-        q = (flat(x_own) @ p["Q"] * scale).reshape(x_own.shape)
+        k, v = (flat(x) @ p["K"]).reshape(x.shape), (flat(x) @ p["V"]).reshape(x.shape)
+        q = (flat(x_own) @ (p["Q"] * scale)).reshape(x_own.shape)
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= _CAUSAL
         missing = inputs < 0
-        if missing.any():
+        some = missing.any()
+        if some:
             a *= ~missing[:, None, :]
-        a /= np.maximum(a @ np.ones((WINDOW, 1), np.float32), 1e-30)
+        a /= np.maximum(a @ ones[:WINDOW, None], 1e-30)
         attended = a @ v
         h = flat(attended + x_own)
         own = inputs[:, OVERLAP:].ravel()
@@ -234,31 +263,39 @@ class Attention:
         z += p["b"]
         if max(z.max(), -z.min()) > 60:  # else no exponential overflows, nor do all vanish
             z -= z.max(axis=1, keepdims=True)
-        dz = np.exp(z, out=z)
-        on = scored.ravel()
-        dz *= np.where(on, np.float32(weight) / (dz @ np.ones(dz.shape[1], np.float32)), np.float32(0))[:, None]
-        dz[np.arange(len(dz)), classes.ravel()] -= on * np.float32(weight)
-        g["b"] += np.ones(len(dz), np.float32) @ dz
-        _add_rows(g["B"], own % len(g["B"]), dz)
-        g["U"] += h.T @ dz
-        dh = (dz @ p["U"].T).reshape(x_own.shape)
+        dz = np.exp(z, out=z)  # but for a factor by place
+        total = dz @ ones
+        factor = np.where(scored.ravel(), np.float32(weight) / total, np.float32(0))
+        dz.reshape(-1)[np.arange(0, dz.size, dz.shape[1]) + classes.ravel()] -= total
+        g["b"] += factor @ dz
+        if "B" in g:
+            _add_rows(g["B"], own % len(g["B"]), dz * factor[:, None])
+        factor = factor[:, None]
+        g["U"] += (h * factor).T @ dz
+        dh = dz @ p["U"].T
+        dh *= factor
+        dh = dh.reshape(x_own.shape)
         ds = dh @ v.transpose(0, 2, 1)
-        ds -= (dh * attended).sum(axis=2, keepdims=True)
+        ds -= (dh * attended) @ ones[:WIDTH, None]
         ds *= a
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2)
-        dq = flat(ds @ k) * scale
+        dk, dv = flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dh)
+        dq = flat(ds @ k)
+        dq *= scale
         g["Q"] += flat(x_own).T @ dq
-        both = flat(x).T @ flat(dkv)
-        g["K"] += both[:, :WIDTH]
-        g["V"] += both[:, WIDTH:]
-        dx = (flat(dkv) @ kv_weights.T).reshape(x.shape)
-        dx[:, OVERLAP:] += (dq @ p["Q"].T).reshape(dh.shape) + dh
-        g["P"] += np.where(missing[:, :, None], 0, dx).sum(axis=0) if missing.any() else dx.sum(axis=0)
-        if missing.any():
-            there = ~missing.ravel()
-            _add_rows(g["E"], inputs.ravel()[there], flat(dx)[there])
+        g["K"] += flat(x).T @ dk
+        g["V"] += flat(x).T @ dv
+        dx = dk @ p["K"].T
+        dx += dv @ p["V"].T
+        dx = dx.reshape(x.shape)
+        dh += (dq @ p["Q"].T).reshape(dh.shape)
+        dx[:, OVERLAP:] += dh
+        if some:
+            there = ~missing
+            g["P"] += np.where(there[:, :, None], dx, 0).sum(axis=0)
+            _add_rows(g["E"], inputs[there], dx[there])
         else:
-            _add_rows(g["E"], inputs.ravel(), dx)
+            g["P"] += dx.sum(axis=0)
+            _add_rows(g["E"], inputs.ravel(), flat(dx))
 
     def train(self, ids: np.ndarray, at: np.ndarray, steps: int | None = STEPS, rate: float = 0.02, seed: int = 1, batch: int = BATCH) -> int:
         """Adam over windows drawn from the texts, or with no ``steps`` once over all; gives the number of windows."""
@@ -267,18 +304,19 @@ class Attention:
             return 0
         padded = np.append(ids, 0)
         rng = np.random.default_rng(seed)
-        m, s2, g = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(3))
+        m, s2, g = ({n: np.zeros_like(w) for n, w in self.trained().items()} for _ in range(3))
         order = rng.permutation(len(text)) if steps is None else None
         steps = -(-len(text) // batch) if steps is None else steps
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(text), batch) if order is None else order[(step - 1) * batch : step * batch]
+            pick = pick[self.full_first(at, text[pick], k[pick])]
             inputs, target, scored = self.windows(padded, at, text[pick], k[pick])
             classes, weight = self.shape.of[target], 1 / max(1, scored.sum())
             for lo in range(0, len(pick), PART):
                 self.gradient(inputs[lo : lo + PART], classes[lo : lo + PART], scored[lo : lo + PART], weight, g)
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             by_m, by_s = np.float32(lr / (1 - 0.9**step)), np.float32(1 / np.sqrt(1 - 0.99**step))
-            for n, w in self.p.items():
+            for n, w in self.trained().items():
                 m[n] *= np.float32(0.9)
                 m[n] += np.float32(0.1) * g[n]
                 s2[n] *= np.float32(0.99)
@@ -294,12 +332,16 @@ class Attention:
                 g[n].fill(0)
         return len(text)
 
+    def trained(self) -> dict[str, np.ndarray]:
+        """The weights that training moves: all but those that are counted."""
+        return {n: w for n, w in self.p.items() if n != "B"}
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([w.ravel() for w in self.p.values()]).astype(np.float64)
+        return np.concatenate([w.ravel() for w in self.trained().values()]).astype(np.float64)
 
     def move(self, change: np.ndarray) -> None:
         at = 0
-        for n, w in self.p.items():
+        for n, w in self.trained().items():
             self.p[n] = w + change[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
 
@@ -324,15 +366,17 @@ class Attention:
         """log10 probability of each text: its subwords, then the end."""
         out = np.zeros(len(at) - 1)
         all_text, k = self.blocks(at)
-        all_inputs, all_target, all_scored = self.windows(np.append(ids, 0), at, all_text, k)
+        order = self.full_first(at, all_text, k)
+        all_text, k, padded = all_text[order], k[order], np.append(ids, 0)
         t, (attended, logit) = tables, self.bounds(tables)
         ones = np.ones(SINGLE + SHARED, np.float32)
-        for lo in range(0, len(all_inputs), BLOCK):
-            inputs, target, scored, text = (x[lo : lo + BLOCK] for x in (all_inputs, all_target, all_scored, all_text))
+        for lo in range(0, len(k), BLOCK):
+            text = all_text[lo : lo + BLOCK]
+            inputs, target, scored = self.windows(padded, at, text, k[lo : lo + BLOCK])
             own = inputs[:, OVERLAP:]
-            q = t["Q"][own]
+            q = t["Q"].take(own, axis=0, mode="wrap")
             q += t["PQ"][OVERLAP:]
-            kv = t["KV"][inputs]
+            kv = t["KV"].take(inputs, axis=0, mode="wrap")
             kv += t["PKV"]
             e = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
             if attended > 30:
@@ -343,18 +387,18 @@ class Attention:
             if missing.any():
                 e *= ~missing[:, None, :]
             h = e @ kv[:, :, WIDTH:]
-            h /= np.maximum(e.sum(axis=2, keepdims=True), 1e-30)
+            h /= np.maximum(e @ ones[:WINDOW, None], 1e-30)
             h += self.p["P"][OVERLAP:]
             z = h.reshape(-1, WIDTH) @ self.p["U"]
-            z += t["Z"][own.ravel()]
-            if logit > 60:  # else no exponential overflows, nor do all vanish
+            z += t["Z"].take(own.ravel(), axis=0, mode="wrap")
+            if logit > 60 and max(z.max(), -z.min()) > 60:  # else no exponential overflows, nor do all vanish
                 z -= z.max(axis=1, keepdims=True)
             target = target.ravel()
-            got = z[np.arange(len(z)), self.shape.of[target]].astype(np.float64)
+            got = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + self.shape.of[target]].astype(np.float64)
             np.exp(z, out=z)
             got += self.shape.within[target] - np.log(z @ ones)
             got = np.where(scored.ravel(), got, 0.0).reshape(len(own), STRIDE).sum(axis=1)
-            out += np.bincount(text, got, minlength=len(out)).astype(np.float64)
+            np.add.at(out, text, got)
         return out / np.log(10)
 
 
@@ -431,6 +475,30 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({"shard": [shard], "slice": [group.column("slice")[0].as_py()], "n": [sum(group.column("n").to_pylist())], "change": [total.astype("<f4").tobytes()]})
 
 
+def _pairs(shape):
+    """From ids: a task's counts of the pairs of an input and the class behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Shape = shape.value
+        size, counts = len(own.of), 0
+        for batch in batches:
+            for _, _, data, offsets in tn.chunks(batch.column(0)):
+                counts = counts + own.pairs(_read_ids(data.tobytes(), size), offsets // (2 if size <= 1 << 16 else 4))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.asarray(counts).reshape(-1)[some], pa.int64())], names=["key", "n"])
+
+    return run
+
+
+def _count_on_fold(model: Attention, fold: DataFrame) -> None:
+    """The logits that are counted, over all documents of ``fold`` (ids)."""
+    pairs = fold.select("ids").mapInArrow(_pairs(fold.sparkSession.sparkContext.broadcast(model.shape)), "key long, n long")
+    rows = pairs.groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # as many as B has numbers at most
+    counts = np.zeros(model.p["B"].size)
+    counts[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    model.p["B"] = model.shape.logits(counts)
+
+
 def _train_on_fold(model: Attention, fold: DataFrame, subwords: int, rate: float = 0.02) -> None:
     """Training on all documents of ``fold`` (doc_id, ids), by shards in parallel; the changes are averaged.
 
@@ -497,6 +565,7 @@ def score(docs: DataFrame, training: Column, spec, sample: int = SAMPLE, steps:
     fold = read.where(f"kind = {DOCUMENT} and train")
     first = [r.key for r in fold.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids"), "key").limit(sample).select("key").collect()]
     some = {r.key: bytes(r.ids) for r in fold.where(F.col("key").isin(first)).select("key", "ids").collect()}
+    _count_on_fold(model, fold)
     model.train(*_joined([some[k] for k in first], size), steps)
     _train_on_fold(model, fold.select("doc_id", "ids"), int(by_id.sum()))
 
