@@ -32,6 +32,10 @@ from .store import Scratch
 
 #: Words whose counts are broadcast.
 HOT = 1 << 17
+#: By so many first bits of a hash its place among the broadcast ones is looked up.
+TOP = 18
+#: Bytes of text whose distinct pretokens are merged in one index.
+SEGMENT = 16 << 20
 #: Distinct words that a task gathers before it sends them on.
 GATHER = 1 << 19
 WINDOW, OVERLAP = 32, 8
@@ -137,7 +141,7 @@ def _read(spec):
                         yield rows(WORD, u.view(np.int64), n)
                         hashes, numbers, held = [], [], 0
                 segment.add(data, offsets, (bpe._columns(batch, lo, hi, []), fold, words.count + 1, h, times, at))
-                if segment.bytes >= bpe.SEGMENT:
+                if segment.bytes >= SEGMENT:
                     yield from documents(segment)
                     segment = bpe.Segment(encoder)
         if segment._chunks:
@@ -232,6 +236,10 @@ class Attention:
         inside = (place >= 0) & (place < n)
         begin = self.shape.inputs - 1
         own = at[text][:, None] + place
+        if len(k) and place[:, 0].min() > 0 and inside.all():
+            target = padded.take(own[:, OVERLAP:], mode="clip")
+            target[place[:, OVERLAP:] == n - 1] = len(self.shape.of) - 1
+            return self.shape.input[padded[own - 1]], target, inside[:, OVERLAP:]
         prev = np.clip(own - 1, 0, len(padded) - 1)
         inputs = np.where(inside, np.where(place == 0, begin, self.shape.input[padded[prev]]), -1)
         target = np.where(place[:, OVERLAP:] == n - 1, len(self.shape.of) - 1, padded[np.clip(own[:, OVERLAP:], 0, len(padded) - 1)])
@@ -402,12 +410,29 @@ class Attention:
         return out / np.log(10)
 
 
+def _places(hashes: np.ndarray, begin: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each of ``h`` stands among the sorted ``hashes``, or -1; those of one start of ``TOP`` bits begin at ``begin``."""
+    top = (h >> np.uint64(64 - TOP)).astype(np.int64)
+    out = np.full(len(h), -1)
+    at, end = begin[top], begin[top + 1]
+    row = np.flatnonzero(at < end)
+    at, end = at[row], end[row]
+    while len(row):
+        same = hashes[at] == h[row]
+        out[row[same]] = at[same]
+        at += 1
+        more = ~same & (at < end)
+        row, at, end = row[more], at[more], end[more]
+    return out
+
+
 def _known(hot):
     """From key, doc_id, n, words and times: what broadcast words give, and the other words as ``rare``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = hot.value
         gain = np.log10(counts + 1.0)
+        begin = np.searchsorted(hashes >> np.uint64(64 - TOP), np.arange((1 << TOP) + 1, dtype=np.uint64))
         for batch in batches:
             for lo, hi, data, offsets in tn.chunks(batch.column(3)):
                 n = hi - lo
@@ -415,8 +440,8 @@ def _known(hot):
                 times_data, times_at = tn.buffers(batch.column(4).slice(lo, n))
                 times = np.frombuffer(times_data[times_at[0] : times_at[-1]].tobytes(), TIMES).astype(np.int64)
                 text = np.repeat(np.arange(n), np.diff(offsets) // 8)
-                k = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-                found = hashes[k] == h if len(hashes) else np.zeros(len(h), bool)
+                k = _places(hashes, begin, h)
+                found = k >= 0
                 known = np.bincount(text[found], times[found], minlength=n).astype(np.int64)
                 total = np.bincount(text[found], gain[k[found]] * times[found], minlength=n).astype(np.float64)
                 edge = np.searchsorted(text[~found], np.arange(n + 1)).astype(np.int32)

@@ -55,7 +55,16 @@ class Scratch:
             writer = writer.option("compression", codec)
         if block:
             writer = writer.options(**{"parquet.block.size": block, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        if by:  # a file by value stays open in a task, so that rows aren't sorted
+            key = "spark.sql.maxConcurrentOutputFileWriters"
+            before = self.spark.conf.get(key, "0")
+            self.spark.conf.set(key, "8")
+            try:
+                writer.partitionBy(by).parquet(path)
+            finally:
+                self.spark.conf.set(key, before)
+        else:
+            writer.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:

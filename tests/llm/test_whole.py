@@ -382,3 +382,30 @@ def test_op5_scores_of_large_weights():
         wide = {n: t.astype(np.float64) for n, t in tables.items()}
         wide["Z"] = wide["Z"] + 61  # a shift of all logits changes no probability, but the way they are summed up
         assert np.isfinite(got).all() and np.allclose(got, model.score(ids, at, wide), rtol=1e-4)
+
+
+def test_op5_places():
+    """Hashes are found among sorted ones, also where many start alike, at both ends and among none."""
+    rng = np.random.default_rng(8)
+    some = np.unique(np.concatenate([rng.integers(0, 1 << 64, 1000, np.uint64), np.arange(50, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(50, dtype=np.uint64)]))
+    h = rng.permutation(np.concatenate([some, some[::3], rng.integers(0, 1 << 64, 500, np.uint64), np.arange(40, 90, dtype=np.uint64)]))
+    for hashes in (some, some[:0]):
+        begin = np.searchsorted(hashes >> np.uint64(64 - lm.TOP), np.arange((1 << lm.TOP) + 1, dtype=np.uint64))
+        where = {x: k for k, x in enumerate(hashes.tolist())}
+        assert lm._places(hashes, begin, h).tolist() == [where.get(x, -1) for x in h.tolist()]
+
+
+def test_op5_windows_without_gaps():
+    """Windows that are all full are those of the general way, the end of a text included."""
+    rng = np.random.default_rng(9)
+    model = lm.Attention(lm.Shape(rng.integers(0, 50, 200).astype(float)))
+    ids, at = np.append(rng.integers(0, 199, 500), 0), np.array([0, 95, 218, 500])  # the first text ends where a window does
+    text, k = model.blocks(at)
+    order = model.full_first(at, text, k)
+    text, k = text[order], k[order]
+    every = model.windows(ids, at, text, k)
+    full = (every[0] >= 0).all(axis=1)
+    n = int(full.sum())
+    assert full[:n].all() and n >= 15 and any((t == 199).any() for t in every[1][:n])
+    for x, y in zip(every, model.windows(ids, at, text[:n], k[:n]), strict=True):
+        assert (x[:n] == y).all()
