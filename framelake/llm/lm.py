@@ -35,7 +35,7 @@ HOT = 1 << 17
 #: By so many first bits of a hash its place among the broadcast ones is looked up.
 TOP = 18
 #: Bytes of text whose distinct pretokens are merged in one index.
-SEGMENT = 16 << 20
+SEGMENT = 32 << 20
 #: Distinct words that a task gathers before it sends them on.
 GATHER = 1 << 19
 WINDOW, OVERLAP = 32, 8
@@ -194,6 +194,21 @@ class Shape:
         return np.log((n / prior + PRIOR) / (n.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
 
 
+def _weighed(logits, z: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    """(exponentials of ``z`` in its place, their sums by row, what was taken off each row): none overflows, nor do all of a row vanish.
+
+    ``logits`` makes ``z`` once more where that takes another go.
+    """
+    with np.errstate(over="ignore"):
+        total = np.exp(z, out=z) @ ones
+    if not len(z) or (total.min() > 1e-25 and total.max() < 1e25):
+        return z, total, 0
+    z = logits()
+    top = z.max(axis=1, keepdims=True)
+    z -= top
+    return z, np.exp(z, out=z) @ ones, top[:, 0]
+
+
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(OVERLAP, WINDOW)[:, None]).astype(np.float32)
 
 
@@ -245,8 +260,8 @@ class Attention:
         target = np.where(place[:, OVERLAP:] == n - 1, len(self.shape.of) - 1, padded[np.clip(own[:, OVERLAP:], 0, len(padded) - 1)])
         return inputs, target, inside[:, OVERLAP:]
 
-    def gradient(self, inputs: np.ndarray, classes: np.ndarray, scored: np.ndarray, weight: float, g: dict[str, np.ndarray]) -> None:
-        """Adds to ``g`` the gradient of ``weight`` times the loss, summed over all scored places."""
+    def gradient(self, inputs: np.ndarray, classes: np.ndarray, scored: np.ndarray, weight: float, g: dict[str, np.ndarray], both: np.ndarray | None = None) -> None:
+        """Adds to ``g`` the gradient of ``weight`` times the loss, summed over all scored places; ``both`` is B + b."""
         p, scale, ones = self.p, np.float32(1 / np.sqrt(WIDTH)), np.ones(SINGLE + SHARED, np.float32)
         flat = lambda x: x.reshape(-1, x.shape[-1])
         x = p["E"].take(inputs, axis=0, mode="wrap")
@@ -266,13 +281,14 @@ class Attention:
         attended = a @ v
         h = flat(attended + x_own)
         own = inputs[:, OVERLAP:].ravel()
-        z = h @ p["U"]
-        z += p["B"].take(own, axis=0, mode="wrap")
-        z += p["b"]
-        if max(z.max(), -z.min()) > 60:  # else no exponential overflows, nor do all vanish
-            z -= z.max(axis=1, keepdims=True)
-        dz = np.exp(z, out=z)  # but for a factor by place
-        total = dz @ ones
+        both = p["B"] + p["b"] if both is None else both
+
+        def logits() -> np.ndarray:
+            z = h @ p["U"]
+            z += both.take(own, axis=0, mode="wrap")
+            return z
+
+        dz, total, _ = _weighed(logits, logits(), ones)  # but for a factor by place
         factor = np.where(scored.ravel(), np.float32(weight) / total, np.float32(0))
         dz.reshape(-1)[np.arange(0, dz.size, dz.shape[1]) + classes.ravel()] -= total
         g["b"] += factor @ dz
@@ -313,15 +329,16 @@ class Attention:
         padded = np.append(ids, 0)
         rng = np.random.default_rng(seed)
         m, s2, g = ({n: np.zeros_like(w) for n, w in self.trained().items()} for _ in range(3))
+        both = np.empty_like(self.p["B"])
         order = rng.permutation(len(text)) if steps is None else None
         steps = -(-len(text) // batch) if steps is None else steps
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(text), batch) if order is None else order[(step - 1) * batch : step * batch]
             pick = pick[self.full_first(at, text[pick], k[pick])]
             inputs, target, scored = self.windows(padded, at, text[pick], k[pick])
-            classes, weight = self.shape.of[target], 1 / max(1, scored.sum())
+            classes, weight, both = self.shape.of[target], 1 / max(1, scored.sum()), np.add(self.p["B"], self.p["b"], out=both)
             for lo in range(0, len(pick), PART):
-                self.gradient(inputs[lo : lo + PART], classes[lo : lo + PART], scored[lo : lo + PART], weight, g)
+                self.gradient(inputs[lo : lo + PART], classes[lo : lo + PART], scored[lo : lo + PART], weight, g, both)
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             by_m, by_s = np.float32(lr / (1 - 0.9**step)), np.float32(1 / np.sqrt(1 - 0.99**step))
             for n, w in self.trained().items():
@@ -361,14 +378,12 @@ class Attention:
         keys, values = np.hstack([out["K"], out["V"]]), np.hstack([out["PK"], out["PV"]])
         return {"Q": out["Q"], "PQ": out["PQ"], "KV": keys, "PKV": values, "Z": p["E"] @ p["U"] + p["B"] + p["b"]}
 
-    def bounds(self, tables: dict[str, np.ndarray]) -> tuple[float, float]:
-        """No attention score, and no logit, is larger than these in absolute value, whatever the input."""
+    def bound(self, tables: dict[str, np.ndarray]) -> float:
+        """No attention score is larger than this in absolute value, whatever the input."""
         norm = lambda x: float(np.linalg.norm(x, axis=1).max())
-        t, p = tables, self.p
+        t = tables
         query = norm(t["Q"]) + norm(t["PQ"])
-        key = norm(t["KV"][:, :WIDTH]) + norm(t["PKV"][:, :WIDTH])
-        value = norm(t["KV"][:, WIDTH:]) + norm(t["PKV"][:, WIDTH:]) + norm(p["P"])
-        return query * key, value * norm(p["U"].T) + float(np.abs(t["Z"]).max())
+        return query * (norm(t["KV"][:, :WIDTH]) + norm(t["PKV"][:, :WIDTH]))
 
     def score(self, ids: np.ndarray, at: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
         """log10 probability of each text: its subwords, then the end."""
@@ -376,7 +391,7 @@ class Attention:
         all_text, k = self.blocks(at)
         order = self.full_first(at, all_text, k)
         all_text, k, padded = all_text[order], k[order], np.append(ids, 0)
-        t, (attended, logit) = tables, self.bounds(tables)
+        t, attended = tables, self.bound(tables)
         ones = np.ones(SINGLE + SHARED, np.float32)
         for lo in range(0, len(k), BLOCK):
             text = all_text[lo : lo + BLOCK]
@@ -397,14 +412,17 @@ class Attention:
             h = e @ kv[:, :, WIDTH:]
             h /= np.maximum(e @ ones[:WINDOW, None], 1e-30)
             h += self.p["P"][OVERLAP:]
-            z = h.reshape(-1, WIDTH) @ self.p["U"]
-            z += t["Z"].take(own.ravel(), axis=0, mode="wrap")
-            if logit > 60 and max(z.max(), -z.min()) > 60:  # else no exponential overflows, nor do all vanish
-                z -= z.max(axis=1, keepdims=True)
+
+            def logits(h=h, own=own) -> np.ndarray:
+                z = h.reshape(-1, WIDTH) @ self.p["U"]
+                z += t["Z"].take(own.ravel(), axis=0, mode="wrap")
+                return z
+
+            z = logits()
             target = target.ravel()
             got = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + self.shape.of[target]].astype(np.float64)
-            np.exp(z, out=z)
-            got += self.shape.within[target] - np.log(z @ ones)
+            _, total, top = _weighed(logits, z, ones)
+            got += self.shape.within[target] - np.log(total) - top
             got = np.where(scored.ravel(), got, 0.0).reshape(len(own), STRIDE).sum(axis=1)
             np.add.at(out, text, got)
         return out / np.log(10)
