@@ -35,7 +35,7 @@ HOT = 1 << 17
 #: By so many first bits of a hash its place among the broadcast ones is looked up.
 TOP = 18
 #: Bytes of text whose distinct pretokens are merged in one index.
-SEGMENT = 32 << 20
+SEGMENT = 16 << 20
 #: Distinct words that a task gathers before it sends them on.
 GATHER = 1 << 19
 WINDOW, OVERLAP = 32, 8
@@ -330,6 +330,7 @@ class Attention:
         rng = np.random.default_rng(seed)
         m, s2, g = ({n: np.zeros_like(w) for n, w in self.trained().items()} for _ in range(3))
         both = np.empty_like(self.p["B"])
+        np.empty(24 << 20, np.uint8)  # once glibc has given back so much, it keeps what each part allocates and frees
         order = rng.permutation(len(text)) if steps is None else None
         steps = -(-len(text) // batch) if steps is None else steps
         for step in range(1, steps + 1):
