@@ -242,11 +242,60 @@ def _ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return data[np.repeat(start - edges[:-1], end - start) + np.arange(edges[-1])], edges
 
 
+class Known:
+    """Pretokens that were merged before, with their ids: up to ``most``, of at most ``LONGEST`` bytes, told apart by their bytes."""
+
+    LONGEST = 48
+
+    def __init__(self, most: int):
+        self.most = most
+        self.hashes, self.which = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in the order of the hashes
+        self.data, self.edges = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _find(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each range's pretoken, or -1."""
+        out = np.full(len(h), -1)
+        if len(self.hashes):
+            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            row = np.flatnonzero(self.hashes[k] == h)
+            k = self.which[k[row]]
+            ok = tn.same_bytes(data, start[row], end[row], self.data, self.edges[k], self.edges[k + 1])
+            out[row[ok]] = k[ok]
+        return out
+
+    def merge(self, vocab: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`Vocabulary.merge` gives for the distinct ranges [start, end) of ``data``."""
+        h = tn.hashes(data, start, end)
+        k = self._find(h, data, start, end)
+        old, new = np.flatnonzero(k >= 0), np.flatnonzero(k < 0)
+        k = k[old]
+        ids, more = vocab.merge(*_ranges(data, start[new], end[new]))
+        n, begin = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        n[old], begin[old] = self.at[k + 1] - self.at[k], self.at[k]
+        n[new], begin[new] = more, len(self.ids) + np.cumsum(more) - more
+        edge = np.concatenate([[0], np.cumsum(n)])
+        out = np.concatenate([self.ids, ids])[np.repeat(begin - edge[:-1], n) + np.arange(edge[-1])]
+        size = (end - start)[new]
+        kept = np.flatnonzero((size > 0) & (size <= self.LONGEST))[: self.most - len(self.hashes)]
+        if len(kept):
+            self._keep(h[new[kept]], *_ranges(data, start[new[kept]], end[new[kept]]), *_ranges(ids, (np.cumsum(more) - more)[kept], np.cumsum(more)[kept]))
+        return out.astype(np.int64), n
+
+    def _keep(self, h: np.ndarray, data: np.ndarray, edges: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        hashes = np.concatenate([self.hashes, h])
+        which = np.concatenate([self.which, np.arange(len(self.hashes), len(hashes), dtype=np.int32)])
+        order = np.argsort(hashes)
+        self.hashes, self.which = hashes[order], which[order]
+        self.edges, self.at = np.append(self.edges, edges[1:] + len(self.data)), np.append(self.at, at[1:] + len(self.ids))
+        self.data, self.ids = np.append(self.data, data), np.append(self.ids, ids.astype(np.int32))
+
+
 class Segment:
-    """Chunks of texts whose distinct pretokens are merged in one index."""
+    """Chunks of texts whose distinct pretokens are merged in one index; those that are ``known`` aren't merged again."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, known: Known | None = None):
+        self.encoder, self.known = encoder, known
         self.bytes = 0
         self._chunks: list[tuple] = []
         self._words: list[tuple[np.ndarray, np.ndarray]] = []
@@ -275,7 +324,8 @@ class Segment:
             t = np.frombuffer(token, np.uint8)
             special[like[tn.same_bytes(data, start[like], end[like], t, np.zeros(len(like), np.int64), np.full(len(like), len(t)))]] = k
         one = special >= 0
-        ids, n = vocab.merge(*_ranges(data, start, np.where(one, start, end)))
+        end = np.where(one, start, end)
+        ids, n = self.known.merge(vocab, data, start, end) if self.known else vocab.merge(*_ranges(data, start, end))
         ids = np.insert(ids, (np.cumsum(n) - n)[one], special[one])
         n[one] = 1
         begin, at = np.cumsum(n) - n, 0

@@ -36,6 +36,8 @@ HOT = 1 << 17
 TOP = 18
 #: Bytes of text whose distinct pretokens are merged in one index.
 SEGMENT = 16 << 20
+#: Pretokens that a worker keeps the ids of, from one segment or task to the next.
+KNOWN = 1 << 19
 #: Distinct words that a task gathers before it sends them on.
 GATHER = 1 << 19
 WINDOW, OVERLAP = 32, 8
@@ -94,6 +96,17 @@ def _own_words(words: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return every[which], n, np.searchsorted(owner, np.arange(len(words.first))), every, which
 
 
+_pretokens: dict[int, tuple[bpe.Encoder, bpe.Known]] = {}
+
+
+def _known_pretokens(encoder: bpe.Encoder) -> bpe.Known:
+    """What this worker knows of the encoder's pretokens."""
+    if id(encoder) not in _pretokens:
+        _pretokens.clear()
+        _pretokens[id(encoder)] = encoder, bpe.Known(KNOWN)
+    return _pretokens[id(encoder)][1]
+
+
 def _read(spec):
     """Documents (``n`` is their tokens) and the training fold's partial counts, from key, doc_id, train and text."""
 
@@ -106,6 +119,7 @@ def _read(spec):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe._encoder(spec.value)
+        known = _known_pretokens(encoder)
         size = len(encoder.vocab.bytes) + 1
         counts = np.zeros(size, np.int64)
         hashes, numbers, held = [], [], 0
@@ -119,7 +133,7 @@ def _read(spec):
                 packed = (bpe._packed(pa.binary(), edge * wide.itemsize, wide), bpe._packed(pa.binary(), at * 8, h), bpe._packed(pa.binary(), at * 2, times.astype(TIMES)))
                 yield rows(DOCUMENT, own[0], n, own[1], own[2], *packed)
 
-        segment = bpe.Segment(encoder)
+        segment = bpe.Segment(encoder, known)
         for batch in batches:
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, data, offsets in tn.chunks(batch.column(3)):
@@ -143,7 +157,7 @@ def _read(spec):
                 segment.add(data, offsets, (bpe._columns(batch, lo, hi, []), fold, words.count + 1, h, times, at))
                 if segment.bytes >= SEGMENT:
                     yield from documents(segment)
-                    segment = bpe.Segment(encoder)
+                    segment = bpe.Segment(encoder, known)
         if segment._chunks:
             yield from documents(segment)
         if hashes:
@@ -197,10 +211,9 @@ class Shape:
 def _weighed(logits, z: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
     """(exponentials of ``z`` in its place, their sums by row, what was taken off each row): none overflows, nor do all of a row vanish.
 
-    ``logits`` makes ``z`` once more where that takes another go.
+    Callers ignore the overflow of the first go; ``logits`` makes ``z`` once more where that takes another go.
     """
-    with np.errstate(over="ignore"):
-        total = np.exp(z, out=z) @ ones
+    total = np.exp(z, out=z) @ ones
     if not len(z) or (total.min() > 1e-25 and total.max() < 1e25):
         return z, total, 0
     z = logits()
@@ -218,9 +231,9 @@ def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     numpy adds many times faster by index where arrays are flat and of its own types, not of the equal ones that
     pickled arrays (and what is computed from them) bring along: hence the views.
     """
-    # two by two, as complex numbers
+    # two by two, as complex numbers; a table's rows are copied faster than short rows are reckoned
     width, own = to.shape[1] // 2, np.result_type(to.dtype, np.complex64).type
-    index = (at[:, None] * width + np.arange(width)).reshape(-1).view(np.intp)
+    index = np.arange(len(to) * width, dtype=np.intp).reshape(-1, width).take(at, axis=0).reshape(-1)
     np.add.at(to.reshape(-1).view(own), index, np.ascontiguousarray(rows).reshape(-1).view(own))
 
 
@@ -246,40 +259,61 @@ class Attention:
 
     def windows(self, padded: np.ndarray, at: np.ndarray, text: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inputs with -1 where there is none, target ids, whether a place is scored) by window; one id more follows the texts'."""
-        n = (np.diff(at) + 1)[text][:, None]
-        place = (k * STRIDE - OVERLAP)[:, None] + np.arange(WINDOW)
-        inside = (place >= 0) & (place < n)
-        begin = self.shape.inputs - 1
-        own = at[text][:, None] + place
-        if len(k) and place[:, 0].min() > 0 and inside.all():
-            target = padded.take(own[:, OVERLAP:], mode="clip")
-            target[place[:, OVERLAP:] == n - 1] = len(self.shape.of) - 1
-            return self.shape.input[padded[own - 1]], target, inside[:, OVERLAP:]
-        prev = np.clip(own - 1, 0, len(padded) - 1)
-        inputs = np.where(inside, np.where(place == 0, begin, self.shape.input[padded[prev]]), -1)
-        target = np.where(place[:, OVERLAP:] == n - 1, len(self.shape.of) - 1, padded[np.clip(own[:, OVERLAP:], 0, len(padded) - 1)])
-        return inputs, target, inside[:, OVERLAP:]
+        n, first = (np.diff(at) + 1)[text], k * STRIDE - OVERLAP
+        gaps = np.flatnonzero((first <= 0) | (first + WINDOW > n))
+        full = int(gaps[0]) if len(gaps) else len(k)  # so many at the front lack no input
+        end, parts = len(self.shape.of) - 1, []
+        if full:
+            every = np.ndarray((len(padded) - WINDOW, WINDOW + 1), padded.dtype, padded, strides=padded.strides * 2)
+            own = every[(at[text] + first)[:full] - 1]
+            inputs = self.shape.input.take(own[:, :WINDOW], mode="clip")
+            own[first[:full] + WINDOW == n[:full], -1] = end
+            parts.append((inputs, own[:, OVERLAP + 1 :], np.ones((full, STRIDE), bool)))
+        if full < len(k) or not len(k):
+            n, place = n[full:, None], first[full:, None] + np.arange(WINDOW)
+            inside = (place >= 0) & (place < n)
+            own = at[text[full:]][:, None] + place
+            prev = np.clip(own - 1, 0, len(padded) - 1)
+            inputs = np.where(inside, np.where(place == 0, self.shape.inputs - 1, self.shape.input[padded[prev]]), -1)
+            target = np.where(place[:, OVERLAP:] == n - 1, end, padded[np.clip(own[:, OVERLAP:], 0, len(padded) - 1)])
+            parts.append((inputs, target, inside[:, OVERLAP:]))
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def gradient(self, inputs: np.ndarray, classes: np.ndarray, scored: np.ndarray, weight: float, g: dict[str, np.ndarray], both: np.ndarray | None = None) -> None:
-        """Adds to ``g`` the gradient of ``weight`` times the loss, summed over all scored places; ``both`` is B + b."""
-        p, scale, ones = self.p, np.float32(1 / np.sqrt(WIDTH)), np.ones(SINGLE + SHARED, np.float32)
+        """Adds to ``g`` the gradient of ``weight`` times the loss, summed over all scored places; ``both`` is B + b.
+
+        ``Q`` and ``K`` only occur as a product, and sums of values are ``V`` times sums of inputs: so neither keys nor
+        values are made, and what all inputs of a window took is done for its own places.
+        """
+        p, ones = self.p, np.ones(SINGLE + SHARED, np.float32)
         flat = lambda x: x.reshape(-1, x.shape[-1])
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        meet = p["Q"] @ p["K"].T * scale
         x = p["E"].take(inputs, axis=0, mode="wrap")
         x += p["P"]
         x_own = np.ascontiguousarray(x[:, OVERLAP:])
-        k, v = (flat(x) @ p["K"]).reshape(x.shape), (flat(x) @ p["V"]).reshape(x.shape)
-        q = (flat(x_own) @ (p["Q"] * scale)).reshape(x_own.shape)
-        a = q @ k.transpose(0, 2, 1)
-        np.clip(a, -30, 30, out=a)
-        np.exp(a, out=a)
-        a *= _CAUSAL
+        x_t, places = x.transpose(0, 2, 1), flat(x_own)
+        q = (places @ meet).reshape(x_own.shape)
         missing = inputs < 0
         some = missing.any()
-        if some:
-            a *= ~missing[:, None, :]
-        a /= np.maximum(a @ ones[:WINDOW, None], 1e-30)
-        attended = a @ v
-        h = flat(attended + x_own)
+
+        def seen(bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+            a = q @ x_t
+            if bounded:
+                np.clip(a, -30, 30, out=a)
+            np.exp(a, out=a)
+            a *= _CAUSAL
+            if some:
+                a *= ~missing[:, None, :]
+            return a, flat(a) @ ones[:WINDOW]
+
+        a, total = seen(some)
+        if not some and len(a) and not (total.min() > 1e-5 and total.max() < 1e12):  # bounds may count
+            a, total = seen(True)
+        a *= (1 / np.maximum(total, 1e-30)).reshape(-1, STRIDE, 1)
+        mean = flat(a @ x)
+        h = mean @ p["V"]
+        h += places
         own = inputs[:, OVERLAP:].ravel()
         both = p["B"] + p["b"] if both is None else both
 
@@ -289,30 +323,33 @@ class Attention:
             return z
 
         dz, total, _ = _weighed(logits, logits(), ones)  # but for a factor by place
-        factor = np.where(scored.ravel(), np.float32(weight) / total, np.float32(0))
         dz.reshape(-1)[np.arange(0, dz.size, dz.shape[1]) + classes.ravel()] -= total
-        g["b"] += factor @ dz
+        factor = np.float32(weight) / total
+        if some:
+            factor = np.where(scored.ravel(), factor, np.float32(0))
+        dz *= factor[:, None]
+        g["b"] += np.ones(len(dz), np.float32) @ dz
         if "B" in g:
-            _add_rows(g["B"], own % len(g["B"]), dz * factor[:, None])
-        factor = factor[:, None]
-        g["U"] += (h * factor).T @ dz
+            _add_rows(g["B"], own % len(g["B"]), dz)
+        g["U"] += (dz.T @ h).T
         dh = dz @ p["U"].T
-        dh *= factor
-        dh = dh.reshape(x_own.shape)
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= (dh * attended) @ ones[:WIDTH, None]
+        g["V"] += mean.T @ dh
+        d_mean = dh @ p["V"].T
+        mean *= d_mean
+        taken = (mean @ ones[:WIDTH]).reshape(-1, STRIDE, 1)
+        d_mean = d_mean.reshape(x_own.shape)
+        ds = d_mean @ x_t
+        ds -= taken
         ds *= a
-        dk, dv = flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dh)
-        dq = flat(ds @ k)
-        dq *= scale
-        g["Q"] += flat(x_own).T @ dq
-        g["K"] += flat(x).T @ dk
-        g["V"] += flat(x).T @ dv
-        dx = dk @ p["K"].T
-        dx += dv @ p["V"].T
-        dx = dx.reshape(x.shape)
-        dh += (dq @ p["Q"].T).reshape(dh.shape)
-        dx[:, OVERLAP:] += dh
+        dx = ds.transpose(0, 2, 1) @ q
+        dx += a.transpose(0, 2, 1) @ d_mean
+        dq = flat(ds @ x)
+        d_meet = places.T @ dq
+        d_meet *= scale
+        g["Q"] += d_meet @ p["K"]
+        g["K"] += d_meet.T @ p["Q"]
+        dh += dq @ meet.T
+        dx[:, OVERLAP:] += dh.reshape(x_own.shape)
         if some:
             there = ~missing
             g["P"] += np.where(there[:, :, None], dx, 0).sum(axis=0)
@@ -328,7 +365,11 @@ class Attention:
             return 0
         padded = np.append(ids, 0)
         rng = np.random.default_rng(seed)
-        m, s2, g = ({n: np.zeros_like(w) for n, w in self.trained().items()} for _ in range(3))
+        w = np.concatenate([x.ravel() for x in self.trained().values()])
+        m, s2, flat_g, edge, g = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w), 0, {}
+        for n, x in self.trained().items():  # the weights and their gradients are parts of one array each
+            self.p[n], g[n] = (y[edge : edge + x.size].reshape(x.shape) for y in (w, flat_g))
+            edge += x.size
         both = np.empty_like(self.p["B"])
         np.empty(24 << 20, np.uint8)  # once glibc has given back so much, it keeps what each part allocates and frees
         order = rng.permutation(len(text)) if steps is None else None
@@ -338,24 +379,24 @@ class Attention:
             pick = pick[self.full_first(at, text[pick], k[pick])]
             inputs, target, scored = self.windows(padded, at, text[pick], k[pick])
             classes, weight, both = self.shape.of[target], 1 / max(1, scored.sum()), np.add(self.p["B"], self.p["b"], out=both)
-            for lo in range(0, len(pick), PART):
-                self.gradient(inputs[lo : lo + PART], classes[lo : lo + PART], scored[lo : lo + PART], weight, g, both)
+            with np.errstate(over="ignore", invalid="ignore"):
+                for lo in range(0, len(pick), PART):
+                    self.gradient(inputs[lo : lo + PART], classes[lo : lo + PART], scored[lo : lo + PART], weight, g, both)
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             by_m, by_s = np.float32(lr / (1 - 0.9**step)), np.float32(1 / np.sqrt(1 - 0.99**step))
-            for n, w in self.trained().items():
-                m[n] *= np.float32(0.9)
-                m[n] += np.float32(0.1) * g[n]
-                s2[n] *= np.float32(0.99)
-                np.square(g[n], out=g[n])
-                g[n] *= np.float32(0.01)
-                s2[n] += g[n]
-                np.sqrt(s2[n], out=g[n])
-                g[n] *= by_s
-                g[n] += np.float32(1e-6)
-                np.divide(m[n], g[n], out=g[n])
-                g[n] *= by_m
-                w -= g[n]
-                g[n].fill(0)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * flat_g
+            s2 *= np.float32(0.99)
+            np.square(flat_g, out=flat_g)
+            flat_g *= np.float32(0.01)
+            s2 += flat_g
+            np.sqrt(s2, out=flat_g)
+            flat_g *= by_s
+            flat_g += np.float32(1e-6)
+            np.divide(m, flat_g, out=flat_g)
+            flat_g *= by_m
+            w -= flat_g
+            flat_g.fill(0)
         return len(text)
 
     def trained(self) -> dict[str, np.ndarray]:
@@ -394,6 +435,7 @@ class Attention:
         all_text, k, padded = all_text[order], k[order], np.append(ids, 0)
         t, attended = tables, self.bound(tables)
         ones = np.ones(SINGLE + SHARED, np.float32)
+        np.empty(24 << 20, np.uint8)  # as in training
         for lo in range(0, len(k), BLOCK):
             text = all_text[lo : lo + BLOCK]
             inputs, target, scored = self.windows(padded, at, text, k[lo : lo + BLOCK])
@@ -411,7 +453,7 @@ class Attention:
             if missing.any():
                 e *= ~missing[:, None, :]
             h = e @ kv[:, :, WIDTH:]
-            h /= np.maximum(e @ ones[:WINDOW, None], 1e-30)
+            h *= (1 / np.maximum(e.reshape(-1, WINDOW) @ ones[:WINDOW], 1e-30)).reshape(-1, STRIDE, 1)
             h += self.p["P"][OVERLAP:]
 
             def logits(h=h, own=own) -> np.ndarray:
@@ -422,7 +464,8 @@ class Attention:
             z = logits()
             target = target.ravel()
             got = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + self.shape.of[target]].astype(np.float64)
-            _, total, top = _weighed(logits, z, ones)
+            with np.errstate(over="ignore"):
+                _, total, top = _weighed(logits, z, ones)
             got += self.shape.within[target] - np.log(total) - top
             got = np.where(scored.ravel(), got, 0.0).reshape(len(own), STRIDE).sum(axis=1)
             np.add.at(out, text, got)

@@ -4,6 +4,7 @@ import copy
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -409,3 +410,98 @@ def test_op5_windows_without_gaps():
     assert full[:n].all() and n >= 15 and any((t == 199).any() for t in every[1][:n])
     for x, y in zip(every, model.windows(ids, at, text[:n], k[:n]), strict=True):
         assert (x[:n] == y).all()
+
+
+def test_op5_merges_a_pretoken_once(spark, monkeypatch):
+    """What a worker merged in one segment isn't merged in the next, and ids are those of merging all: also where hashes are equal."""
+    vocab = bpe._encoder(bpe.load_spec(spark, Q.vocabulary()).value).vocab
+    rng = np.random.default_rng(10)
+    words = [bytes(rng.integers(97, 123, n, np.uint8)) for n in [0, *rng.integers(1, 30, 300), 47, 48, 49, 500]]
+    words = list(dict.fromkeys(words))
+    merged, plain = [], bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda own, data, edges: merged.append(len(edges) - 1) or plain(own, data, edges))
+
+    def check(known, picked):
+        data, edges = np.frombuffer(b"".join(picked), np.uint8), np.cumsum([0, *map(len, picked)])
+        ids, n = known.merge(vocab, data, edges[:-1], edges[1:])
+        want = plain(vocab, data, edges)
+        assert (ids == want[0]).all() and (n == want[1]).all()
+
+    known = bpe.Known(10_000)
+    for picked in (words[:200], words[100:], words, words[::-1], words[:0]):
+        check(known, picked)
+    long = sum(len(w) > known.LONGEST for w in words)
+    assert merged == [200, len(words) - 200, 1 + long, 1 + long, 0]  # the empty one and the long ones aren't kept
+    few = bpe.Known(50)
+    for _ in range(3):
+        check(few, words)
+    assert len(few.hashes) == 50 and merged[-2:] == [len(words) - 50] * 2
+    hashes = tn.hashes
+    monkeypatch.setattr(tn, "hashes", lambda *a: hashes(*a) & np.uint64(7))
+    clash = bpe.Known(10_000)
+    for picked in (words[:200], words[100:], words):
+        check(clash, picked)
+    # by whole texts: the second segment merges nothing that the first had
+    monkeypatch.setattr(tn, "hashes", hashes)
+    monkeypatch.setattr(lm, "SEGMENT", 1)
+    merged.clear()
+    spec = type("Spec", (), {"value": bpe.load_spec(spark, Q.vocabulary()).value})
+    lm._pretokens.clear()
+    table = pa.table({"key": [0, 1], "doc_id": [0, 1], "train": [True, True], "text": ["one two three", "three one two"]})
+    ids = [x.as_py() for b in lm._read(spec)(iter(table.to_batches(max_chunksize=1))) for x in b.column(5) if x.is_valid]
+    encoder = bpe._encoder(spec.value)
+    assert [list(np.frombuffer(x, "<u2")) for x in ids] == [list(encoder(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for t in (b"one two three", b"three one two")]
+    assert merged[:2] == [3, 2]  # "three" and " one" are other pretokens than " three" and "one"
+
+
+def test_op5_windows_by_hand():
+    """Windows of which the first ones lack nothing and the others do, place by place."""
+    rng = np.random.default_rng(11)
+    model = lm.Attention(lm.Shape(rng.integers(0, 50, 200).astype(float)))
+    ids, at = rng.integers(0, 199, 300), np.array([0, 0, 95, 96, 218, 300])
+    text, k = model.blocks(at)
+    order = model.full_first(at, text, k)
+    for text, k in ((text, k), (text[order], k[order]), (text[:0], k[:0])):
+        inputs, target, scored = model.windows(np.append(ids, 0), at, text, k)
+        assert inputs.shape == (len(k), lm.WINDOW) and target.shape == scored.shape == (len(k), lm.STRIDE)
+        for row, (t, b) in enumerate(zip(text, k, strict=True)):
+            own = [*ids[at[t] : at[t + 1]], 199]
+            for j in range(lm.WINDOW):
+                place = b * lm.STRIDE - lm.OVERLAP + j
+                there = 0 <= place < len(own)
+                assert inputs[row, j] == (-1 if not there else model.shape.inputs - 1 if not place else model.shape.input[own[place - 1]])
+                if j >= lm.OVERLAP:
+                    assert scored[row, j - lm.OVERLAP] == there and (not there or target[row, j - lm.OVERLAP] == own[place])
+
+
+def test_op5_gradient_of_large_weights():
+    """Where attention is beyond its bounds in some windows, the gradient is that of bounded attention, written out in float64."""
+    rng = np.random.default_rng(12)
+    model = lm.Attention(lm.Shape(rng.integers(0, 50, 200).astype(float)))
+    ids, at = np.append(rng.integers(0, 199, 400), 0), np.array([0, 400])
+    text, k = model.blocks(at)
+    inputs, target, scored = (x[1:-1] for x in model.windows(ids, at, text, k))
+    classes = model.shape.of[target]
+    for scale in (1, 3000, 20):
+        p = {n: w.astype(np.float64) for n, w in model.p.items()}
+        p["Q"] *= scale
+        model.p = {n: w.astype(np.float32) for n, w in p.items()}
+        g = {n: np.zeros_like(w) for n, w in model.p.items() if n != "B"}
+        with np.errstate(over="ignore", invalid="ignore"):
+            model.gradient(inputs, classes, scored, 1.0, g)
+        x = p["E"][inputs] + p["P"]
+        own = x[:, lm.OVERLAP :]
+        raw = (own @ p["Q"]) @ (x @ p["K"]).transpose(0, 2, 1) / 4
+        a = np.exp(np.clip(raw, -30, 30)) * lm._CAUSAL
+        a /= a.sum(axis=2, keepdims=True)
+        h = a @ (x @ p["V"]) + own
+        z = np.exp(h @ p["U"] + p["b"] + p["B"][inputs[:, lm.OVERLAP :]])
+        z /= z.sum(axis=2, keepdims=True)
+        dz = z - np.eye(z.shape[2])[classes]
+        dh = dz @ p["U"].T
+        da = dh @ (x @ p["V"]).transpose(0, 2, 1)
+        ds = a * (da - (a * da).sum(axis=2, keepdims=True)) / 4
+        want = {"b": dz.sum(axis=(0, 1)), "U": np.einsum("nih,nic->hc", h, dz), "V": np.einsum("njh,nij,nik->hk", x, a, dh), "Q": np.einsum("nih,nij,njk->hk", own, ds, x @ p["K"]), "K": np.einsum("njh,nij,nik->hk", x, ds, own @ p["Q"])}
+        assert (np.abs(raw).max() > 30) == (scale > 1), (scale, np.abs(raw).max())
+        for n, w in want.items():
+            assert np.allclose(g[n], w, rtol=2e-3, atol=2e-3 * np.abs(w).max()), (scale, n)
